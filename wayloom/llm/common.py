@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space of the word definition: space and the control characters tab to carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -55,12 +56,12 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """wanted, or with underscores in front until no column of df has the name."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted = "_" + wanted
-    return wanted
+def with_fields(schema: StructType, **kinds: str) -> StructType:
+    """A new schema with more fields; StructType.add would change a data frame's own."""
+    out = StructType(list(schema.fields))
+    for name, kind in kinds.items():
+        out.add(name, kind)
+    return out
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,7 +58,9 @@ def windows_of(lines: DataFrame, min_words: int) -> DataFrame:
     by_words = own.orderBy("words")
     reach = F.min("pos").over(by_words.rangeBetween(min_words, Window.unboundedFollowing))
     back = F.max("pos").over(by_words.rangeBetween(Window.unboundedPreceding, -min_words))
-    both = borders.select("d", "t", F.explode(F.array(F.struct(F.col("pos").alias("pos"), (reach - F.col("pos")).alias("m")), F.struct(back.alias("pos"), (F.col("pos") - back).alias("m")))).alias("x"))
+    near = borders.select("d", "t", "pos", reach.alias("reach"), back.alias("back"))
+    ahead, behind = F.struct(F.col("pos"), (F.col("reach") - F.col("pos")).alias("m")), F.struct(F.col("back").alias("pos"), (F.col("pos") - F.col("back")).alias("m"))
+    both = near.select("d", "t", F.explode(F.array(ahead, behind)).alias("x"))
     return both.select("d", "t", "x.pos", "x.m").filter("pos IS NOT NULL AND m > 0").distinct()
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe_paths import NEVER, MergeTable, PathFinder
-from .common import Memo, free_name
+from .common import Memo, with_fields
 
 MARK = "▁"
 KEEP = 250_000  # segments remembered by each worker
@@ -147,7 +147,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "pie
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array([p is None for p in parts], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*frame.columns, lists], names=[*names, ids])
 
-    return docs.mapInArrow(run, docs.schema.add(ids, "array<int>"))
+    return docs.mapInArrow(run, with_fields(docs.schema, **{ids: "array<int>"}))
 
 
 def decode(docs: DataFrame, model_file: str, ids: str = "piece_ids", text: str = "decoded") -> DataFrame:
@@ -165,7 +165,5 @@ def decode(docs: DataFrame, model_file: str, ids: str = "piece_ids", text: str =
             out = [own.decode(flat[ends[k] : ends[k + 1]].tolist()) if valid[k] else None for k in range(len(lists))]
             yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(out, pa.string())], names=[*names, text])
 
-    return docs.mapInArrow(run, docs.schema.add(text, "string"))
+    return docs.mapInArrow(run, with_fields(docs.schema, **{text: "string"}))
 
-
-__all__ = ["PieceTransducer", "decode", "encode", "free_name"]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe_paths import NEVER, MergeTable, PathFinder
-from .common import Memo
+from .common import Memo, with_fields
 
 END = "\n"  # stands for the word end in token strings; no byte is written so
 CHUNK = 1 << 14  # code points
@@ -162,4 +162,4 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, limit: int, text: str = "
             more = [pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*frame.columns, *more], names=[*names, "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.mapInArrow(run, docs.schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean"))
+    return docs.mapInArrow(run, with_fields(docs.schema, n_bytes="long", n_tokens="long", over_limit="boolean"))
