@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 #: White space of the word definition: space and the control characters tab to carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -60,7 +60,7 @@ def with_fields(schema: StructType, **kinds: str) -> StructType:
     """A new schema with more fields; StructType.add would change a data frame's own."""
     out = StructType(list(schema.fields))
     for name, kind in kinds.items():
-        out.add(name, kind)
+        out.add(name, DataType.fromDDL(kind))
     return out
 
 

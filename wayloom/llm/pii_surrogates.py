@@ -118,6 +118,9 @@ def detect(text: str | None) -> list[tuple[int, int, str, str, str]]:
                 add("last", "", *m.span("b"))
             else:
                 add("last", "", *m.span("a"))
+        for last in {text[a:b] for a, b, kind, _, _ in out if kind == "last"}:  # later mentions of a surname alone
+            for m in re.finditer(rf"(?<!\w){re.escape(last)}(?!\w)", text):
+                add("last", "", *m.span())
     return sorted(out)
 
 
