@@ -12,8 +12,10 @@ they are. The join then runs in these steps, each a table of bounded groups:
    shared ones fall into the same class, so pairs (2-token combinations) within
    a class are indexed. c grows with the set, in steps of size; a node is indexed
    under its step and the next one, as similar sets differ by one step at most.
-3. All nodes with an index key are verified against the key's first node. What
-   that doesn't connect is verified pair by pair across components of a key. So
+3. All nodes with an index key are verified against the key's first node, then,
+   where a key's nodes aren't connected yet, against other nodes chosen by hash,
+   while that finds links. What is left is compared exactly, block by block of
+   the nodes that keys join. So
    each candidate pair is either verified or inside one component already, and a
    group of near copies costs its size, not its square.
 
@@ -42,6 +44,8 @@ from .components import components
 WINDOW = 5
 FINGERPRINT = (1 << 48) - 1
 RARE = 24  # a df class (4 log2) below this, that is fewer than 64 nodes, is indexed singly
+TURNS = 4  # rounds with other first nodes, at most; they only save work, the last step is exact
+BLOCK = 400_000  # fingerprints of a block in the last step
 BATCH = 1 << 20  # shingles scattered at a time
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -56,6 +60,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values of a sorted array."""
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
 class Shingler:
     def __init__(self, keep: int = 300_000):
         self.of = Memo(lambda w: xxhash.xxh64_intdigest(w), keep)
@@ -76,8 +87,8 @@ class Shingler:
         k = min(WINDOW, len(h))
         sums = np.full(len(h) - k + 1, np.uint64(k))
         for i in range(k):
-            sums = mixed((sums + h[i : len(h) - k + 1 + i]) * ODD_MULTIPLIERS[i])
-        return np.unique(sums)
+            sums += h[i : len(h) - k + 1 + i] * ODD_MULTIPLIERS[i]
+        return distinct(np.sort(mixed(sums)))
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -85,7 +96,7 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def fingerprints(shingles: np.ndarray) -> np.ndarray:
-    return np.unique(shingles >> np.uint64(16))
+    return distinct(shingles >> np.uint64(16))
 
 
 def step_of(n):
@@ -141,7 +152,7 @@ def scattered(docs: DataFrame, text: str, ranges: int) -> DataFrame:
         marks = np.concatenate(list(held.values()))
         owner = np.repeat(np.arange(len(nodes)), [len(s) for s in held.values()])
         part = ((marks >> np.uint64(16)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-        order = np.lexsort((owner, part))
+        order = np.argsort(part.astype(np.uint16) if ranges < 1 << 16 else part, kind="stable")  # owners ascend already
         part, owner, marks = part[order], owner[order], marks[order]
         at = np.searchsorted(part, np.arange(ranges + 1))
         out = []
@@ -263,16 +274,80 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     pairs = written(entries.join(first, "key").filter("node != a").select("a", F.col("node").alias("b")).distinct())
     links = written(verified(pairs, sets))
     roots = components(links)
-    placed = entries.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    left = written(placed.join(apart, "key"))
-    x, y = left.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), left.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-    rest = x.join(y, "key").filter("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = written(verified(rest.join(pairs, ["a", "b"], "left_anti"), sets))
+    # Only keys that lie in several components matter from here on.
+    left = written(_in_several(entries, roots))
+    for turn in range(1, TURNS):
+        leader = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.pmod("key", F.lit(3)), F.lit(turn)).alias("h"), "node", "root")).alias("x"))
+        met = left.join(leader, "key").filter(F.col("root") != F.col("x.root")).select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
+        met = written(met.join(pairs, ["a", "b"], "left_anti"))
+        new = written(verified(met, sets))
+        if not new.limit(1).count():
+            break
+        pairs, links = pairs.union(met), links.union(new)
+        roots = components(links)
+        left = written(_in_several(left.select("node", "key"), roots))
+    more = written(compared(left, sets))
     released(spark)
     return components(links.union(more)) if more.limit(1).count() else roots
 
 
+def compared(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components, from the exact comparison of all nodes that are left and joined by keys.
+
+    Nodes joined by keys are a cluster; a cluster is cut by hash into blocks of
+    about BLOCK fingerprints, and each two blocks are compared in a task of their
+    own, of bounded size, which gives one link for each two components it joins.
+    """
+    first = left.groupBy("key").agg(F.min("node").alias("a"))
+    clusters = components(left.join(first, "key").select("a", F.col("node").alias("b")).distinct())
+    nodes = left.select("node", "root").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node").join(sets.select("node", "n", "marks"), "node")
+    size = left.select("node").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node").join(sets.select("node", "n"), "node").groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = nodes.join(size, "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = dealt.select("cluster", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("high"), "node", "root", "n", "marks")
+
+    def run(table: pa.Table) -> pa.Table:
+        high = table.column("high").to_numpy()
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        side = [np.nonzero(~high)[0], np.nonzero(high)[0]] if hi != lo else [np.arange(len(high))] * 2
+        node, root, n = (table.column(c).to_numpy() for c in ("node", "root", "n"))
+        lists = table.column("marks").combine_chunks()
+        ends = lists.offsets.to_numpy()
+        owner = np.repeat(np.arange(len(high)), np.diff(ends))
+        tokens, index = np.unique(lists.values.to_numpy()[ends[0] : ends[-1]], return_inverse=True)
+        rows = [np.full(len(high), -1), np.full(len(high), -1)]
+        for k in (0, 1):
+            rows[k][side[k]] = np.arange(len(side[k]))
+        both = np.zeros((len(side[0]), len(side[1])), dtype=np.float32)
+        order = np.argsort(index, kind="stable")
+        index, owner = index[order], owner[order]
+        for start in range(0, len(tokens), 1024):
+            a, b = np.searchsorted(index, (start, start + 1024))
+            part = []
+            for k in (0, 1):
+                mine = rows[k][owner[a:b]]
+                m = np.zeros((len(side[k]), 1024), dtype=np.float32)
+                m[mine[mine >= 0], index[a:b][mine >= 0] - start] = 1
+                part.append(m)
+            both += part[0] @ part[1].T
+        na, nb = n[side[0]][:, None], n[side[1]][None, :]
+        hit = (100 * both >= 75 * (na + nb - both)) & (root[side[0]][:, None] != root[side[1]][None, :])
+        found = {}
+        for i, j in zip(*np.nonzero(hit), strict=True):
+            x, y = side[0][i], side[1][j]
+            found.setdefault((min(root[x], root[y]), max(root[x], root[y])), (node[x], node[y]))
+        return pa.table({"a": pa.array([int(v[0]) for v in found.values()], pa.int64()), "b": pa.array([int(v[1]) for v in found.values()], pa.int64())})
+
+    return pairs.groupBy("cluster", "lo", "hi").applyInArrow(run, "a long, b long")
+
+
+def _in_several(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root) of the keys whose nodes lie in several components."""
+    placed = entries.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    return placed.join(apart, "key")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, n_shingles, component) of each row of docs; component: the smallest id reachable by links."""
     nodes = written(nodes_of(docs, doc_id, text))
