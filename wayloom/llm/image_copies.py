@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import components
 
-PER_IMAGE, RADIUS, TURNS, LEAST = 48, 6, 32, 6
-NEAR, SHARE = 48, 0.3  # differing bits of a match; share of the features that must agree
+PER_IMAGE, RADIUS, TURNS, LEAST = 48, 6, 32, 5
+NEAR, SHARE = 48, 0.2  # differing bits of a match; share of the features that must agree
 TABLES, WORD = 20, 24  # Hamming tables, and the bits of the descriptor that each one reads
 SCALES = (1.0, 0.7)
 HEADER = re.compile(rb"P5\s+(\d+)\s+(\d+)\s+255\s")

@@ -27,7 +27,7 @@ from .bpe_paths import NEVER, MergeTable, PathFinder
 from .common import Memo, with_fields
 
 MARK = "▁"
-KEEP = 250_000  # segments remembered by each worker
+KEEP = 90_000  # segments remembered by each worker
 SHORT = 40  # code points of a segment that is remembered
 
 
@@ -69,7 +69,7 @@ class PieceTransducer:
         self._ready()
 
     def _ready(self):
-        self.finder = PathFinder(PieceTable(self.score), self.id_of, max(map(len, self.id_of)))
+        self.finder = PathFinder(PieceTable(self.score), self.id_of, max(map(len, self.id_of)), KEEP)
         self.coded = {p: i.to_bytes(4, "little") for p, i in self.id_of.items()}
         self.alphabet = {p for p in self.id_of if len(p) == 1}
         self.memo = Memo(self._solve, KEEP)
