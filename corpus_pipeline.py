@@ -41,9 +41,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' piece ids, and whether they decode to the text."""
-    model = tokenizer_file(PIECES)
-    decoded = sentencepiece_paths.decode(sentencepiece_paths.encode(docs, model), model)
-    return decoded.withColumn("round_trip", F.col("decoded").eqNullSafe(F.col("text"))).drop("decoded")
+    both = sentencepiece_paths.encode(docs, tokenizer_file(PIECES), decoded="decoded")
+    return both.withColumn("round_trip", F.col("decoded").eqNullSafe(F.col("text"))).drop("decoded")
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("mix", mix), ("pieces", pieces)]

@@ -20,10 +20,8 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = tokenizer_file(PIECES)
-    encoded = sentencepiece_paths.encode(documents(spark, sf_dir).select("doc_id", "text"), model)
-    decoded = sentencepiece_paths.decode(encoded, model)
-    return decoded.select("doc_id", F.size(F.coalesce("piece_ids", F.array().cast("array<int>"))).cast("long").alias("n_pieces"), "piece_ids", F.crc32("decoded").alias("decoded_crc32"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    both = sentencepiece_paths.encode(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_file(PIECES), decoded="decoded")
+    return both.select("doc_id", F.size(F.coalesce("piece_ids", F.array().cast("array<int>"))).cast("long").alias("n_pieces"), "piece_ids", F.crc32("decoded").alias("decoded_crc32"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from .bpe_paths import NEVER, MergeTable, PathFinder
 from .common import Memo, with_fields
 
 MARK = "▁"
-KEEP = 90_000  # segments remembered by each worker
+KEEP = 150_000  # segments remembered by each worker
 SHORT = 40  # code points of a segment that is remembered
 
 
@@ -132,10 +132,10 @@ class PieceTransducer:
         return text[1:] if self.leading and text[:1] == " " else text
 
 
-def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "piece_ids") -> DataFrame:
-    """docs with the piece ids of each whole text as array<int>."""
+def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "piece_ids", decoded: str | None = None) -> DataFrame:
+    """docs with the piece ids of each whole text as array<int>; if decoded is named, also with what the ids decode to."""
     machine = docs.sparkSession.sparkContext.broadcast(PieceTransducer(model_file))  # bounded by the vocabulary
-    docs = docs.drop(ids) if ids in docs.columns else docs
+    docs = docs.drop(ids, *([decoded] if decoded else []))
     names, at = docs.columns, docs.columns.index(text)
 
     def run(frames):
@@ -145,15 +145,16 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "pie
             ends = np.cumsum([0] + [0 if p is None else len(p) // 4 for p in parts])
             flat = pa.array(np.frombuffer(b"".join([p for p in parts if p]), dtype="<i4"), pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array([p is None for p in parts], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*frame.columns, lists], names=[*names, ids])
+            more = [pa.array([None if p is None else own.decode(np.frombuffer(p, dtype="<i4").tolist()) for p in parts], pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*frame.columns, lists, *more], names=[*names, ids, *([decoded] if decoded else [])])
 
-    return docs.mapInArrow(run, with_fields(docs.schema, **{ids: "array<int>"}))
+    return docs.mapInArrow(run, with_fields(docs.schema, **{ids: "array<int>"} | ({decoded: "string"} if decoded else {})))
 
 
 def decode(docs: DataFrame, model_file: str, ids: str = "piece_ids", text: str = "decoded") -> DataFrame:
     """docs with the text that the piece ids spell."""
     machine = docs.sparkSession.sparkContext.broadcast(PieceTransducer(model_file))
-    docs = docs.drop(text) if text in docs.columns else docs
+    docs = docs.drop(text)
     names, at = docs.columns, docs.columns.index(ids)
 
     def run(frames):
