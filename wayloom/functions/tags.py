@@ -73,7 +73,7 @@ def max_speed(tags: Column, reverse: bool = False) -> Column:
     """km/h, 150 at most; null where there is none. A direction's own tag goes first."""
     own = speed_value(tag(tags, "maxspeed:backward" if reverse else "maxspeed:forward"))
     value = F.coalesce(own, speed_value(tag(tags, "maxspeed")))
-    return F.when(value == -1, F.when(tag(tags, "highway").isin(FAST_ROADS), 150.0)).otherwise(F.least(value, F.lit(150.0)))
+    return F.when(value == -1, F.when(tag(tags, "highway").isin(FAST_ROADS), 150.0)).when(value > 0, F.least(value, F.lit(150.0)))
 
 
 def road_access(tags: Column, mode: str = "car") -> Column:
