@@ -1,0 +1,233 @@
+"""The training-data operators on small fixtures against brute force, libraries and round trips."""
+
+import collections
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from wayloom.llm import external_shuffle, html_lstm, html_training, image_copies, line_dedup, ngram_join, pii_surrogates, quality_rules, sentencepiece_paths, source_mixing, token_counts
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+R = random.Random(3)
+WORDS = "the of and stone river walking under bright é 中文 don't x".split()
+LINES = [" ".join(R.choice(WORDS) for _ in range(R.randint(1, 14))) for _ in range(12)]
+TEXTS = ["\n".join(R.choice(LINES) for _ in range(R.randint(1, 7))) for _ in range(60)]
+EDGE = [None, "", " \n\t ", "one", "\n\n", "x" * 5000, " ".join(["same"] * 400), TEXTS[0], TEXTS[0], "a b c d e f " * 300]
+ROWS = [(k, t, "en", f"s{k % 3}" if k % 7 else None, 0) for k, t in enumerate(TEXTS + EDGE)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([*ROWS, (None, "null id of a row", None, None, None), ROWS[5]], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def file_of(name):
+    return pytest.importorskip("public_tokenizers").path(name)
+
+
+def odd_texts(pieces, n):
+    return ["".join(R.choice(pieces) for _ in range(R.randint(0, 25))) for _ in range(n)]
+
+
+def test_pieces_equal_library(docs, empty):
+    import sentencepiece
+
+    path = file_of("piece_bpe_32k.model")
+    own, lib = sentencepiece_paths.PieceTransducer(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    for t in [x[1] or "" for x in ROWS] + odd_texts(["a", "th", "ing", " ", "  ", "\n", "\r", "\t", "é", "中", "😀", "▁", "12", "def ", ");", '"', "        "], 2000):
+        assert own.encode(t) == lib.encode(t)
+        assert own.decode(own.encode(t)) == lib.decode(lib.encode(t))
+    both = sentencepiece_paths.encode(docs, path, decoded="back")
+    assert both.filter("NOT back <=> text").count() == 0
+    again = sentencepiece_paths.decode(both, path, text="again")
+    assert again.filter("NOT again <=> text").count() == 0
+    assert sentencepiece_paths.encode(empty, path).count() == 0
+
+
+def test_token_counts_equal_library(docs, empty):
+    import tokenizers
+
+    path = file_of("word_bpe_49k.json")
+    own, lib = token_counts.CountingTokenizer(path), tokenizers.Tokenizer.from_file(path)
+    for t in [x[1] or "" for x in ROWS] + odd_texts(["a", "TH", "ing", " ", "\n", "é", "é", "Σ", "İ", "'s", "'LL", "'", "中", "😀", "12", "<|endoftext|>", "<|", "\x1c", "\xa0", "...", "²"], 2000):
+        assert own.count(t, R.choice([1, 5, 1 << 14])) == len(lib.encode(t, add_special_tokens=False).ids)
+    rows = token_counts.count_tokens(docs, path, 10).collect()
+    assert all(r.n_bytes == len((r.text or "").encode()) and r.over_limit == (r.n_tokens > 10) for r in rows)
+    assert token_counts.count_tokens(empty, path, 10).count() == 0
+
+
+def test_quality_counts_equal_brute_force(docs, empty):
+    for r in quality_rules.score(docs).collect():
+        t = r.text or ""
+        words, lines = re.findall(r"[^\x20\x09-\x0D]+", t), [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        count, covered = collections.Counter(grams), set()
+        for i, g in enumerate(grams):
+            covered |= set(range(i, i + 5)) if count[g] > 1 else set()
+        assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), len(lines) - len(set(lines)), len(covered))
+        assert r.base_failed == (len(words) < 10 or 100 * len(covered) > 20 * len(words)) and not (r.base_failed and r.kept)
+    assert quality_rules.score(empty).count() == 0
+
+
+def test_quality_keeps_prose_and_rejects_symbols(spark):
+    prose = " ".join(f"the {w} of a {w}er and the {w}ing is in it." for w in ("stone", "river", "light", "garden", "winter", "letter"))
+    junk = " ".join(f"{w}{R.choice(['***', '%%%', '&&&'])}" for w in "abcd efgh ijkl mnop qrst uvwx".split() for _ in range(1)) + " " + " ".join(f"{a}{b}###" for a in "abcdefgh" for b in "klmnop")
+    got = {r.doc_id: r.kept for r in quality_rules.score(spark.createDataFrame([(1, prose, "en", "s", 0), (2, junk, "en", "s", 0), (3, prose, "xx", "s", 0)], SCHEMA)).collect()}
+    assert got == {1: True, 2: False, 3: True}
+
+
+def brute_lines(rows, least):
+    docs = sorted({(i is not None, i, t) for i, t in rows if t is not None}, key=lambda x: (x[0], x[1] or 0))
+    words = lambda x: len(re.findall(r"[^\x20\x09-\x0D]+", x))
+    windows = []
+    for d, (_, _, t) in enumerate(docs):
+        ls = t.split("\n")
+        for a in range(len(ls)):
+            for z in range(a + 1, len(ls) + 1):
+                if sum(map(words, ls[a:z])) >= least:
+                    windows.append((tuple(ls[a:z]), d, a))
+    first = {}
+    for w, d, a in windows:
+        first[w] = min(first.get(w, (d, a)), (d, a))
+    gone = collections.defaultdict(set)
+    for w, d, a in windows:
+        if first[w] < (d, a):
+            gone[d] |= set(range(a, a + len(w)))
+    return {(i, t): "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d]) for d, (_, i, t) in enumerate(docs)}
+
+
+@pytest.mark.parametrize("least", [1, 10, 25])
+def test_line_runs_equal_brute_force(spark, empty, least):
+    rows = [(k, t) for k, t in enumerate(TEXTS)] + [(100, ""), (101, None), (102, TEXTS[3]), (102, TEXTS[3])]
+    want = brute_lines(rows, least)
+    for r in line_dedup.without_repeats(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA), min_words=least).collect():
+        assert r.text == (None if r.doc_id == 101 else want[r.doc_id, dict(rows)[r.doc_id]])
+    assert line_dedup.without_repeats(empty).count() == 0
+
+
+def test_surrogates_are_distinct_and_coreferent(spark, empty):
+    text = "Dr. Maria Lopez met Mr. John Smith. Lopez wrote to A.B@x.org and a.b@x.org from 10.1.2.3, card 4111 1111 1111 1111, +1 (743) 555-3824 or +17435553824, IBAN DE89 3704 0044 0532 0130 00, Анна Иванова"
+    rows = [(1, text), (2, "mail a.b@x.org"), (3, "clean words only"), (4, None), (5, ""), (6, "call +1 (743) 555-3825")]
+    got = {r.doc_id: r for r in pii_surrogates.with_surrogates(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA), b"key").collect()}
+    for old in ("Maria", "Lopez", "Smith", "a.b@x.org", "A.B@x.org", "10.1.2.3", "4111 1111", "555-3824", "3704 0044", "Анна"):
+        assert old not in got[1].text
+    by = collections.defaultdict(list)
+    for s in got[1].spans:
+        by[s.kind].append((text[s.start : s.stop], s.surrogate))
+    assert len({v for _, v in by["email"]}) == 1 and got[2].spans[0].surrogate == by["email"][0][1]
+    assert len({v for _, v in by["phone"]}) == 1 and got[6].spans[0].surrogate != by["phone"][0][1]
+    names = dict(by["last"])
+    assert [s for s, _ in by["last"]].count("Lopez") == 2 and names["Lopez"] != names["Smith"]
+    assert dict(by["first"])["Maria"].title() in pii_surrogates.FEMALE and dict(by["first"])["John"].title() in pii_surrogates.MALE
+    assert pii_surrogates.luhn(by["card"][0][1]) == 0 and pii_surrogates.iban_rest(by["iban"][0][1]) == 1
+    assert got[3].text == "clean words only" and got[4].text is None and got[5].n_entities == 0
+    assert pii_surrogates.with_surrogates(empty, b"key").count() == 0
+
+
+def test_crowded_surrogates_stay_distinct(spark):
+    entities = spark.createDataFrame([("first", n.casefold(), "f") for n in pii_surrogates.FEMALE.split()], "kind string, canon string, gender string")
+    got = pii_surrogates.surrogates_of(entities, b"key").collect()
+    assert len({r.surrogate for r in got}) == len(got) and not {r.surrogate for r in got} & {r.canon for r in got}
+
+
+def test_edited_images_are_found(spark):
+    rows = []
+    for k in range(30):
+        rows += [(3 * k, image_copies.encoded(image_copies.scene(k))), (3 * k + 1, image_copies.encoded(image_copies.edited(image_copies.scene(k), k))), (3 * k + 2, image_copies.encoded(image_copies.scene(k)))]
+    rows += [(1000, None), (1001, b""), (1002, b"P5 4 4 255\n"), (1003, image_copies.encoded(np.full((40, 40), 9.0)))]
+    got = {r.img: r for r in image_copies.image_classes(spark.createDataFrame(rows, "img long, image binary")).collect()}
+    assert all(got[3 * k].class_id == got[3 * k + 2].class_id == 3 * k for k in range(30))
+    assert sum(got[3 * k + 1].class_id == 3 * k for k in range(30)) >= 24
+    assert all(got[k].class_id == k for k in (1000, 1003))
+    assert len({got[3 * k].class_id for k in range(30)}) == 30
+
+
+def test_blocks_on_held_out_pages():
+    blocks_right, pages_right = html_training.held_out(html_lstm.load_weights(), 200, seed=7)
+    assert blocks_right > 0.99 and pages_right > 0.93
+
+
+def test_pages_without_text(spark):
+    page = "<html><body><nav><a href=/>Home</a></nav><article><h1>A title</h1><p>Some&nbsp;words &amp; more <b>here</b>.<p>And the second one, with more words in it.</article><footer>&copy; x</footer>"
+    rows = [(1, "u", page), (2, "u", None), (3, "u", ""), (4, None, "<p"), (None, "u", "<script>x</script>")]
+    got = {r.page_id: r.main_text for r in html_lstm.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "A title\n\nSome words & more here.\n\nAnd the second one, with more words in it."
+    assert got[2] == got[3] == got[None] == ""
+
+
+def test_shards_hold_all_rows_without_gaps(docs, empty):
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
+    run = lambda d: external_shuffle.shuffle_into_shards(d, size, bucket_bytes=2000)
+    rows = run(docs).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in rows) == collections.Counter((r.doc_id, r.text) for r in docs.collect())
+    for s in range(8):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    counts = collections.Counter(r.shard for r in rows)
+    assert max(counts.values()) - min(counts.values()) <= 1
+    assert sorted(map(str, run(docs).collect())) == sorted(map(str, rows)) and run(empty).count() == 0
+
+
+def test_mixture_meets_targets(spark, docs, empty):
+    rows = [(k, "w " * R.randint(1, 60), "en", f"s{k % 5}", 0) for k in range(800)]
+    got = source_mixing.drawn(spark.createDataFrame(rows, SCHEMA)).collect()
+    for s in {r.source for r in got}:
+        own = [r for r in got if r.source == s]
+        assert abs(sum(len(r.mix_shards) * r.mix_size for r in own) - own[0].mix_target) <= 30
+    assert max(len(r.mix_shards) for r in got) <= 3
+    assert source_mixing.drawn(docs).count() == docs.count() and source_mixing.drawn(empty).count() == 0
+    assert source_mixing.mixture(spark.createDataFrame(rows, SCHEMA)).count() == sum(len(r.mix_shards) for r in got)
+
+
+def test_targets_and_tree():
+    t = source_mixing.targets({"a": 10, "b": 1000, "c": 500, None: 90})
+    assert t["a"] == 30 and abs(sum(t.values()) - 1600) < 1e-6 and t[None] == 270
+    dealt = source_mixing.split(np.array([5, 0, 17, 100]), 8, 1)
+    assert (dealt.sum(0) == [5, 0, 17, 100]).all() and dealt.sum(1).max() - dealt.sum(1).min() <= 1 and (dealt >= 0).all()
+
+
+def test_near_duplicates_equal_brute_force(spark, empty):
+    rows, base = [], [[R.choice(WORDS) + str(R.randint(0, 90)) for _ in range(R.choice([3, 12, 60, 200]))] for _ in range(12)]
+    for k in range(150):
+        words = list(R.choice(base))
+        for _ in range(R.choice([0, 0, 1, 2, 4])):
+            words[R.randrange(len(words))] = f"new{R.randint(0, 9)}"
+        rows.append((k, " ".join(words).upper() if k % 9 == 0 else " ".join(words)))
+    rows += [(500, None), (501, ""), (502, " "), (503, rows[0][1]), (503, rows[0][1])]
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").replace("\n", " "))
+        w = ["".join(c.lower() if "A" <= c <= "Z" else c for c in x) for x in w]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            o = len(sets[a] & sets[b])
+            if sets[a] and 100 * o >= 75 * (len(sets[a]) + len(sets[b]) - o):
+                x, y = find(rows[a][0]), find(rows[b][0])
+                root[max(x, y)] = min(x, y)
+    want = collections.Counter((i, len(s), find(i)) for (i, _), s in zip(rows, sets, strict=True))
+    got = ngram_join.near_duplicates(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA))
+    assert collections.Counter(map(tuple, got.collect())) == want
+    assert ngram_join.near_duplicates(empty).count() == 0
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0 and out.filter("NOT round_trip").count() == 0
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_copies", "mix", "pieces"]
