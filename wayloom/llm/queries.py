@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import external_shuffle, html_lstm, image_copies, line_dedup, ngram_join, pii_surrogates, quality_rules, sentencepiece_paths, source_mixing, token_counts
 from .common import documents
+from .oracles import ORACLES as ORACLES
 
 PIECES = "piece_bpe_32k.model"
 WORDS = "word_bpe_49k.json"
@@ -26,7 +27,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
-    return kept.select("doc_id", "n_lines", "n_deleted", "n_runs", F.char_length("text").cast("long").alias("n_chars_kept"), F.crc32("text").alias("kept_crc32"))
+    return kept.select("doc_id", "n_lines", "n_deleted", "n_runs", F.char_length("text").cast("long").alias("n_chars_kept"), F.md5("text").alias("kept_md5"))
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,5 +70,4 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_pii_surrogates, op4_image_copies, op5_token_counts, op6_quality_divergence, op7_html_lstm, op8_external_shuffle, op9_source_mixing, op10_ngram_join)}
-ORACLES: dict[str, str] = {}
 
