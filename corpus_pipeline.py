@@ -18,7 +18,7 @@ from wayloom.llm.queries import PIECES, tokenizer_file
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_rules.score(docs).filter("kept").select(*docs.columns)
+    return quality_rules.kept_documents(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

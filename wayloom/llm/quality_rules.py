@@ -109,3 +109,14 @@ def score(docs: DataFrame, text: str = "text", **changed) -> DataFrame:
     failed = (b["n"] < p["least_words"]) | (100 * F.col("·r") > p["repeat_percent"] * b["n"])
     unlike = (b["n"] >= p["min_words"]) & ((F.col("·c") > p["far_chars"]) | ((F.col("·c") > p["near_chars"]) & (F.col("·d") > p["near_words"])))
     return fifth.select(*names, b["n"].alias("n_words"), b["chars"].alias("word_chars"), b["symbols"].alias("n_symbols"), b["dup"].alias("n_dup_lines"), F.col("·r").alias("n_repeat_words"), failed.alias("base_failed"), F.col("·c").alias("char_distance"), F.col("·d").alias("word_distance"), (~failed & ~unlike).alias("kept"))
+
+
+def kept_documents(docs: DataFrame, text: str = "text", **changed) -> DataFrame:
+    """The documents that are kept, with their own columns.
+
+    A filter would be pushed below the scores, and each name in it replaced by
+    its whole formula, level by level; a generator stays where it is.
+    """
+    scored = score(docs, text, **changed)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return scored.select(*names, F.explode(F.when(F.col("kept"), F.array(F.lit(1)))).alias("·k")).select(*names)
