@@ -10,7 +10,9 @@ copies are one class from the start. For each distinct image:
    that agree in them meet in a bucket. A bucket links all its
    members with its first and its last image, so it costs its size and not its
    square; buckets of up to three images are complete.
-3. Pairs that met with two features are verified with all of them: mutual
+3. A meeting of two features proposes a similarity transform. Pairs of which two
+   features of each image propose a shift in the same cell of CELL pixels are
+   verified with all features: mutual
    matches each propose a similarity transform (scale, turn, shift), and the
    images are copies if LEAST matches and SHARE of the features agree on one.
    Classes are the connected components.
@@ -35,7 +37,9 @@ from .components import components
 
 PER_IMAGE, RADIUS, TURNS, LEAST = 48, 6, 32, 5
 NEAR, SHARE = 48, 0.2  # differing bits of a match; share of the features that must agree
-TABLES, WORD = 20, 24  # Hamming tables, and the bits of the descriptor that each one reads
+TABLES, WORD = 12, 48  # Hamming tables, and the bits of the descriptor that each one reads
+CELL = 16  # pixels
+SPAN = 1 << 20  # places in a packed feature are below this
 SCALES = (1.0, 0.7)
 HEADER = re.compile(rb"P5\s+(\d+)\s+(\d+)\s+255\s")
 
@@ -81,6 +85,11 @@ def patterns() -> np.ndarray:
 
 PATTERNS = patterns()
 READ = np.stack([np.random.default_rng([43, k]).permutation(256)[:WORD] for k in range(TABLES)])
+#: A table's word is the sum of odd numbers, one for each bit that is set: (256, TABLES), 0 where a table doesn't read.
+WEIGHTS = np.zeros((256, TABLES), dtype=np.uint64)
+for _k in range(TABLES):
+    WEIGHTS[READ[_k], _k] = np.random.default_rng([44, _k]).integers(0, 1 << 63, WORD, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BASES = np.random.default_rng(45).integers(0, 1 << 63, TABLES, dtype=np.uint64)
 DISC = [(dx, dy) for dy in range(-RADIUS, RADIUS + 1) for dx in range(-RADIUS, RADIUS + 1) if dx * dx + dy * dy <= RADIUS * RADIUS]
 
 
@@ -116,7 +125,7 @@ def features(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
         p = PATTERNS[turn]
         bits = smooth[ys[:, None] + p[:, :, 1], xs[:, None] + p[:, :, 0]] < smooth[ys[:, None] + p[:, :, 3], xs[:, None] + p[:, :, 2]]
         packed.append(np.packbits(bits, axis=1))
-        tests.append(bits[:, READ] @ (1 << np.arange(WORD)))
+        tests.append((bits.astype(np.uint64) @ WEIGHTS + BASES).view(np.int64))
         places.append(np.stack([xs / scale, ys / scale, np.full(len(xs), scale), turn], 1))
     if not places:
         return np.zeros((0, 4)), np.zeros((0, TABLES), dtype=np.int64), b""
@@ -170,6 +179,35 @@ def consensus(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def meetings(found: DataFrame) -> DataFrame:
+    """The pairs (a, b) of which two features of each propose about the same shift, from the buckets' first and last images."""
+    turns = 2 * np.pi / TURNS
+    at = lambda f, k: F.element_at("places", (f * 4 + k).cast("int"))
+    # a feature's number, place, scale and turn in one long
+    packed = lambda f: (((f * SPAN + F.round(at(f, 1))) * SPAN + F.round(at(f, 2))) * 2 + (at(f, 3) < 0.99).cast("int")) * TURNS + at(f, 4)
+    flat = found.select("img", F.posexplode("words").alias("n", "word"), "places").withColumn("f", F.floor(F.col("n") / TABLES))
+    entries = flat.select("img", "word", packed(F.col("f")).cast("long").alias("place"))
+    one = F.struct("img", "place")
+    buckets = entries.groupBy("word").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).filter("lo.img < hi.img")
+    met = entries.join(buckets, "word").select(one.alias("me"), F.explode(F.array("lo", "hi")).alias("hub")).filter("me.img != hub.img")
+    ordered = met.select(F.least("me", "hub").alias("p"), F.greatest("me", "hub").alias("q"))
+
+    def read(end: str) -> dict:
+        v = F.col(f"{end}.place")
+        rest = F.shiftright(v, 6)
+        return {"turn": F.pmod(v, F.lit(TURNS)) * turns, "scale": F.when(F.pmod(F.shiftright(v, 5), F.lit(2)) == 1, SCALES[1]).otherwise(SCALES[0]), "y": F.pmod(rest, F.lit(SPAN)), "x": F.pmod(F.shiftright(rest, 20), F.lit(SPAN)), "bit": F.shiftright(rest, 40)}
+
+    p, q = read("p"), read("q")
+    turn, scale = q["turn"] - p["turn"], p["scale"] / q["scale"]
+    dx = q["x"] - scale * (F.cos(turn) * p["x"] - F.sin(turn) * p["y"])
+    dy = q["y"] - scale * (F.sin(turn) * p["x"] + F.cos(turn) * p["y"])
+    cell = lambda d: F.floor(d / CELL).cast("int")
+    mask = lambda bit: F.expr("shiftleft(1L, cast({} as int))".format(bit))
+    votes = ordered.select(F.col("p.img").alias("a"), F.col("q.img").alias("b"), cell(dx).alias("cx"), cell(dy).alias("cy"), p["bit"].alias("fa"), q["bit"].alias("fb"))
+    agreed = votes.groupBy("a", "b", "cx", "cy").agg(F.bit_or(mask("fa")).alias("ma"), F.bit_or(mask("fb")).alias("mb"))
+    return agreed.filter((F.bit_count("ma") >= 2) & (F.bit_count("mb") >= 2)).select("a", "b").distinct()
+
+
 def image_classes(images: DataFrame, img: str = "img", image: str = "image") -> DataFrame:
     """(img, n_features, class_id, n_links) of each row; class_id: the smallest id in its class; n_links: copies found among distinct images."""
     rows = images.select(F.col(f"`{img}`").cast("long").alias("img"), F.col(f"`{image}`").alias("image"), F.md5(F.col(f"`{image}`")).alias("digest"))
@@ -177,12 +215,8 @@ def image_classes(images: DataFrame, img: str = "img", image: str = "image") ->
     heads = digests.groupBy("digest").agg(F.min("img").alias("head"))
     distinct = rows.filter("img IS NOT NULL AND digest IS NOT NULL").join(heads.withColumnRenamed("digest", "·d"), (F.col("digest") == F.col("·d")) & (F.col("img") == F.col("head"))).select("img", "image").dropDuplicates(["img"])
     found = written(described(distinct))
-    word = F.posexplode("words").alias("at", "word")
-    entries = found.select("img", word).select("img", F.floor(F.col("at") / TABLES).cast("int").alias("f"), F.pmod("at", F.lit(TABLES)).alias("table"), "word")
-    buckets = entries.groupBy("table", "word").agg(F.min("img").alias("lo"), F.max("img").alias("hi")).filter("lo < hi")
-    met = entries.join(buckets, ["table", "word"]).select("img", "f", F.explode(F.array("lo", "hi")).alias("other")).filter("img != other")
-    votes = met.groupBy(F.least("img", "other").alias("a"), F.greatest("img", "other").alias("b")).agg(F.count_distinct(F.struct("img", "f")).alias("n"))
-    links = written(consensus(votes.filter("n >= 2").select("a", "b"), found))
+    votes = meetings(found)
+    links = written(consensus(votes, found))
     degree = links.select(F.col("a").alias("head")).union(links.select(F.col("b"))).groupBy("head").agg(F.count("*").alias("n_links"))
     roots = components(links).select(F.col("node").alias("head"), "root")
     counts = found.select(F.col("img").alias("head"), (F.size("places") / 4).alias("n_features"))
