@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -46,6 +47,12 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that were written and forgotten."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array, empty where it is null or blank."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")

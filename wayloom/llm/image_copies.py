@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 from .components import components
 
 PER_IMAGE, RADIUS, TURNS, LEAST = 48, 6, 32, 5
@@ -188,7 +188,8 @@ def meetings(found: DataFrame) -> DataFrame:
     flat = found.select("img", F.posexplode("words").alias("n", "word"), "places").withColumn("f", F.floor(F.col("n") / TABLES))
     entries = flat.select("img", "word", packed(F.col("f")).cast("long").alias("place"))
     one = F.struct("img", "place")
-    buckets = entries.groupBy("word").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).filter("lo.img < hi.img")
+    buckets = written(entries.groupBy("word").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).filter("lo.img < hi.img"))
+    released(found.sparkSession)
     met = entries.join(buckets, "word").select(one.alias("me"), F.explode(F.array("lo", "hi")).alias("hub")).filter("me.img != hub.img")
     ordered = met.select(F.least("me", "hub").alias("p"), F.greatest("me", "hub").alias("q"))
 
@@ -201,11 +202,13 @@ def meetings(found: DataFrame) -> DataFrame:
     turn, scale = q["turn"] - p["turn"], p["scale"] / q["scale"]
     dx = q["x"] - scale * (F.cos(turn) * p["x"] - F.sin(turn) * p["y"])
     dy = q["y"] - scale * (F.sin(turn) * p["x"] + F.cos(turn) * p["y"])
-    cell = lambda d: F.floor(d / CELL).cast("int")
+    cell = lambda d: F.floor(d / CELL).cast("long")
     mask = lambda bit: F.expr("shiftleft(1L, cast({} as int))".format(bit))
-    votes = ordered.select(F.col("p.img").alias("a"), F.col("q.img").alias("b"), cell(dx).alias("cx"), cell(dy).alias("cy"), p["bit"].alias("fa"), q["bit"].alias("fb"))
-    agreed = votes.groupBy("a", "b", "cx", "cy").agg(F.bit_or(mask("fa")).alias("ma"), F.bit_or(mask("fb")).alias("mb"))
-    return agreed.filter((F.bit_count("ma") >= 2) & (F.bit_count("mb") >= 2)).select("a", "b").distinct()
+    votes = ordered.select(F.col("p.img").alias("a"), F.col("q.img").alias("b"), (cell(dx) * (1 << 32) + cell(dy)).alias("cell"), p["bit"].alias("fa"), q["bit"].alias("fb"))
+    agreed = votes.groupBy("a", "b", "cell").agg(F.bit_or(mask("fa")).alias("ma"), F.bit_or(mask("fb")).alias("mb"))
+    pairs = written(agreed.filter((F.bit_count("ma") >= 2) & (F.bit_count("mb") >= 2)).select("a", "b").distinct())
+    released(found.sparkSession)
+    return pairs
 
 
 def image_classes(images: DataFrame, img: str = "img", image: str = "image") -> DataFrame:

@@ -29,7 +29,6 @@ node's component; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import gc
 import re
 
 import numpy as np
@@ -38,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, written
+from .common import Memo, released, written
 from .components import components
 
 WINDOW = 5
@@ -255,12 +254,6 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(100 * F.col("o") >= 75 * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
-def released(spark) -> None:
-    """Let Spark delete the shuffle files of tables that were written and forgotten."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def similar_nodes(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     """(node, root) of all nodes that have links."""
     spark = docs.sparkSession
