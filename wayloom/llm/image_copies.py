@@ -93,9 +93,9 @@ BASES = np.random.default_rng(45).integers(0, 1 << 63, TABLES, dtype=np.uint64)
 DISC = [(dx, dy) for dy in range(-RADIUS, RADIUS + 1) for dx in range(-RADIUS, RADIUS + 1) if dx * dx + dy * dy <= RADIUS * RADIUS]
 
 
-def features(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """(x, y, scale, turn), a word for each table, and the bits of each feature, in the image's own coordinates."""
-    places, tests, packed = [], [], []
+def features(image: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """(x, y, scale, turn) and the bits of each feature, in the image's own coordinates."""
+    places, packed = [], []
     for scale in SCALES:
         a = resized(image, scale) if scale != 1 else image
         m = RADIUS + 1
@@ -125,25 +125,24 @@ def features(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
         p = PATTERNS[turn]
         bits = smooth[ys[:, None] + p[:, :, 1], xs[:, None] + p[:, :, 0]] < smooth[ys[:, None] + p[:, :, 3], xs[:, None] + p[:, :, 2]]
         packed.append(np.packbits(bits, axis=1))
-        tests.append((bits.astype(np.uint64) @ WEIGHTS + BASES).view(np.int64))
         places.append(np.stack([xs / scale, ys / scale, np.full(len(xs), scale), turn], 1))
     if not places:
-        return np.zeros((0, 4)), np.zeros((0, TABLES), dtype=np.int64), b""
-    return np.concatenate(places), np.concatenate(tests), np.concatenate(packed).tobytes()
+        return np.zeros((0, 4)), b""
+    return np.concatenate(places), np.concatenate(packed).tobytes()
 
 
 def described(images: DataFrame) -> DataFrame:
-    """(img, places, words, bits) of each image of images (img, image): its features, flat."""
+    """(img, places, bits) of each image of images (img, image): its features, flat."""
 
     def run(frames):
         for frame in frames:
             rows = []
             for data in frame.column(1).to_pylist():
                 image = decoded(data)
-                rows.append(features(image) if image is not None else (np.zeros((0, 4)), np.zeros((0, TABLES), dtype=np.int64), b""))
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array([r[0].reshape(-1) for r in rows], pa.list_(pa.float64())), pa.array([r[1].reshape(-1) for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.binary())], names=["img", "places", "words", "bits"])
+                rows.append(features(image) if image is not None else (np.zeros((0, 4)), b""))
+            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array([r[0].reshape(-1) for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.binary())], names=["img", "places", "bits"])
 
-    return images.mapInArrow(run, "img long, places array<double>, words array<long>, bits binary")
+    return images.mapInArrow(run, "img long, places array<double>, bits binary")
 
 
 def agreeing(places_a, bits_a, places_b, bits_b) -> int:
@@ -182,11 +181,20 @@ def consensus(pairs: DataFrame, found: DataFrame) -> DataFrame:
 def meetings(found: DataFrame) -> DataFrame:
     """The pairs (a, b) of which two features of each propose about the same shift, from the buckets' first and last images."""
     turns = 2 * np.pi / TURNS
-    at = lambda f, k: F.element_at("places", (f * 4 + k).cast("int"))
-    # a feature's number, place, scale and turn in one long
-    packed = lambda f: (((f * SPAN + F.round(at(f, 1))) * SPAN + F.round(at(f, 2))) * 2 + (at(f, 3) < 0.99).cast("int")) * TURNS + at(f, 4)
-    flat = found.select("img", F.posexplode("words").alias("n", "word"), "places").withColumn("f", F.floor(F.col("n") / TABLES))
-    entries = flat.select("img", "word", packed(F.col("f")).cast("long").alias("place"))
+
+    def run(frames):
+        for frame in frames:
+            for img, places, bits in zip(*(frame.column(k).to_pylist() for k in range(3)), strict=True):
+                if not bits:
+                    continue
+                x, y, scale, turn = np.rint(np.reshape(places, (-1, 4)) * (1, 1, 10, 1)).astype(np.int64).T
+                # a feature's number, place, scale and turn in one long
+                packed = (((np.arange(len(x)) * SPAN + x) * SPAN + y) * 2 + (scale < 10)) * TURNS + turn
+                tests = np.unpackbits(np.frombuffer(bits, dtype=np.uint8).reshape(-1, 32), axis=1).astype(np.uint64)
+                words = (tests @ WEIGHTS + BASES).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(words.size, img)), pa.array(words.reshape(-1)), pa.array(np.repeat(packed, TABLES))], names=["img", "word", "place"])
+
+    entries = found.select("img", "places", "bits").mapInArrow(run, "img long, word long, place long")
     one = F.struct("img", "place")
     buckets = written(entries.groupBy("word").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).filter("lo.img < hi.img"))
     released(found.sparkSession)
