@@ -91,6 +91,11 @@ def decode_polyline(text: str, factor: float = 1e5, dims: int = 2) -> list[tuple
     return out
 
 
-@F.pandas_udf("string")
-def polyline(lines: pd.Series) -> pd.Series:
-    return pd.Series([encode_polyline([(p["lat"], p["lon"]) for p in line]) if line is not None else None for line in lines])
+def polyline(points):
+    """The encoded polyline of an array of (lat, lon); the UDF is made on use, as making it needs a session."""
+
+    @F.pandas_udf("string")
+    def encoded(lines: pd.Series) -> pd.Series:
+        return pd.Series([encode_polyline([(p["lat"], p["lon"]) for p in line]) if line is not None else None for line in lines])
+
+    return encoded(points)
