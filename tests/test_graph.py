@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wayloom.functions import costs, lines, tags
 from wayloom.operators import connectivity, importing, paths
-from wayloom.plans import catalog
+from wayloom.plans import catalog, fixtures
 
 SF = "/root/testdata/sf0.001"
 QUICK = [q for q in catalog.ORACLES if q not in ("route_legs",)]
@@ -56,6 +56,23 @@ def test_rounds_equal_kernel(spark):
     assert sorted(few.collect()) == sorted(many.select(few.columns).collect())
 
 
+def test_rounds_equal_sql_and_kernel_on_lanes(spark, base):
+    arcs, nodes = fixtures.arcs_of(fixtures.lane_edges(spark, SF)), fixtures.lane_nodes(spark, SF)
+    start = nodes.filter(F.col("node").isin(*catalog.SOURCES))
+    many = paths.distances(arcs, start, kernel_arcs=0).cache()
+    assert sorted(many.select("source", "node", "weight").collect()) == sorted(base.execute(catalog.ORACLES["many_to_many"]).fetchall())
+    few = paths.distances(arcs, start)
+    assert sorted(few.collect()) == sorted(many.select(few.columns).collect())
+
+
+def test_rounds_keep_ways_over_arcs_without_weight(spark):
+    arcs = spark.createDataFrame([(10, 0, 1, 5), (3, 1, 2, 0), (2, 2, 1, 0), (4, 2, 3, 1), (1, 0, 4, 6), (0, 4, 3, 0)], "edge_key long, base long, adj long, millis long")
+    state = paths.distances(arcs, spark.createDataFrame([(0,)], "node long"), kernel_arcs=0)
+    assert {r.node: (r.weight, r.hops, r.edge_key) for r in state.collect()} == {0: (0, 0, -1), 1: (5, 1, 10), 2: (5, 2, 3), 3: (6, 3, 4), 4: (6, 1, 1)}
+    with pytest.raises(ValueError):
+        paths.distances(arcs, spark.createDataFrame([(0,)], "node long"), most_rounds=2, kernel_arcs=0)
+
+
 def test_components_by_colours_equal_kernel(spark):
     links = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 3), (5, 5)], "a long, b long")
     nodes = spark.range(6).select(F.col("id").alias("node"))
