@@ -39,7 +39,7 @@ TITLES = {"f": "Mrs Ms Miss Frau Mme Mlle Madame Señora Sra", "m": "Mr Herr Mon
 FIRST = {("f", "LATIN"): FEMALE.split(), ("m", "LATIN"): MALE.split(), ("f", "CYRILLIC"): FEMALE_CYRILLIC.split(), ("m", "CYRILLIC"): MALE_CYRILLIC.split()}
 GENDER = {n.casefold(): g for (g, _), names in FIRST.items() for n in names}
 TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts.split()}
-CUES = frozenset([n for names in FIRST.values() for n in names] + [t + e for t in TITLE_GENDER for e in ("", ".")])
+CUES = frozenset([n for names in FIRST.values() for n in names] + list(TITLE_GENDER))
 LETTERS = {"LATIN": "abcdefghijklmnopqrstuvwxyz", "CYRILLIC": "абвгдежзиклмнопрстуфхцчшщэюя", "GREEK": "αβγδεζηθικλμνξοπρστυφχψω"}
 
 CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω][\w'’]+"
@@ -54,7 +54,9 @@ PATTERNS = [
     ("ip", re.compile(r"(?<![\w.])((?:\d{1,3}\.){3}\d{1,3})(?!\w|\.\d)")),
     ("phone", re.compile(r"(?<![\w.+(])(\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}|\(\d{2,5}\)[ .-]?\d{3,4}[ .-]\d{3,5}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)")),
 ]
-SUSPECT = re.compile("[0-9@:=]")
+# What every find of PATTERNS or NAME holds, so that other texts need no search: one of these, and a cue as a whole word.
+SUSPECT = re.compile(r"[\d@:=]|(?:sk|pk|ghp|gho|xox[bp])[-_]|AKIA")
+WORD = re.compile(r"\w+")
 NUMERIC = {"card", "ssn", "phone"}
 
 
@@ -107,7 +109,7 @@ def detect(text: str | None) -> list[tuple[int, int, str, str, str]]:
             for m in pattern.finditer(text):
                 if valid(kind, m[1]):
                     add(kind, "", *m.span(1))
-    if not CUES.isdisjoint(text.split()):
+    if not CUES.isdisjoint(WORD.findall(text)):
         for m in NAME.finditer(text):
             gender = TITLE_GENDER.get(m["title"] or "", "")
             if m["c"]:
