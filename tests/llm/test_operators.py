@@ -149,6 +149,19 @@ def test_crowded_surrogates_stay_distinct(spark):
     assert len({r.surrogate for r in got}) == len(got) and not {r.surrogate for r in got} & {r.canon for r in got}
 
 
+def test_crowded_first_names_keep_gender_and_script(spark):
+    listed = [(n, *k) for k, names in pii_surrogates.FIRST.items() for n in names]
+    strange = [(f"{stem}{a}{b}", g, s) for s, stem in (("LATIN", "Qx"), ("CYRILLIC", "Щъ"), ("GREEK", "Ψξ")) for g in "fm" for a in pii_surrogates.LETTERS[s][:20] for b in pii_surrogates.LETTERS[s][:20] if (a < b) == (g == "f")]
+    of = {n.casefold(): (g, s) for n, g, s in listed + strange}
+    entities = spark.createDataFrame([("first", n, g) for n, (g, _) in of.items()], "kind string, canon string, gender string")
+    got = {r.canon: r.surrogate for r in pii_surrogates.surrogates_of(entities, b"key").collect()}
+    assert len(set(got.values())) == len(got) == len(of) and not set(got.values()) & set(got)
+    for canon, new in got.items():
+        gender, script = of[canon]
+        assert pii_surrogates.script_of(new) == script
+        assert new.endswith(tuple(pii_surrogates.ENDINGS[gender, script])) and not new.endswith(tuple(pii_surrogates.ENDINGS["fm".replace(gender, ""), script]))
+
+
 def test_edited_images_are_found(spark):
     rows = []
     for k in range(30):

@@ -40,6 +40,17 @@ FIRST = {("f", "LATIN"): FEMALE.split(), ("m", "LATIN"): MALE.split(), ("f", "CY
 GENDER = {n.casefold(): g for (g, _), names in FIRST.items() for n in names}
 TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts.split()}
 CUES = frozenset([n for names in FIRST.values() for n in names] + list(TITLE_GENDER))
+# Made first names: (consonants, vowels) of a script, and endings by gender, of which none is the end of one of the other gender.
+SOUNDS = {"LATIN": ("bcdfghjklmnprstvwz", "aeiou"), "CYRILLIC": ("бвгджзклмнпрстфхцч", "аеиоу"), "GREEK": ("βγδζθκλμνξπρστφχψ", "αειου")}
+ENDINGS = {
+    ("f", "LATIN"): "a ia ina ella ette ine elle".split(),
+    ("m", "LATIN"): "o us ard bert rik son mund".split(),
+    ("f", "CYRILLIC"): "а ия ина ела ета".split(),
+    ("m", "CYRILLIC"): "ий ан ислав имир ент".split(),
+    ("f", "GREEK"): "α ια ινα η".split(),
+    ("m", "GREEK"): "ων ωρ ηλ".split(),  # a final sigma would not outlive case folding
+}
+LISTED = 4  # attempts at a listed first name, before names are made
 LETTERS = {"LATIN": "abcdefghijklmnopqrstuvwxyz", "CYRILLIC": "абвгдежзиклмнопрстуфхцчшщэюя", "GREEK": "αβγδεζηθικλμνξοπρστυφχψω"}
 
 CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω][\w'’]+"
@@ -154,14 +165,25 @@ def same_shape(text: str, draws: Draws, hexadecimal: bool = False) -> str:
     return "".join(out)
 
 
+def made_name(gender: str, script: str, syllables: int, draws: Draws) -> str:
+    """A first name of a gender. A further syllable makes the space some 90 times as large."""
+    consonants, vowels = SOUNDS[script]
+    stem = "".join(consonants[draws.below(len(consonants))] + vowels[draws.below(len(vowels))] for _ in range(syllables))
+    endings = ENDINGS[gender, script]
+    return stem + consonants[draws.below(len(consonants))] + endings[draws.below(len(endings))]
+
+
 def surrogate(key: bytes, kind: str, gender: str, canon: str, attempt: int) -> str:
     """The canonical form of an entity's surrogate; from the 16th attempt on it may be longer."""
     draws = Draws(key, kind, canon, attempt)
     longer = "x" * max(0, attempt - 15)
     if kind == "first" or kind == "last":
-        names = FIRST.get((gender, script_of(canon)), [])
-        if kind == "first" and attempt < 4 and names:
+        script = script_of(canon)
+        names = FIRST.get((gender, script), [])
+        if kind == "first" and attempt < LISTED and names:
             return names[draws.below(len(names))].casefold()
+        if kind == "first" and (gender, script) in ENDINGS:
+            return made_name(gender, script, 1 + max(0, attempt - LISTED + 1) // 2, draws)
         return same_shape(canon + longer, draws)
     if kind == "ip":
         return ".".join(str(draws.below(254) + 1) for _ in range(4))
