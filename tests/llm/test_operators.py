@@ -174,6 +174,37 @@ def test_edited_images_are_found(spark):
     assert len({got[3 * k].class_id for k in range(30)}) == 30
 
 
+def test_all_pairs_of_a_bucket_are_compared(spark):
+    rows = [(100 * k + c, image_copies.encoded(image_copies.edited(image_copies.scene(k), 100 * k + c))) for k in range(6) for c in range(8)]
+    shown = {k: image_copies.features(image_copies.decoded(i)) for k, i in rows}
+    enough = lambda a, b: image_copies.agreeing(*shown[a], *shown[b]) >= max(image_copies.LEAST, image_copies.SHARE * min(len(shown[a][1]), len(shown[b][1])) / 32)
+
+    def meet(a, b):
+        (pa, da), (pb, db) = ((np.reshape(p, (-1, 4)).astype(np.float32).astype(float), np.unpackbits(np.frombuffer(d, np.uint8).reshape(-1, 32), axis=1)) for p, d in (shown[a], shown[b]))
+        cells = collections.defaultdict(set)
+        for i, j in {(i, j) for read in image_copies.READ for i in range(len(da)) for j in np.nonzero((db[:, read] == da[i, read]).all(1))[0]}:
+            move = pa[i, 2] / pb[j, 2] * np.exp(2j * np.pi / image_copies.TURNS * (pb[j, 3] - pa[i, 3]))
+            d = complex(*pb[j, :2]) - move * complex(*pa[i, :2])
+            for ox, oy in ((0, 0), (0, 8), (8, 0), (8, 8)):
+                cells[ox, oy, (d.real + ox) // 16, (d.imag + oy) // 16].add((i, j))
+        return any(len({i for i, _ in c}) > 1 and len({j for _, j in c}) > 1 for c in cells.values())
+
+    brute = collections.Counter(k for a in shown for b in shown if a < b and enough(a, b) and (meet(a, b) or meet(b, a)) for k in (a, b))
+    got = image_copies.image_classes(spark.createDataFrame(rows, "img long, image binary")).collect()
+    assert {r.img: r.n_links for r in got if r.n_links} == brute
+
+
+def test_votes_do_not_depend_on_cell_borders():
+    _, bits = image_copies.features(image_copies.decoded(image_copies.encoded(image_copies.scene(7))))
+    places = lambda *xs: np.array([[x, y, 1.0, 0] for x, y in xs]).reshape(-1)
+    for cell in range(-40, 40):  # shifts of cell - 1/2 and cell + 1/2
+        left = image_copies.Side([places((50, 50), (60, 70))], [bits[:64]])
+        right = image_copies.Side([places((50 + cell - 0.5, 50 - cell), (60 + cell + 0.5, 70 - cell))], [bits[:64]])
+        assert image_copies.proposed(left, right) == {(0, 0)}
+    far = image_copies.Side([places((50, 50), (160, 70))], [bits[:64]])
+    assert image_copies.proposed(left, far) == set() and image_copies.proposed(image_copies.Side([places()], [b""]), far) == set()
+
+
 def test_blocks_on_held_out_pages():
     blocks_right, pages_right = html_training.held_out(html_lstm.load_weights(), 200, seed=7)
     assert blocks_right > 0.99 and pages_right > 0.93

@@ -7,12 +7,12 @@ copies are one class from the start. For each distinct image:
    an orientation (intensity centroid) and a descriptor of 256 intensity tests
    at point pairs turned by it.
 2. Each of TABLES Hamming tables reads WORD of the descriptor's bits; descriptors
-   that agree in them meet in a bucket. A bucket links all its
-   members with its first and its last image, so it costs its size and not its
-   square; buckets of up to three images are complete.
+   that agree in them meet in a bucket. All pairs of a bucket count: the images
+   are compared block by block, in tasks of bounded size, so the work grows with
+   the square of the number of images where buckets do.
 3. A meeting of two features proposes a similarity transform. Pairs of which two
-   features of each image propose a shift in the same cell of CELL pixels are
-   verified with all features: mutual
+   features of each image propose about the same shift (a cell of CELL pixels, in
+   grids moved by half a cell) are verified with all features: mutual
    matches each propose a similarity transform (scale, turn, shift), and the
    images are copies if LEAST matches and SHARE of the features agree on one.
    Classes are the connected components.
@@ -32,14 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, written
+from .common import written
 from .components import components
 
 PER_IMAGE, RADIUS, TURNS, LEAST = 48, 6, 32, 5
 NEAR, SHARE = 48, 0.2  # differing bits of a match; share of the features that must agree
 TABLES, WORD = 12, 48  # Hamming tables, and the bits of the descriptor that each one reads
 CELL = 16  # pixels
-SPAN = 1 << 20  # places in a packed feature are below this
+BLOCK, LEAST_BLOCKS = 4096, 4  # images of a block, and the fewest blocks
+PART, MEETINGS = 512, 1_000_000  # images and meetings that are held at once in a task
 SCALES = (1.0, 0.7)
 HEADER = re.compile(rb"P5\s+(\d+)\s+(\d+)\s+255\s")
 
@@ -145,15 +146,20 @@ def described(images: DataFrame) -> DataFrame:
     return images.mapInArrow(run, "img long, places array<double>, bits binary")
 
 
-def agreeing(places_a, bits_a, places_b, bits_b) -> int:
-    """The most mutual matches that agree on one similarity transform, each match being tried as the transform."""
+def agreeing(places_a, bits_a, places_b, bits_b, least: float = LEAST) -> int:
+    """The most mutual matches that agree on one similarity transform, each match being tried as the transform; 0 where there are fewer than least matches."""
     a, b = (np.frombuffer(x, dtype=np.uint64).reshape(-1, 4) for x in (bits_a, bits_b))
     if not len(a) or not len(b):
         return 0
-    far = np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(2, dtype=np.int64)
+    far = np.zeros((len(a), len(b)), dtype=np.uint16)
+    for w in range(4):
+        far += np.bitwise_count(a[:, None, w] ^ b[None, :, w])
+    near = far.min(1) <= NEAR
+    if np.count_nonzero(near) < least:
+        return 0
     best = far.argmin(1)
-    k = np.nonzero((far.argmin(0)[best] == np.arange(len(a))) & (far.min(1) <= NEAR))[0]
-    if len(k) < LEAST:
+    k = np.nonzero((far.argmin(0)[best] == np.arange(len(a))) & near)[0]
+    if len(k) < least:
         return 0
     pa_, pb = np.reshape(places_a, (-1, 4))[k], np.reshape(places_b, (-1, 4))[best[k]]
     scale, turn = pa_[:, 2] / pb[:, 2], (pb[:, 3] - pa_[:, 3]) * (2 * np.pi / TURNS)
@@ -164,59 +170,115 @@ def agreeing(places_a, bits_a, places_b, bits_b) -> int:
     return int((same_turn & (off < 4)).sum(1).max())
 
 
-def consensus(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose features agree on one transform: LEAST of them, and SHARE of the smaller image's."""
+def words(bits: np.ndarray) -> np.ndarray:
+    """The word of each feature in each table: (features, TABLES)."""
+    tests = np.unpackbits(bits.view(np.uint8).reshape(-1, 32), axis=1).astype(np.uint64)
+    return tests @ WEIGHTS + BASES
 
-    def run(frames):
-        for frame in frames:
-            columns = [frame.column(i).to_pylist() for i in range(6)]
-            keep = [agreeing(*row[2:]) >= max(LEAST, SHARE * min(len(row[3]), len(row[5])) / 32) for row in zip(*columns, strict=True)]
-            yield frame.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    of = lambda k: found.select(F.col("img").alias(k), F.col("places").alias("p" + k), F.col("bits").alias("d" + k))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "pa", "da", "pb", "db")
-    return both.mapInArrow(run, "a long, b long")
+class Side:
+    """Features of some images, one after the other: their images, numbers, places and words."""
 
+    def __init__(self, places: list, bits: list):
+        sizes = [len(x) // 32 for x in bits]
+        self.image = np.repeat(np.arange(len(bits)), sizes)
+        self.at = np.cumsum([0, *sizes])
+        self.number = np.arange(self.at[-1]) - self.at[self.image]
+        x, y, scale, turn = np.concatenate([np.reshape(p, (-1, 4)) for p in places]).astype(np.float64).T
+        self.place, self.scale, self.turn = x + 1j * y, scale, turn * (2 * np.pi / TURNS)
+        self.words = words(np.frombuffer(b"".join(bits), dtype=np.uint8))
 
-def meetings(found: DataFrame) -> DataFrame:
-    """The pairs (a, b) of which two features of each propose about the same shift, from the buckets' first and last images."""
-    turns = 2 * np.pi / TURNS
 
-    def run(frames):
-        for frame in frames:
-            for img, places, bits in zip(*(frame.column(k).to_pylist() for k in range(3)), strict=True):
-                if not bits:
+def proposed(left: Side, right: Side) -> set[tuple[int, int]]:
+    """All pairs (image of left, image of right) of which two features of each meet in buckets and propose about the same shift.
+
+    Shifts vote in four grids of cells, each moved by half a cell, so that shifts
+    within half a cell of each other share a cell wherever the borders are.
+    """
+    flat = right.words.reshape(-1)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], order // TABLES
+    lo, hi = np.searchsorted(flat, left.words, "left"), np.searchsorted(flat, left.words, "right")
+    load = np.concatenate([[0], np.cumsum((hi - lo).sum(1))])[left.at]  # meetings before each image
+    n_left, n_right, out, start = len(left.at) - 1, len(right.at) - 1, set(), 0
+    while start < n_left:
+        stop = max(start + 1, int(np.searchsorted(load, load[start] + MEETINGS, "right")) - 1)
+        f, g = left.at[start], left.at[stop]
+        n = (hi[f:g] - lo[f:g]).reshape(-1)
+        fa = np.repeat(np.repeat(np.arange(f, g), TABLES), n)
+        fb = owner[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[f:g].reshape(-1), n)]
+        both = np.unique(fa * len(right.image) + fb)  # features that meet in several tables meet once
+        fa, fb = both // max(1, len(right.image)), both % max(1, len(right.image))
+        if len(fa):
+            shift = right.place[fb] - left.scale[fa] / right.scale[fb] * np.exp(1j * (right.turn[fb] - left.turn[fa])) * left.place[fa]
+            pair = (left.image[fa] - start) * n_right + right.image[fb]
+            numbers = left.number[fa] * 64 + right.number[fb]
+            for ox in (0, CELL / 2):
+                for oy in (0, CELL / 2):
+                    cx, cy = (np.floor((d + o) / CELL).astype(np.int64) for d, o in ((shift.real, ox), (shift.imag, oy)))
+                    cx, cy = cx - cx.min(), cy - cy.min()
+                    cell = cx * (cy.max() + 1) + cy
+                    if cell.max() >= 1 << 24:
+                        cell = np.unique(cell, return_inverse=True)[1]
+                    votes = np.sort((pair * (cell.max() + 1) + cell) * 4096 + numbers)
+                    group, own_a, own_b = votes >> 12, votes >> 6 & 63, votes & 63
+                    first = np.nonzero(np.concatenate([[True], group[1:] != group[:-1]]))[0]
+                    two = (np.maximum.reduceat(own_a, first) > own_a[first]) & (np.maximum.reduceat(own_b, first) > np.minimum.reduceat(own_b, first))
+                    found = np.unique(group[first][two] // (cell.max() + 1))
+                    out.update(zip((found // n_right + start).tolist(), (found % n_right).tolist(), strict=True))
+        start = stop
+    return out
+
+
+def compared(found: DataFrame) -> DataFrame:
+    """Links (a, b) and, where b is null, a number n of copies of a, from the comparison of all images, block by block.
+
+    The images are cut by hash into blocks, and each two blocks are compared in a
+    task of their own, of bounded size: all pairs that buckets propose are verified
+    (LEAST of the features agree on one transform, and SHARE of the smaller image's).
+    A task gives as many links as join its classes, so a large class costs its size.
+    """
+    some = found.filter("octet_length(bits) > 0").select("img", F.col("places").cast("array<float>").alias("places"), "bits")
+    blocks = max(LEAST_BLOCKS, -(-some.count() // BLOCK))
+    dealt = some.withColumn("own", F.pmod(F.xxhash64("img"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    pairs = dealt.select(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("high"), "img", "places", "bits")
+
+    def run(table: pa.Table) -> pa.Table:
+        img, high = table.column("img").to_pylist(), table.column("high").to_numpy()
+        lists = table.column("places").combine_chunks()
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        places = [flat[ends[k] : ends[k + 1]] for k in range(len(img))]
+        bits = table.column("bits").to_pylist()
+        one = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
+        lefts, rights = (range(len(img)),) * 2 if one else (np.nonzero(~high)[0].tolist(), np.nonzero(high)[0].tolist())
+        cut = lambda rows: [(part := rows[k : k + PART], Side([places[i] for i in part], [bits[i] for i in part])) for k in range(0, len(rows), PART)]
+        known, root, links = {}, list(range(len(img))), []
+
+        def top(i):
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        right_parts = cut(rights)
+        for la, left in right_parts if one else cut(lefts):
+            for lb, right in right_parts:
+                if one and lb[0] < la[0]:
                     continue
-                x, y, scale, turn = np.rint(np.reshape(places, (-1, 4)) * (1, 1, 10, 1)).astype(np.int64).T
-                # a feature's number, place, scale and turn in one long
-                packed = (((np.arange(len(x)) * SPAN + x) * SPAN + y) * 2 + (scale < 10)) * TURNS + turn
-                tests = np.unpackbits(np.frombuffer(bits, dtype=np.uint8).reshape(-1, 32), axis=1).astype(np.uint64)
-                words = (tests @ WEIGHTS + BASES).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(words.size, img)), pa.array(words.reshape(-1)), pa.array(np.repeat(packed, TABLES))], names=["img", "word", "place"])
-
-    entries = found.select("img", "places", "bits").mapInArrow(run, "img long, word long, place long")
-    one = F.struct("img", "place")
-    buckets = written(entries.groupBy("word").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).filter("lo.img < hi.img"))
-    released(found.sparkSession)
-    met = entries.join(buckets, "word").select(one.alias("me"), F.explode(F.array("lo", "hi")).alias("hub")).filter("me.img != hub.img")
-    ordered = met.select(F.least("me", "hub").alias("p"), F.greatest("me", "hub").alias("q"))
-
-    def read(end: str) -> dict:
-        v = F.col(f"{end}.place")
-        rest = F.shiftright(v, 6)
-        return {"turn": F.pmod(v, F.lit(TURNS)) * turns, "scale": F.when(F.pmod(F.shiftright(v, 5), F.lit(2)) == 1, SCALES[1]).otherwise(SCALES[0]), "y": F.pmod(rest, F.lit(SPAN)), "x": F.pmod(F.shiftright(rest, 20), F.lit(SPAN)), "bit": F.shiftright(rest, 40)}
-
-    p, q = read("p"), read("q")
-    turn, scale = q["turn"] - p["turn"], p["scale"] / q["scale"]
-    dx = q["x"] - scale * (F.cos(turn) * p["x"] - F.sin(turn) * p["y"])
-    dy = q["y"] - scale * (F.sin(turn) * p["x"] + F.cos(turn) * p["y"])
-    cell = lambda d: F.floor(d / CELL).cast("long")
-    mask = lambda bit: F.expr("shiftleft(1L, cast({} as int))".format(bit))
-    votes = ordered.select(F.col("p.img").alias("a"), F.col("q.img").alias("b"), (cell(dx) * (1 << 32) + cell(dy)).alias("cell"), p["bit"].alias("fa"), q["bit"].alias("fb"))
-    agreed = votes.groupBy("a", "b", "cell").agg(F.bit_or(mask("fa")).alias("ma"), F.bit_or(mask("fb")).alias("mb"))
-    pairs = written(agreed.filter((F.bit_count("ma") >= 2) & (F.bit_count("mb") >= 2)).select("a", "b").distinct())
-    released(found.sparkSession)
-    return pairs
+                for x, y in proposed(left, right):
+                    i, j = la[x], lb[y]
+                    if one and la[0] == lb[0] and i >= j:
+                        continue
+                    i, j = (i, j) if img[i] < img[j] else (j, i)
+                    least = max(LEAST, SHARE * min(len(bits[i]), len(bits[j])) / 32)
+                    if agreeing(places[i], bits[i], places[j], bits[j], least) >= least:
+                        known[i], known[j] = known.get(i, 0) + 1, known.get(j, 0) + 1
+                        if top(i) != top(j):
+                            root[top(i)] = top(j)
+                            links.append((img[i], img[j], None))
+        rows = links + [(img[i], None, n) for i, n in known.items()]
+        return pa.table([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["a", "b", "n"])
+
+    return pairs.groupBy("lo", "hi").applyInArrow(run, "a long, b long, n long")
 
 
 def image_classes(images: DataFrame, img: str = "img", image: str = "image") -> DataFrame:
@@ -226,10 +288,9 @@ def image_classes(images: DataFrame, img: str = "img", image: str = "image") ->
     heads = digests.groupBy("digest").agg(F.min("img").alias("head"))
     distinct = rows.filter("img IS NOT NULL AND digest IS NOT NULL").join(heads.withColumnRenamed("digest", "·d"), (F.col("digest") == F.col("·d")) & (F.col("img") == F.col("head"))).select("img", "image").dropDuplicates(["img"])
     found = written(described(distinct))
-    votes = meetings(found)
-    links = written(consensus(votes, found))
-    degree = links.select(F.col("a").alias("head")).union(links.select(F.col("b"))).groupBy("head").agg(F.count("*").alias("n_links"))
-    roots = components(links).select(F.col("node").alias("head"), "root")
+    links = written(compared(found))
+    degree = links.filter("b IS NULL").groupBy(F.col("a").alias("head")).agg(F.sum("n").alias("n_links"))
+    roots = components(links.filter("b IS NOT NULL")).select(F.col("node").alias("head"), "root")
     counts = found.select(F.col("img").alias("head"), (F.size("places") / 4).alias("n_features"))
     classes = heads.join(roots, "head", "left").join(degree, "head", "left").join(counts, "head", "left")
     out = digests.join(classes, "digest")
