@@ -16,13 +16,16 @@ from pyspark.sql.types import DataType, StructType
 BLANKS = r"[\x20\x09-\x0D]+"
 
 _LOCAL_DIRS: dict[str, str] = {}
+HOT_ROWS = 256  # a key of fewer rows is never hot
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset a temporary one (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master, as in tests, may go without: it gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
         _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="wayloom-")
@@ -47,6 +50,33 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shuffle_parts(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """rows joined with a table of one row a key; n, which goes, is the number of rows that have the key.
+
+    A key of more than the 8 P-th part of all these rows (P: shuffle partitions) is
+    hot. There are fewer than 8 P hot keys, so they are broadcast, and no task gets
+    all rows of one; the others are shuffled. Both inputs are read more than once.
+    """
+    parts = shuffle_parts(rows.sparkSession)
+    total = table.agg(F.sum(n)).first()[0] or 0
+    most = max(HOT_ROWS, total // (8 * parts))
+    hot, cold = table.filter(F.col(n) > most).drop(n), table.filter(F.col(n) <= most).drop(n)
+    if total <= most:
+        return rows.join(cold, keys)
+    marked = rows.join(F.broadcast(hot.select(*keys).withColumn("·hot", F.lit(True))), keys, "left")
+    return rows.join(F.broadcast(hot), keys).unionByName(marked.filter("`·hot` IS NULL").drop("·hot").join(cold, keys))
+
+
+def set_aside(docs: DataFrame, names) -> tuple[DataFrame, list[Column]]:
+    """docs with the columns that clash with names renamed, and the columns that give them back."""
+    clash = {c: f"·own {c}" for c in docs.columns if c in names}
+    return docs.withColumnsRenamed(clash), [F.col(f"`{clash.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def released(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of tables that were written and forgotten."""
     gc.collect()
