@@ -5,7 +5,12 @@ token encodes to itself and each two neighbours, joined, encode to just those
 two. So the encoding is the path of finite weight in a transducer whose states
 are (position, last token) and whose arcs weigh 0 where neighbours agree and
 infinity where they don't. Each prefix has one such path, so the transducer is
-deterministic when built from left to right: one last token a position.
+deterministic when built from left to right: one last token a position. With
+weights of 0 and infinity alone any finite path is a shortest one in the tropical
+semiring, so its relaxation stops at the first finite arc into a state.
+
+Cases: an empty string has the empty path; strings of any length have one, as all
+single symbols are tokens.
 """
 
 from __future__ import annotations
@@ -81,6 +86,9 @@ class PathFinder:
         self.bad: set = set()
         self.known: dict = {}
 
+    def agree(self, pair) -> bool:
+        return pair in self.good or pair not in self.bad and self._agree(pair)
+
     def _agree(self, pair) -> bool:
         found = self.merges.agree(*pair)
         held = self.good if found else self.bad

@@ -13,10 +13,13 @@ PATH_SLOTS, WORD_SLOTS, NUMBERS = 4096, 2048, 8
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 NAME = re.compile("[a-z]+|[0-9]+")
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCK = frozenset("address article aside audio blockquote body button canvas center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav noscript object ol optgroup option p pre section select summary table tbody td template tfoot th thead tr ul video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg iframe object title textarea select button canvas math audio video".split())
-CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt"}
+# The text of these is no part of the page; without an end tag they reach to its end, as the parsing rules say.
+RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
+# Pages often leave these open by mistake: one without an end tag before the next of its kind is passed over.
+OPEN = frozenset("audio button canvas noscript object option select template video".split())
+CLOSES_P = BLOCK - OPEN - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "legend", "optgroup"}
 
 
 def path_tokens(tag: str, attributes: str) -> tuple[str, ...]:
@@ -26,6 +29,12 @@ def path_tokens(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def closed(tag: str, page: str, at: int) -> bool:
+    """Whether the element opened before at ends before the next of its kind opens."""
+    found = re.compile(f"<(/?){tag}\\b", re.I).search(page, at)
+    return found is not None and found[1] == "/"
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path tokens, text, code points in links) of each leaf block in page order; character references are decoded."""
     out: list[tuple[tuple[str, ...], str, int]] = []
@@ -70,10 +79,13 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if closing:
             leave(tag, ("table",) if tag not in BLOCK else ())
             continue
-        if tag in SILENT:
-            if not attributes.rstrip().endswith("/"):
-                end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
+        if tag in RAW:
+            end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
+            at = end.end() if end else n
+            continue
+        if tag in OPEN and not closed(tag, page, at):
+            if tag == "option":
+                flush()
             continue
         if tag == "br":
             parts.append(" ")

@@ -20,6 +20,7 @@ from .html_lstm import HIDDEN, PATH_SIZE, WEIGHTS, WORD_SIZE, fresh_weights, inp
 SYLLABLES = "the and er on in re th an en es ti ou ha le de la che sch ung heit que mente ción eau eux ment tion der ein ist und les des al or st ar ta ro mi".split()
 COMMON = "the of and to in is that der die und das de la que el en et les un y los a it for".split()
 MENU = "Home News About Contact Products Shop Login Help Search Archive Blog Start Kontakt Impressum Accueil Inicio Sports World".split()
+FALLBACKS = ["Your browser does not support {}.", "Please enable JavaScript to see {}", "Download the {} file", "Ihr Browser kann {} nicht zeigen", "Votre navigateur ne lit pas {}"]
 NOTICES = ["We use cookies to improve this site", "Accept all cookies", "Wir verwenden Cookies", "Ce site utilise des cookies", "Subscribe to our newsletter", "Sign up now", "This page was moved", "Please enable JavaScript"]
 FOOTERS = ["© 2024 {}", "All rights reserved.", "Privacy policy · Terms", "© {} · {}", "Impressum | Datenschutz"]
 
@@ -88,8 +89,20 @@ class PageWriter:
         inner = self.r.choice([self.sentence(), " ".join(self.sentence() for _ in range(3)), f"<p>{self.sentence()}</p>", f"<a href='/ad'>{self.sentence(2, 6)}</a>"])
         return self.bad(f"<{(t := self.r.choice(['div', 'div', 'section', 'aside', 'p']))}{self.attr('ad', 'ads', 'advert', 'advertisement', 'sponsor', 'sponsored', 'promo', 'banner', 'adslot') or ' class=ad'}>{inner}</{t}>")
 
+    def control(self):
+        """Buttons, lists to choose from and what players show where they can't play, between or inside other parts."""
+        r = self.r
+        fallback = r.choice(FALLBACKS).format(self.word())
+        return self.bad(r.choice([
+            f"<button{self.attr('btn', 'share', 'toggle')}>{r.choice(MENU) if r.random() < 0.5 else self.sentence(1, 3)}</button>",
+            f"<select name=s>{''.join(f'<option>{self.word()}</option>' for _ in range(r.randint(1, 5)))}</select>",
+            f"<{(t := r.choice(['video', 'audio', 'canvas']))} src=x>{fallback}</{t}>",
+            f"<{(t := r.choice(['video', 'object', 'audio']))}><p>{fallback}</p></{t}>",
+            f"<noscript>{r.choice([fallback, self.sentence(3, 8), f'<p>{fallback}</p>'])}</noscript>",
+        ]))
+
     def form(self):
-        inner = self.r.choice([f"<label>{self.word()}</label><input name=q>", f"<p>{self.sentence(2, 8)}</p><input type=email>", f"{self.sentence(1, 4)}<input><button>{self.word()}</button>", f"<fieldset><legend>{self.word()}</legend><label>{self.sentence(1, 5)}</label></fieldset>", f"<div>{self.sentence()}</div>"])
+        inner = self.r.choice([f"<select>{''.join(f'<option>{self.word()}</option>' for _ in range(3))}</select><button>{self.word()}</button>", f"<label>{self.word()}</label><input name=q>", f"<p>{self.sentence(2, 8)}</p><input type=email>", f"{self.sentence(1, 4)}<input><button>{self.word()}</button>", f"<fieldset><legend>{self.word()}</legend><label>{self.sentence(1, 5)}</label></fieldset>", f"<div>{self.sentence()}</div>"])
         return self.bad(f"<form{self.attr('search', 'login', 'subscribe', 'contact', 'form')} action='/go'>{inner}</form>")
 
     def comments(self):
@@ -112,7 +125,7 @@ class PageWriter:
             if u < 0.08:
                 parts.append((f"<p>{' '.join(self.word() for _ in range(r.randint(1, 3))).capitalize()}{r.choice(['.', '.', ''])}</p>", True))
             elif u < 0.72:
-                parts.append((r.choice([f"<p>{self.prose()}</p>"] * 6 + [f"<p>{self.prose()}", f"<p><b>{self.prose()}<br>", f"<div>{self.prose()}</div>"]), True))
+                parts.append((r.choice([f"<p>{self.prose()}</p>"] * 6 + [f"<p>{self.prose()}", f"<p><b>{self.prose()}<br>", f"<div>{self.prose()}</div>", f"<p>{self.prose()} <math><mi>x</mi><mo>+</mo><mn>{r.randint(1, 9)}</mn></math> {self.sentence()}</p>", f"<object data=x><p>{self.prose()}</p></object>"]), True))
             elif u < 0.8:
                 parts.append((f"<h{r.randint(2, 4)}>{self.sentence(1, 7)}</h2>".replace("</h2>", ""), True))
             elif u < 0.88:
@@ -120,13 +133,15 @@ class PageWriter:
             elif u < 0.92:
                 parts.append((r.choice([f"<blockquote>{self.prose()}</blockquote>", f"<pre>{self.prose()}</pre>", f"<figure><figcaption>{self.sentence()}</figcaption></figure>", f"<table><tr><td>{self.word()}<td>{self.sentence()}</table>"]), True))
             elif k:
-                parts += r.choice([self.advert, self.share, self.notice, self.sidebar, self.form])()
+                parts += r.choice([self.advert, self.share, self.notice, self.sidebar, self.form, self.control])()
         shell = r.choice(["article", "article", "article", "main", "div", "div", "section", "td"])
         names = self.attr("content", "post", "article", "entry", "main", "story", "body", "text", "post-content", "article-body", "prose")
         before, after = ("<table><tr>", "</tr></table>") if shell == "td" else ("", "")
         if r.random() < 0.25:
             before, after = before + f"<{'main' if shell != 'main' else 'div'}>", f"</{'main' if shell != 'main' else 'div'}>" + after
             before, after = (before, after) if shell != "td" else ("<table><tr>", "</tr></table>")
+        if r.random() < 0.08:  # bare paragraphs
+            return parts
         return [(f"{before}<{shell}{names if shell != 'article' or r.random() < 0.4 else ''}>", None), *parts, (f"</{shell}>{after}", None)]
 
     def page(self):
@@ -134,13 +149,22 @@ class PageWriter:
         r = self.r
         pick = lambda kinds, p: [f() for f in kinds if r.random() < p]
         above = pick([self.header, self.menu, self.notice, self.advert, self.form], 0.4)
-        below = pick([self.comments, self.sidebar, self.share, self.advert, self.form, self.notice, self.menu], 0.3)
+        above += pick([self.control], 0.15)
+        below = pick([self.comments, self.sidebar, self.share, self.advert, self.form, self.notice, self.menu, self.control], 0.3)
         r.shuffle(above)
         r.shuffle(below)
+        if r.random() < 0.05:  # a fragment: paragraphs and perhaps a button, without a page around them
+            own = [(f"<p>{self.prose() if r.random() < 0.5 else self.sentence(1, 3)[: r.choice([-1, None])].lower()}</p>", True) for _ in range(r.randint(1, 5))]
+            own.insert(r.randint(0, len(own)), self.control()[0] if r.random() < 0.4 else ("", None))
+            return self.labelled("".join(p if good is None else mark(p, good) for p, good in own))
         parts = [p for group in [*above, self.article() if r.random() < 0.97 else [], *below, *([self.footer()] if r.random() < 0.8 else [])] for p in group]
         head = f"<!DOCTYPE html><html><head><title>{self.word()}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>" if r.random() < 0.9 else ""
         wrap = r.choice(["", "", "", "<div id='page'>", "<div class='container'>", "<div class='wrapper'>"])
         marked = head + wrap + "".join(p if good is None else mark(p, good) for p, good in parts) + ("</body></html>" if r.random() < 0.8 else "")
+        return self.labelled(marked)
+
+    @staticmethod
+    def labelled(marked):
         found = blocks(marked)
         labels = [YES in b[1] for b in found]
         plain = [(path, text.replace(YES, "").replace(NO, "").strip(), n) for path, text, n in found]
