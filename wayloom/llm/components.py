@@ -1,4 +1,8 @@
-"""Connected components of a link table, by min labels and pointer jumping."""
+"""Connected components of a link table, by min labels and pointer jumping.
+
+Cases: repeated links, links from a node to itself and links in both directions
+count once; an empty table gives an empty result; nulls aren't nodes.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +19,7 @@ def components(links: DataFrame) -> DataFrame:
     label's own label, so the rounds are logarithmic in the diameter. Hubs only
     meet aggregations with a map-side part and joins that Spark may split.
     """
+    links = links.filter("a IS NOT NULL AND b IS NOT NULL")
     edges = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
     while True:

@@ -1,15 +1,21 @@
 """Two-pass external shuffle into shards, with DataFrame functions only.
 
-Pass 1 scatters the records uniformly into buckets that fit into memory, by a
-seeded hash of their whole content: one exchange, one bucket a partition. Pass 2
-gathers a bucket, brings it into a fixed order, and Fisher-Yates shuffles it
-with a generator seeded by seed and bucket. The records, numbered through all
-buckets, are dealt out to the shards in turn, so the law is `rows`: the shards'
-counts are at most one apart, and slots have no gaps.
+Pass 1 scatters the records uniformly into buckets, by a seeded hash of their
+whole content: one exchange. Pass 2 brings a bucket into a fixed order by an
+external sort, draws a Fisher-Yates permutation of its places, from a generator
+seeded by seed, and joins the two: only a bucket's places are held in memory, and
+its records stream. A partition holds one bucket after the other, so the number of
+buckets may grow with the data while that of partitions stays below
+MOST_PARTITIONS. The records, numbered through all buckets, are dealt out to the
+shards in turn, so the law is `rows`: the shards' counts are at most one apart,
+and slots have no gaps. write_shards writes each shard in the order of its slots.
 
-Equal records are interchangeable. Only identical records share a hash, so a hot
-text or key spreads over all buckets. A bucket's place depends on content, seed
-and bucket count alone: reruns and retried tasks agree.
+Records that are equal in all columns are interchangeable. Where there are more
+of them than the 100,000th part of all (and than HOT_ROWS), they are counted
+instead of scattered, and written again from the count with numbers, which are
+hashed too; so no bucket gets a hot record as a whole, and at most 100,000 hashes
+are broadcast. A bucket's place depends on content, seed and bucket count alone:
+reruns and retried tasks agree.
 
 Cases: nulls are hashed as such; an empty table gives an empty result; columns
 shard and slot are replaced, others pass through.
@@ -20,19 +26,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_BUCKETS = 1 << 20  # so the table of their offsets, which is broadcast, stays below 32 MB
+BUCKET_BYTES = 24 << 20
+MOST_PARTITIONS = 16_384  # so that the driver's table of shuffle blocks stays small
+HOT_ROWS, MOST_HOT = 1000, 100_000
+COPIES = 10_000  # rows written again by one task's row
 
 
-def shuffle_into_shards(df: DataFrame, size: Column, shards: int = 8, seed: int = 17, bucket_bytes: int = 24 << 20) -> DataFrame:
+def shuffle_into_shards(df: DataFrame, size: Column, shards: int = 8, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """df with shard (0 to shards - 1) and slot (place in the shard); size: a record's bytes, for the bucket count."""
     df = df.drop("shard", "slot")
-    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
-    buckets = max(1, min(MOST_BUCKETS, -(-total // bucket_bytes)))
     content = [F.col(f"`{f.name}`") for f in df.schema.fields]
-    hashed = df.select(F.xxhash64(F.lit(seed), *content).alias("·h"), F.struct(*content).alias("·r")).withColumn("·b", F.pmod("·h", F.lit(buckets)).cast("int"))
+    total, rows = df.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0)), F.count("*")).first()
+    buckets = max(1, -(-total // bucket_bytes))
+    parts = min(buckets, MOST_PARTITIONS)
+    hashed = df.select(F.xxhash64(F.lit(seed), *content).alias("·h"), F.struct(*content).alias("·r"))
+    numbered = spread(hashed, max(hot_rows, rows // MOST_HOT))
+    # Two hashes order a bucket: records that agree in both and in their number are equal.
+    keyed = numbered.select(F.xxhash64("·h", "·k").alias("·x"), F.xxhash64(F.lit(seed + 1), "·r").alias("·y"), "·k", "·r").withColumn("·b", F.pmod("·x", F.lit(buckets)))
     before = Window.orderBy("·b").rowsBetween(Window.unboundedPreceding, -1)  # over one row a bucket
-    offsets = hashed.groupBy("·b").count().select("·b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("·o"))
-    gathered = hashed.repartitionById(buckets, F.col("·b")).groupBy("·b").agg(F.sort_array(F.collect_list(F.struct("·h", "·r"))).alias("·a"))
-    mixed = gathered.join(F.broadcast(offsets), "·b").select("·o", F.posexplode(F.shuffle("·a", seed)).alias("·i", "·x"))
-    place = F.col("·o") + F.col("·i")
-    return mixed.select("·x.·r.*", F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.floor(place / shards).cast("long").alias("slot"))
+    counts = keyed.groupBy("·b").agg(F.count("*").alias("·n")).withColumn("·o", F.coalesce(F.sum("·n").over(before), F.lit(0)))
+    one_by_one = Window.partitionBy("·b").orderBy("·x", "·y", "·k")
+    placed = keyed.repartition(parts, "·b").select("·b", "·r", (F.row_number().over(one_by_one) - 1).alias("·i"))
+    # Each bucket needs a permutation of its own: the sequence is turned by the bucket's hash before the seeded shuffle.
+    turned = F.transform(F.sequence(F.lit(0).cast("long"), F.col("·n") - 1), lambda i: F.pmod(i + F.pmod(F.xxhash64(F.lit(seed), "·b"), F.col("·n")), F.col("·n")))
+    drawn = counts.repartition(parts, "·b").select("·b", "·o", F.posexplode(F.shuffle(turned, seed)).alias("·j", "·i"))
+    place = F.col("·o") + F.col("·j")
+    both = placed.join(drawn.select(F.col("·b").alias("·b2"), F.col("·i").alias("·i2"), place.alias("·p")), (F.col("·b") == F.col("·b2")) & (F.col("·i") == F.col("·i2")))
+    return both.select("·r.*", F.pmod("·p", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("·p") / shards).cast("long").alias("slot"))
+
+
+def spread(hashed: DataFrame, most: int) -> DataFrame:
+    """(·h, ·r, ·k): the records, those equal to more than most others numbered by ·k, which is 0 elsewhere."""
+    hot = hashed.groupBy("·h").agg(F.count("*").alias("·n")).filter(F.col("·n") > most).select("·h")
+    plain = hashed.join(F.broadcast(hot), "·h", "left_anti").withColumn("·k", F.lit(0).cast("long"))
+    counted = hashed.join(F.broadcast(hot), "·h", "left_semi").groupBy("·h", "·r").agg(F.count("*").alias("·n"))
+    starts = counted.select("·h", "·r", "·n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("·n") - 1, F.lit(COPIES).cast("long"))).alias("·s"))
+    dealt = starts.repartition(F.col("·h"), F.col("·s"))
+    again = dealt.select("·h", "·r", F.explode(F.sequence(F.col("·s"), F.least(F.col("·n"), F.col("·s") + COPIES) - 1)).alias("·k"))
+    return plain.unionByName(again)
+
+
+def write_shards(sharded: DataFrame, path: str, files: int | None = None) -> None:
+    """Write each shard as a folder shard=<n> of Parquet files, which hold following ranges of slots, each in order."""
+    spark = sharded.sparkSession
+    parts = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sharded.repartitionByRange(parts, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -5,6 +5,8 @@ they are. The join then runs in these steps, each a table of bounded groups:
 
 1. Shingles are hashed and scattered by hash range; a range counts the nodes of
    each shingle. A shingle of one node can't be shared and only its number stays.
+   Where there are more than SPLIT nodes, each range is also split by node, and
+   the parts' counts are summed, so that a hot shingle has no task to itself.
 2. A node orders its shingles from rare to frequent. Sets with a Jaccard
    similarity of 3/4 share a shingle in prefixes of n - ceil(3n/4) + 1, and
    c + 1 shingles in prefixes extended by c. Rare shingles of the extended prefix
@@ -22,9 +24,12 @@ they are. The join then runs in these steps, each a table of bounded groups:
 Prefixes, order and verification use 48-bit fingerprints of 64-bit shingle
 hashes; a node is a 64-bit hash of its set.
 
+Ids may be of any type that can be ordered.
+
 Cases: null, empty and blank texts have no shingles and link with nothing, fewer
 words than a window are one shingle; rows with null or repeated ids get their
-node's component; an empty table gives an empty result.
+node's component, null being the smallest id; an empty table gives an empty
+result. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -37,14 +42,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, released, written
+from .common import Memo, dropped, looked_up, released, written
 from .components import components
 
 WINDOW = 5
 FINGERPRINT = (1 << 48) - 1
 RARE = 24  # a df class (4 log2) below this, that is fewer than 64 nodes, is indexed singly
 TURNS = 4  # rounds with other first nodes, at most; they only save work, the last step is exact
-BLOCK = 400_000  # fingerprints of a block in the last step
+BLOCK, NODES = 400_000, 2048  # fingerprints and nodes of a block in the last step
+SPLIT = 24_000_000  # nodes of which a task may have to hold a shingle's list
 BATCH = 1 << 20  # shingles scattered at a time
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -143,19 +149,21 @@ def nodes_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"doc {kind}, n_shingles long, n_marks long, node long")
 
 
-def scattered(docs: DataFrame, text: str, ranges: int) -> DataFrame:
-    """Rows (part, nodes, counts, marks): the fingerprints of some nodes that lie in a hash range, as 6 bytes each."""
+def scattered(docs: DataFrame, text: str, ranges: int, splits: int) -> DataFrame:
+    """Rows (part, nodes, counts, marks): the fingerprints of some nodes that lie in a hash range, as 6 bytes each; part is range * splits + node % splits."""
 
     def emit(held: dict):
         nodes = np.array(list(held), dtype=np.int64)
         marks = np.concatenate(list(held.values()))
         owner = np.repeat(np.arange(len(nodes)), [len(s) for s in held.values()])
         part = ((marks >> np.uint64(16)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(part.astype(np.uint16) if ranges < 1 << 16 else part, kind="stable")  # owners ascend already
+        if splits > 1:
+            part = part * splits + (nodes % splits)[owner]
+        order = np.argsort(part.astype(np.uint16) if ranges * splits < 1 << 16 else part, kind="stable")  # owners ascend already
         part, owner, marks = part[order], owner[order], marks[order]
-        at = np.searchsorted(part, np.arange(ranges + 1))
+        at = np.searchsorted(part, np.arange(ranges * splits + 1))
         out = []
-        for r in range(ranges):
+        for r in np.nonzero(np.diff(at))[0].tolist():
             lo, hi = at[r], at[r + 1]
             if hi > lo:
                 own, n = np.unique(owner[lo:hi], return_counts=True)
@@ -189,34 +197,82 @@ def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(nodes, counts), marks.view("<u8").reshape(-1).astype(np.uint64)
 
 
-def shared_marks(parts: DataFrame, ranges: int) -> DataFrame:
-    """Rows (part, nodes, counts, marks, classes), part now a hash of the nodes: the fingerprints that several nodes have, with classes of their number."""
+SHARED = "part int, nodes binary, counts binary, marks binary, classes binary"
+
+
+def distinct_entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, marks) by mark: a copy in another batch isn't another node."""
+    node, mark = unpacked(table)
+    order = np.lexsort((node, mark))
+    node, mark = node[order], mark[order]
+    new = np.ones(len(mark), dtype=bool)
+    new[1:] = (mark[1:] != mark[:-1]) | (node[1:] != node[:-1])
+    return node[new], mark[new]
+
+
+def class_of(df: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.floor(4 * np.log2(np.maximum(df, 1)))).astype(np.uint8)
+
+
+def dealt_home(node: np.ndarray, mark: np.ndarray, cls: np.ndarray, ranges: int) -> pa.Table:
+    """Entries as rows of SHARED, part being a hash of the node."""
+    home = (node.astype(np.uint64) % np.uint64(ranges)).astype(np.int64)
+    order = np.lexsort((node, home))
+    home, node, mark, cls = home[order], node[order], mark[order], cls[order]
+    at, out = np.searchsorted(home, np.arange(ranges + 1)), []
+    for r in np.nonzero(np.diff(at))[0].tolist():
+        lo, hi = at[r], at[r + 1]
+        own, n = np.unique(node[lo:hi], return_counts=True)
+        packed = np.ascontiguousarray(mark[lo:hi]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        out.append((r, own.tobytes(), n.astype("<u4").tobytes(), packed.tobytes(), cls[lo:hi].tobytes()))
+    columns = list(zip(*out, strict=True)) if out else [()] * 5
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "nodes", "counts", "marks", "classes"])
+
+
+def shared_marks(parts: DataFrame, ranges: int, splits: int) -> DataFrame:
+    """Rows of SHARED, part now a hash of the nodes: the fingerprints that several nodes have, with classes of their number."""
+    if splits > 1:
+        return shared_by_counts(written(parts), ranges, splits)
 
     def run(table: pa.Table) -> pa.Table:
-        node, mark = unpacked(table)
-        order = np.lexsort((node, mark))
-        node, mark = node[order], mark[order]
-        new = np.ones(len(mark), dtype=bool)
-        new[1:] = (mark[1:] != mark[:-1]) | (node[1:] != node[:-1])
-        node, mark = node[new], mark[new]  # a copy in another batch isn't another node
+        node, mark = distinct_entries(table)
         _, back, df = np.unique(mark, return_inverse=True, return_counts=True)
         df = df[back]
-        node, mark, df = node[df > 1], mark[df > 1], df[df > 1]
-        cls = np.minimum(255, np.floor(4 * np.log2(np.maximum(df, 1)))).astype(np.uint8)
-        home = (node.astype(np.uint64) % np.uint64(ranges)).astype(np.int64)
-        order = np.lexsort((node, home))
-        home, node, mark, cls = home[order], node[order], mark[order], cls[order]
-        at, out = np.searchsorted(home, np.arange(ranges + 1)), []
-        for r in range(ranges):
-            lo, hi = at[r], at[r + 1]
-            if hi > lo:
-                own, n = np.unique(node[lo:hi], return_counts=True)
-                packed = np.ascontiguousarray(mark[lo:hi]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                out.append((r, own.tobytes(), n.astype("<u4").tobytes(), packed.tobytes(), cls[lo:hi].tobytes()))
-        columns = list(zip(*out, strict=True)) if out else [()] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "nodes", "counts", "marks", "classes"])
+        return dealt_home(node[df > 1], mark[df > 1], class_of(df[df > 1]), ranges)
+
+    return parts.groupBy("part").applyInArrow(run, SHARED)
+
+
+def shared_by_counts(parts: DataFrame, ranges: int, splits: int) -> DataFrame:
+    """shared_marks where each range is split by node: the parts' counts are summed and go back to the parts."""
+
+    def count(table: pa.Table) -> pa.Table:
+        mark, df = np.unique(distinct_entries(table)[1], return_counts=True)
+        part = table.column("part")[0].as_py()
+        return pa.table({"range": pa.array([part // splits], pa.int32()), "marks": pa.array([mark.tobytes()], pa.binary()), "df": pa.array([df.astype("<i8").tobytes()], pa.binary())})
+
+    def both(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("marks", "<u8"), ("df", "<i8")))
+
+    def add(table: pa.Table) -> pa.Table:
+        mark, df = both(table)
+        mark, back = np.unique(mark, return_inverse=True)
+        df = np.bincount(back, weights=df, minlength=len(mark)).astype("<i8")
+        return pa.table({"range": table.column("range")[:1], "marks": pa.array([mark[df > 1].tobytes()], pa.binary()), "df": pa.array([df[df > 1].tobytes()], pa.binary())})
+
+    def keep(left: pa.Table, right: pa.Table) -> pa.Table:
+        node, mark = distinct_entries(left)
+        known, df = both(right)
+        at = np.searchsorted(known, mark)
+        found = np.zeros(len(mark), dtype=bool)
+        if len(known):
+            found = known[np.minimum(at, len(known) - 1)] == mark
+        return dealt_home(node[found], mark[found], class_of(df[at[found]]), ranges)
 
-    return parts.groupBy("part").applyInArrow(run, "part int, nodes binary, counts binary, marks binary, classes binary")
+    schema = "range int, marks binary, df binary"
+    sums = parts.groupBy("part").applyInArrow(count, schema).groupBy("range").applyInArrow(add, schema)
+    back = sums.withColumn("part", F.explode(F.sequence(F.col("range") * splits, F.col("range") * splits + splits - 1)))
+    return parts.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(keep, SHARED)
 
 
 def indexed(shared: DataFrame, sizes: DataFrame, ranges: int) -> DataFrame:
@@ -254,24 +310,26 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(100 * F.col("o") >= 75 * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
-def similar_nodes(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
+def similar_nodes(docs: DataFrame, nodes: DataFrame, text: str, split: int = SPLIT) -> DataFrame:
     """(node, root) of all nodes that have links."""
     spark = docs.sparkSession
     total = nodes.agg(F.sum("n_marks")).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, 4, -(-total // 2_000_000))
     sizes = nodes.filter("n_marks > 0").groupBy("node").agg(F.first("n_marks").alias("n_marks"))
-    sets = written(indexed(shared_marks(scattered(docs, text, ranges), ranges), sizes, ranges))
+    splits = max(1, -(-sizes.count() // split))
+    sets = written(indexed(shared_marks(scattered(docs, text, ranges, splits), ranges, splits), sizes, ranges))
     released(spark)
     entries = written(sets.select("node", F.explode("keys").alias("key")))
-    first = entries.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").drop("z")
-    pairs = written(entries.join(first, "key").filter("node != a").select("a", F.col("node").alias("b")).distinct())
+    first = written(entries.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).filter("a < z").drop("z"))
+    pairs = written(looked_up(entries, first, ["key"]).filter("node != a").select("a", F.col("node").alias("b")).distinct())
+    dropped(first)
     links = written(verified(pairs, sets))
     roots = components(links)
     # Only keys that lie in several components matter from here on.
     left = written(_in_several(entries, roots))
     for turn in range(1, TURNS):
-        leader = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.pmod("key", F.lit(3)), F.lit(turn)).alias("h"), "node", "root")).alias("x"))
-        met = left.join(leader, "key").filter(F.col("root") != F.col("x.root")).select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
+        leader = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.pmod("key", F.lit(3)), F.lit(turn)).alias("h"), "node", "root")).alias("x"), F.count("*").alias("n"))
+        met = looked_up(left, leader, ["key"]).filter(F.col("root") != F.col("x.root")).select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
         met = written(met.join(pairs, ["a", "b"], "left_anti"))
         new = written(verified(met, sets))
         if not new.limit(1).count():
@@ -288,13 +346,14 @@ def compared(left: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between components, from the exact comparison of all nodes that are left and joined by keys.
 
     Nodes joined by keys are a cluster; a cluster is cut by hash into blocks of
-    about BLOCK fingerprints, and each two blocks are compared in a task of their
-    own, of bounded size, which gives one link for each two components it joins.
+    about BLOCK fingerprints and NODES nodes at most, and each two blocks are
+    compared in a task of their own, of bounded size, which gives one link for
+    each two components it joins. The work grows with the square of a cluster.
     """
-    first = left.groupBy("key").agg(F.min("node").alias("a"))
-    clusters = components(left.join(first, "key").select("a", F.col("node").alias("b")).distinct())
+    first = left.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n"))
+    clusters = components(looked_up(left, first, ["key"]).select("a", F.col("node").alias("b")).distinct())
     nodes = left.select("node", "root").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node").join(sets.select("node", "n", "marks"), "node")
-    size = left.select("node").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node").join(sets.select("node", "n"), "node").groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    size = left.select("node").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node").join(sets.select("node", "n"), "node").groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / NODES)).alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = nodes.join(size, "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pairs = dealt.select("cluster", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("high"), "node", "root", "n", "marks")
@@ -337,14 +396,14 @@ def compared(left: DataFrame, sets: DataFrame) -> DataFrame:
 def _in_several(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """(key, node, root) of the keys whose nodes lie in several components."""
     placed = entries.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    return placed.join(apart, "key")
+    apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n")
+    return looked_up(placed, apart, ["key"])
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", split: int = SPLIT) -> DataFrame:
     """(doc, n_shingles, component) of each row of docs; component: the smallest id reachable by links."""
     nodes = written(nodes_of(docs, doc_id, text))
-    roots = similar_nodes(docs, nodes, text)
+    roots = similar_nodes(docs, nodes, text, split)
     rooted = nodes.groupBy("node").agg(F.min("doc").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     classes = rooted.join(least, "root").select("node", "component")

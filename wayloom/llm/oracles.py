@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .line_dedup import MIN_WORDS
-from .quality_rules import CLASSES, COMMON, DIGIT, OTHER, PARAMETERS, PUNCTUATION, SYMBOLS, UPPER
+from .quality_rules import CLASSES, COMMON, DIGIT, FOREIGN, OTHER, PARAMETERS, PUNCTUATION, SYMBOLS, UPPER
 
 WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -47,12 +47,12 @@ g AS (SELECT doc_id, i, list_slice(words, i, i + 4) AS five FROM (SELECT doc_id,
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS k FROM g) WHERE k > 1),
 covered AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM twice, range(5) r(o) GROUP BY 1),
 f AS (SELECT w.doc_id, len(words) AS n_words, greatest(len(words), 1) AS n1, coalesce(len(array_to_string(words, '')), 0) AS word_chars, {count(SYMBOLS)} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
-  {count(UPPER)} AS upper, {count(DIGIT)} AS digit, {count(PUNCTUATION)} AS punct, {count(OTHER)} AS other, {count('[^[:ascii:]]')} AS rest, length(t) AS chars,
+  {count(UPPER)} AS upper, {count(DIGIT)} AS digit, {count(PUNCTUATION)} AS punct, {count(OTHER)} AS other, {count('[^[:ascii:]]')} AS rest, {count(FOREIGN)} AS outside, length(t) AS chars,
   list_transform(list_filter(words, lambda x: x IN ({', '.join(map(quoted, every))})), lambda x: replace(replace(lower(x), '.', ''), ',', '')) AS common FROM w LEFT JOIN covered ON covered.doc_id = w.doc_id),
 h AS (SELECT *, {', '.join(f'{x} AS {k}_{i}' for k, xs in languages.items() for i, x in enumerate(xs))} FROM f),
 j AS (SELECT *, n_words < {p['least_words']} OR 100 * n_repeat_words > {p['repeat_percent']} * n_words AS base_failed, least({by_chars}) AS dc, least({by_words}) AS dw FROM h)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND NOT (n_words >= {p['min_words']} AND (dc > {p['far_chars']} OR dc > {p['near_chars']} AND dw > {p['near_words']})) AS kept FROM j"""
+  NOT base_failed AND NOT (n_words >= {p['min_words']} AND 2 * outside < word_chars AND (dc > {p['far_chars']} OR dc > {p['near_chars']} AND dw > {p['near_words']})) AS kept FROM j"""
 
 
 SHINGLES = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORD}) AS words FROM documents),

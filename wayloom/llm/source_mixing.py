@@ -10,9 +10,13 @@ The block draws of all sources are dealt out to the output shards by a tree: a
 node splits its shards in two halves, and its draws by one multivariate-
 hypergeometric draw with the left half's exact share. Each leaf then has exact
 quotas by source and takes the next permuted blocks: no draw is in two shards.
-Inside a shard the documents are put into a seeded random order.
+Each epoch goes through a source's blocks in a permutation of its own. Inside a
+shard the documents are put into a seeded random order.
 
-On the driver: one row a source (words, blocks), never one a document or block.
+On the driver: one row a source (words, blocks), never one a document or block;
+that is for up to some 100,000 sources, so a column of hosts or addresses should
+be grouped first. Tables of sources and blocks are joined without a broadcast
+hint, so that they are only broadcast where their size allows it.
 
 Cases: a null source is a source of its own, ordered last; null and blank texts
 have size 0 and go with their block; sources without words have target 0 and
@@ -114,17 +118,19 @@ def drawn(docs: DataFrame, source: str = "source", text: str = "text", shards: i
         plan.append((s, w, want[s], n, epochs, int(round(want[s] - epochs * w)) if w else 0))
     schema = f"`·s` {docs.schema[source].dataType.simpleString()}, w_all long, want double, n long, epochs int, rest long"
     by_source = spark.createDataFrame(plan, schema)
-    ordered = Window.partitionBy("·s").orderBy(F.xxhash64(F.lit(seed + 1), "·b"), "·b")
+    permuted = lambda e: Window.partitionBy("·s").orderBy(F.xxhash64(F.lit(seed + 1), F.lit(e), "·b"), "·b")
+    ordered = permuted(MOST_COPIES)  # of the last, partial epoch
     cum = F.sum("w").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     ranked = blocks.withColumn("before", F.coalesce(cum, F.lit(0))).withColumn("rank", F.row_number().over(ordered) - 1)
+    ranked = ranked.withColumn("places", F.array(*[F.row_number().over(permuted(e)) - 1 for e in range(MOST_COPIES)]))
     null_safe = lambda a, b: a["·s"].eqNullSafe(b["·s"])
-    known = ranked.join(by_source, null_safe(ranked, by_source)).select(ranked["·s"], "·b", "w", "before", "rank", "w_all", "want", "n", "epochs", "rest")
+    known = ranked.join(by_source, null_safe(ranked, by_source)).select(ranked["·s"], "·b", "w", "before", "rank", "places", "w_all", "want", "n", "epochs", "rest")
     known = written(known)
     edge = known.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("w") > F.col("rest"))).select("·s", "·b", "before", "rest")
-    inner = light.join(F.broadcast(edge), light["·s"].eqNullSafe(edge["·s"]) & (light["·b"] == edge["·b"])).groupBy(edge["·s"], edge["·b"], "·h").agg(F.sum("mix_size").alias("size"), F.first(F.col("rest") - F.col("before")).alias("room"))
+    inner = light.join(edge, light["·s"].eqNullSafe(edge["·s"]) & (light["·b"] == edge["·b"])).groupBy(edge["·s"], edge["·b"], "·h").agg(F.sum("mix_size").alias("size"), F.first(F.col("rest") - F.col("before")).alias("room"))
     kind = docs.schema[source].dataType.simpleString()
     cuts = inner.groupBy("·s", "·b").applyInPandas(chosen, f"`·s` {kind}, `·b` long, cut array<long>")  # one block a source
-    state = known.join(F.broadcast(cuts), known["·s"].eqNullSafe(cuts["·s"]) & (known["·b"] == cuts["·b"]), "left").select(known["*"], F.col("cut").alias("·cut"))
+    state = known.join(cuts, known["·s"].eqNullSafe(cuts["·s"]) & (known["·b"] == cuts["·b"]), "left").select(known["*"], F.col("cut").alias("·cut"))
     inside = F.col("before") + F.col("w") <= F.col("rest")
     split_here = (F.col("before") < F.col("rest")) & ~inside
     state = state.withColumn("full", inside & (F.col("rest") > 0)).withColumn("part", F.col("full") | split_here)
@@ -132,11 +138,11 @@ def drawn(docs: DataFrame, source: str = "source", text: str = "text", shards: i
     quotas = np.array([n * epochs + (partial.get(s) or 0) for s, _, _, n, epochs, _ in plan], dtype=np.int64)
     ends = np.cumsum(split(quotas, shards, seed), axis=0).T if len(plan) else np.zeros((0, shards), dtype=np.int64)
     dealt = spark.createDataFrame([(p[0], [int(x) for x in e]) for p, e in zip(plan, ends, strict=True)], schema.split(",")[0] + ", ends array<long>")
-    # Draw number e * n + place: epoch e goes through the blocks in an order of its own; the last, partial one in the order of rank.
-    state = state.join(F.broadcast(dealt), state["·s"].eqNullSafe(dealt["·s"])).select(state["*"], "ends")
+    # Draw number e * n + place: epoch e goes through the blocks in its own order; the last, partial one in the order of rank.
+    state = state.join(dealt, state["·s"].eqNullSafe(dealt["·s"])).select(state["*"], "ends")
     shard_of = lambda d: F.size(F.filter(F.col("ends"), lambda e: e <= d))
     draws = F.concat(
-        F.transform(F.filter(F.array(*[F.lit(e) for e in range(MOST_COPIES)]), lambda e: e < F.col("epochs")), lambda e: shard_of(e * F.col("n") + F.pmod(F.col("rank") + e * 7919, F.col("n")))),
+        F.transform(F.filter(F.array(*[F.lit(e) for e in range(MOST_COPIES)]), lambda e: e < F.col("epochs")), lambda e: shard_of(e * F.col("n") + F.get("places", e))),
         F.when(F.col("part"), F.array(shard_of(F.col("epochs") * F.col("n") + F.col("rank")))).otherwise(F.array().cast("array<int>")),
     )
     table = state.select(F.col("·s").alias("·s2"), F.col("·b").alias("·b2"), "w_all", "want", "full", "·cut", "epochs", draws.alias("·d"))
