@@ -52,6 +52,41 @@ def test_pieces_equal_library(docs, empty):
     assert sentencepiece_paths.encode(empty, path).count() == 0
 
 
+def unigram_model(rule, fallback, squeeze):
+    """A unigram model put together by hand, not trained: pieces with random scores and a built-in normaliser's table."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    rng = random.Random(f"{rule}{fallback}{squeeze}")
+    model = sentencepiece_model_pb2.ModelProto()
+    normaliser = sentencepiece.SentencePieceNormalizer(rule_name=rule)
+    own = sentencepiece_model_pb2.ModelProto()
+    own.ParseFromString(normaliser.serialized_model_proto())
+    model.normalizer_spec.CopyFrom(own.normalizer_spec)
+    model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.escape_whitespaces, model.normalizer_spec.remove_extra_whitespaces = True, True, squeeze
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = 1, fallback
+    pieces = {"▁"} | set("abcdeginrst.") | {"".join(rng.choice("▁abcdeginrst") for _ in range(rng.randint(2, 4))) for _ in range(300)}
+    model.pieces.add(piece="<unk>", score=0.0, type=2)
+    for p in sorted(pieces):
+        model.pieces.add(piece=p, score=-rng.uniform(1, 14), type=1)
+    for b in range(256 if fallback else 0):
+        model.pieces.add(piece=f"<0x{b:02X}>", score=0.0, type=6)
+    return model.SerializeToString()
+
+
+@pytest.mark.parametrize(("rule", "fallback", "squeeze"), [("identity", True, False), ("nmt_nfkc", True, True), ("nmt_nfkc", False, True), ("nfkc_cf", False, False)])
+def test_unigram_pieces_equal_library(tmp_path, rule, fallback, squeeze):
+    import pickle
+
+    import sentencepiece
+
+    (tmp_path / "m.model").write_bytes(unigram_model(rule, fallback, squeeze))
+    own, lib = pickle.loads(pickle.dumps(sentencepiece_paths.PieceTransducer(str(tmp_path / "m.model")))), sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "m.model"))
+    for t in ["", " ", "a", "  a  b  ", "ABC"] + odd_texts(["a", "st", "ing", "ra", " ", "  ", "n", "é", "ﬁ", "Ａ", "①", "가", "e\u0301", "中", "😀", "E", "\t", "\n", "\u200b"], 1500):
+        assert own.encode(t) == lib.encode(t), t
+        assert own.decode(own.encode(t)) == lib.decode(lib.encode(t)), t
+
+
 def test_token_counts_equal_library(docs, empty):
     import tokenizers
 

@@ -149,3 +149,55 @@ class PathFinder:
             j -= len(last[j])
         out.reverse()
         return out
+
+
+class ScoredPaths:
+    """Unigram pieces as a transducer of one state that accepts each piece at the cost of its negated score.
+
+    Composed with a text it is a lattice of places, in which the tropical shortest
+    path is found by relaxing the arcs of each place in turn. A code point that is no
+    piece has an arc of its own at the highest cost. Costs are 32-bit numbers, and of
+    equal ways the one found first stays: that with the earliest last arc.
+    """
+
+    STEP = 10.0  # by which a code point that is no piece costs more than the dearest piece
+
+    def __init__(self, scores: dict[str, float]):
+        import numpy as np
+
+        self.number = np.float32
+        self.unknown = self.number(-(np.float32(min(scores.values())) - np.float32(self.STEP)))
+        self.trie: dict = {}
+        for piece, score in scores.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = self.number(-score)
+
+    def path(self, text: str) -> list[tuple[str, bool]]:
+        """(piece, whether it is one) of each arc on the shortest path."""
+        n = len(text)
+        cost: list = [None] * (n + 1)
+        back: list = [None] * (n + 1)
+        cost[0] = self.number(0)
+        for i in range(n):
+            here, node, single = cost[i], self.trie, False
+            for j in range(i, n):
+                node = node.get(text[j])
+                if node is None:
+                    break
+                if "" in node:
+                    new = here + node[""]
+                    if cost[j + 1] is None or new < cost[j + 1]:
+                        cost[j + 1], back[j + 1] = new, (i, True)
+                    single = single or j == i
+            if not single:
+                new = here + self.unknown
+                if cost[i + 1] is None or new < cost[i + 1]:
+                    cost[i + 1], back[i + 1] = new, (i, False)
+        out, at = [], n
+        while at:
+            i, known = back[at]
+            out.append((text[i:at], known))
+            at = i
+        return out[::-1]
