@@ -1,16 +1,21 @@
 """Surrogates for personal data: keyed, of the same type, gender, script and format, distinct and coreferent.
 
 1. Detection finds e-mail and IP addresses, phone, card, bank account and social
-   security numbers, secrets, and names after titles or known first names.
+   security numbers, secrets, and names: after titles, with known first names, and
+   pairs of capitalised words whose context speaks for a person. The context is a
+   sum of weights (CONTEXT) for the word before, the word after, an address beside
+   the pair, a name to which it is joined, and words that people aren't called by.
 2. Each distinct entity, in a canonical form, gets a surrogate from a keyed hash:
    digits become digits, letters letters of their script and case, valid check
-   digits stay valid, first names keep their gender.
+   digits and country codes stay valid. Names are made of syllables of their
+   script, with endings by gender for first names; so there are as many as a
+   corpus needs, and none is one of the names that detection looks for.
 3. Collision checks over the whole corpus: a surrogate that another entity of
    the type has too, or that is itself an entity found in the corpus, is drawn
    again, in rounds, until all are distinct. So different entities stay
    different, and one entity has one surrogate in all documents; name parts
    have surrogates of their own, so a surname alone goes with its full name.
-4. The surrogate is written in each mention's own format.
+4. The surrogate is written in each mention's own format and capitals.
 
 Cases: null and empty texts stay as they are with no spans; overlapping finds
 keep the more specific one; rows of equal id and text are treated alike. Columns
@@ -19,10 +24,12 @@ text, n_entities and spans are replaced, others pass through.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,7 +47,7 @@ FIRST = {("f", "LATIN"): FEMALE.split(), ("m", "LATIN"): MALE.split(), ("f", "CY
 GENDER = {n.casefold(): g for (g, _), names in FIRST.items() for n in names}
 TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts.split()}
 CUES = frozenset([n for names in FIRST.values() for n in names] + list(TITLE_GENDER))
-# Made first names: (consonants, vowels) of a script, and endings by gender, of which none is the end of one of the other gender.
+# Made names: (consonants, vowels) of a script, endings of first names by gender, of which none is the end of one of the other gender, and endings of surnames.
 SOUNDS = {"LATIN": ("bcdfghjklmnprstvwz", "aeiou"), "CYRILLIC": ("бвгджзклмнпрстфхцч", "аеиоу"), "GREEK": ("βγδζθκλμνξπρστφχψ", "αειου")}
 ENDINGS = {
     ("f", "LATIN"): "a ia ina ella ette ine elle".split(),
@@ -49,8 +56,10 @@ ENDINGS = {
     ("m", "CYRILLIC"): "ий ан ислав имир ент".split(),
     ("f", "GREEK"): "α ια ινα η".split(),
     ("m", "GREEK"): "ων ωρ ηλ".split(),  # a final sigma would not outlive case folding
+    ("last", "LATIN"): "er mann sen ez is ley ton ard".split(),
+    ("last", "CYRILLIC"): "ов ев ко ук ич ян".split(),
+    ("last", "GREEK"): "ου ακη ιδη ατου".split(),
 }
-LISTED = 4  # attempts at a listed first name, before names are made
 LETTERS = {"LATIN": "abcdefghijklmnopqrstuvwxyz", "CYRILLIC": "абвгдежзиклмнопрстуфхцчшщэюя", "GREEK": "αβγδεζηθικλμνξοπρστυφχψω"}
 
 CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω][\w'’]+"
@@ -66,9 +75,29 @@ PATTERNS = [
     ("phone", re.compile(r"(?<![\w.+(])(\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}|\(\d{2,5}\)[ .-]?\d{3,4}[ .-]\d{3,5}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)")),
 ]
 # What every find of PATTERNS or NAME holds, so that other texts need no search: one of these, and a cue as a whole word.
+# Weights of a pair's context; LEAST and more make it a name.
+CONTEXT = {
+    "before": {
+        2: "contact dear attn sincerely regards signed author named name called meet kontakt liebe lieber grüße gez namens contacter cher chère signé nommé nommée cordialement querido querida estimado estimada atentamente llamado llamada firmado nombre nom контакт уважаемый уважаемая автор",
+        1: "by from with von mit par avec por con autor auteur written geschrieben écrit escrito",
+    },
+    "after": {1: "said says wrote writes asked replied born lives sagte sagt schrieb geboren wohnt dit écrit né née habite dijo escribió nacido nacida vive сказал сказала"},
+    "never": "Support Service Services Team Customer Sales Office Department Us Information Center Centre Company Inc Ltd GmbH University Institute Street Avenue Road Sir Madam Friends Colleagues Damen Herren Kundendienst Equipe Servicio",
+}
+BEFORE = {w: n for n, ws in CONTEXT["before"].items() for w in ws.split()}
+AFTER = {w: n for n, ws in CONTEXT["after"].items() for w in ws.split()}
+NEVER_NAMES = frozenset(CONTEXT["never"].split())
+LEAST, ADDRESS, JOINED = 2, 2, 2
+PAIR = re.compile(rf"(?<!\w)(?P<a>{CAPITAL})(?=[ ](?P<b>{CAPITAL})(?!\w))")
+WORD_BEFORE, WORD_AFTER = re.compile(r"(\w+)[ ,:]*\Z"), re.compile(r"[ ,]*(\w+)")
+BESIDE = re.compile(r"[ ,]*[<(\[]?\s*(?:[\w.+-]+@|mailto:)")
+JOINS = re.compile(r"\s*(?:,|&|and|or|und|oder|et|ou|y|o|e|и|или)?\s+\Z")
 SUSPECT = re.compile(r"[\d@:=]|(?:sk|pk|ghp|gho|xox[bp])[-_]|AKIA")
 WORD = re.compile(r"\w+")
+WORD_OF_NAME = re.compile(r"\w[\w'’]*")
 NUMERIC = {"card", "ssn", "phone"}
+# Country codes of two digits; 1 and 7 have one, all others three.
+TWO_DIGIT_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 
 
 def luhn(digits: str) -> int:
@@ -81,7 +110,7 @@ def iban_rest(text: str) -> int:
 
 def canonical(kind: str, surface: str) -> str:
     if kind in NUMERIC:
-        return re.sub(r"\D", "", surface)
+        return "+" * surface.startswith("+") + re.sub(r"\D", "", surface)
     if kind == "iban":
         return surface.replace(" ", "")
     return surface.casefold() if kind in ("email", "first", "last") else surface
@@ -105,15 +134,14 @@ def valid(kind: str, surface: str) -> bool:
 
 def detect(text: str | None) -> list[tuple[int, int, str, str, str]]:
     """(start, end, type, gender, canonical form) of each entity, in code points, in order, without overlaps."""
-    out: list[tuple[int, int, str, str, str]] = []
     if not text:
-        return out
-    taken: list[tuple[int, int]] = []
+        return []
+    out: list[tuple[int, int, str, str, str]] = []  # in order
 
     def add(kind, gender, start, end):
-        if not any(start < b and a < end for a, b in taken):
-            taken.append((start, end))
-            out.append((start, end, kind, gender, canonical(kind, text[start:end])))
+        at = bisect.bisect(out, (start, end))
+        if (at == 0 or out[at - 1][1] <= start) and (at == len(out) or end <= out[at][0]):
+            out.insert(at, (start, end, kind, gender, canonical(kind, text[start:end])))
 
     if SUSPECT.search(text):
         for kind, pattern in PATTERNS:
@@ -131,10 +159,36 @@ def detect(text: str | None) -> list[tuple[int, int, str, str, str]]:
                 add("last", "", *m.span("b"))
             else:
                 add("last", "", *m.span("a"))
-        for last in {text[a:b] for a, b, kind, _, _ in out if kind == "last"}:  # later mentions of a surname alone
-            for m in re.finditer(rf"(?<!\w){re.escape(last)}(?!\w)", text):
+    ends = {e for _, e, kind, _, _ in out if kind == "last"}
+    for m in PAIR.finditer(text):
+        if in_context(text, m, ends):
+            add("first", GENDER.get(m["a"].casefold(), ""), *m.span("a"))
+            add("last", "", *m.span("b"))
+            ends.add(m.end("b"))
+    alone = {text[a:b] for a, b, kind, _, _ in out if kind == "last"}  # later mentions of a surname alone
+    if alone:
+        for m in WORD_OF_NAME.finditer(text):
+            if m[0] in alone:
                 add("last", "", *m.span())
-    return sorted(out)
+    return out
+
+
+def in_context(text: str, pair: re.Match, ends: set[int]) -> bool:
+    """Whether the context of two capitalised words speaks for a name; ends: where names end that are found already."""
+    if not NEVER_NAMES.isdisjoint(pair.groups()) or pair["a"].casefold() in BEFORE:
+        return False
+    start, end = pair.start("a"), pair.end("b")
+    before = text[max(0, start - 40) : start]
+    word = WORD_BEFORE.search(before)
+    score = BEFORE.get(word[1].casefold(), 0) if word else 0
+    after = WORD_AFTER.match(text, end)
+    score += AFTER.get(after[1].casefold(), 0) if after else 0
+    if BESIDE.match(text, end):
+        score += ADDRESS
+    joined = JOINS.search(before)
+    if joined and start - (len(before) - joined.start()) in ends:
+        score += JOINED
+    return score >= LEAST
 
 
 class Draws:
@@ -151,13 +205,23 @@ class Draws:
         return value % n
 
 
+@lru_cache(maxsize=4096)
+def letters_like(c: str) -> str:
+    """The small letters of a letter's script; of scripts without a list of their own those of its neighbourhood in the code table."""
+    script = unicodedata.name(c, "").split(" ")[0]
+    if script in LETTERS:
+        return LETTERS[script]
+    base = ord(c) & ~63
+    return "".join(x for x in map(chr, range(base, base + 64)) if x.isalpha() and x.isupper() == c.isupper() and unicodedata.name(x, "").split(" ")[0] == script) or c
+
+
 def same_shape(text: str, draws: Draws, hexadecimal: bool = False) -> str:
     out = []
     for c in text:
         if c.isdigit():
             out.append(str(draws.below(10)))
         elif c.isalpha():
-            letters = "abcdef" if hexadecimal else LETTERS[script_of(c)]
+            letters = "abcdef" if hexadecimal else letters_like(c)
             new = letters[draws.below(len(letters))]
             out.append(new.upper() if c.isupper() else new)
         else:
@@ -166,11 +230,19 @@ def same_shape(text: str, draws: Draws, hexadecimal: bool = False) -> str:
 
 
 def made_name(gender: str, script: str, syllables: int, draws: Draws) -> str:
-    """A first name of a gender. A further syllable makes the space some 90 times as large."""
+    """A first name of a gender, or a surname. A further syllable makes the space some 90 times as large."""
     consonants, vowels = SOUNDS[script]
-    stem = "".join(consonants[draws.below(len(consonants))] + vowels[draws.below(len(vowels))] for _ in range(syllables))
-    endings = ENDINGS[gender, script]
-    return stem + consonants[draws.below(len(consonants))] + endings[draws.below(len(endings))]
+    while True:
+        stem = "".join(consonants[draws.below(len(consonants))] + vowels[draws.below(len(vowels))] for _ in range(syllables))
+        endings = ENDINGS[gender, script]
+        name = stem + consonants[draws.below(len(consonants))] + endings[draws.below(len(endings))]
+        if name.capitalize() not in CUES:
+            return name
+
+
+def country_code(digits: str) -> int:
+    """The length of an international number's country code."""
+    return 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGIT_CODES else 3
 
 
 def surrogate(key: bytes, kind: str, gender: str, canon: str, attempt: int) -> str:
@@ -179,12 +251,11 @@ def surrogate(key: bytes, kind: str, gender: str, canon: str, attempt: int) -> s
     longer = "x" * max(0, attempt - 15)
     if kind == "first" or kind == "last":
         script = script_of(canon)
-        names = FIRST.get((gender, script), [])
-        if kind == "first" and attempt < LISTED and names:
-            return names[draws.below(len(names))].casefold()
-        if kind == "first" and (gender, script) in ENDINGS:
-            return made_name(gender, script, 1 + max(0, attempt - LISTED + 1) // 2, draws)
-        return same_shape(canon + longer, draws)
+        form = "last" if kind == "last" else gender or "fm"[draws.below(2)]
+        return made_name(form, script, 1 + (kind == "last") + attempt // 2, draws)
+    if kind == "phone" and canon[0] == "+":
+        kept = 1 + country_code(canon[1:])
+        return canon[:kept] + (str(draws.below(9) + 1) if canon[kept : kept + 1] not in ("", "0") else canon[kept : kept + 1]) + same_shape(canon[kept + 1 :], draws)
     if kind == "ip":
         return ".".join(str(draws.below(254) + 1) for _ in range(4))
     if kind == "email":
@@ -205,10 +276,12 @@ def surrogate(key: bytes, kind: str, gender: str, canon: str, attempt: int) -> s
 def render(kind: str, surface: str, value: str) -> str:
     """A surrogate in the format of a mention."""
     if kind in NUMERIC or kind == "iban":
-        left = iter(value)
+        left = iter(value.removeprefix("+"))
         return "".join(next(left, "") if c.isalnum() else c for c in surface) + "".join(left)
     if kind in ("first", "last"):
-        return value.upper() if surface.isupper() and len(surface) > 1 else value[:1].upper() + value[1:] if surface[:1].isupper() else value
+        if surface.isupper() and len(surface) > 1:
+            return value.upper()
+        return "".join(c.upper() if k < len(surface) and surface[k].isupper() else c for k, c in enumerate(value))
     if kind == "email" and surface.isupper():
         return value.upper()
     return value
