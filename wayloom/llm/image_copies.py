@@ -1,57 +1,130 @@
 """Cropped and edited copies of images, by local descriptors.
 
-Images are binary columns in the portable graymap format (P5, 8 bits). Exact
-copies are one class from the start. For each distinct image:
-
-1. Corners (Harris) at several scales, the strongest PER_IMAGE of them; each has
-   an orientation (intensity centroid) and a descriptor of 256 intensity tests
-   at point pairs turned by it.
-2. Each of TABLES Hamming tables reads WORD of the descriptor's bits; descriptors
-   that agree in them meet in a bucket. All pairs of a bucket count: the images
-   are compared block by block, in tasks of bounded size, so the work grows with
-   the square of the number of images where buckets do.
-3. A meeting of two features proposes a similarity transform. Pairs of which two
-   features of each image propose about the same shift (a cell of CELL pixels, in
-   grids moved by half a cell) are verified with all features: mutual
-   matches each propose a similarity transform (scale, turn, shift), and the
-   images are copies if LEAST matches and SHARE of the features agree on one.
-   Classes are the connected components.
-
-Cases: null, empty and unreadable images have no features and are a class of
-their own row (nulls are not copies of each other); flat images have no corners
-and only exact copies; ids may be null or repeated. An empty table gives an
-empty result.
+Images are binary columns: portable grey and colour maps (P2, P3, P5, P6, 8 bits)
+and PNG (8 bits, not interlaced). Images of equal bytes are one node from the start,
+named by a 64-bit hash. For each distinct image:
+
+1. All corners (Harris) at several scales; each has an orientation (intensity
+   centroid) and a descriptor of 256 intensity tests at point pairs turned by it. A
+   test holds where the second point is brighter by MARGIN, so that noise on a flat
+   ground doesn't flip bits.
+2. Each of TABLES Hamming tables reads WORD of the descriptor's bits. Its keys are
+   constellations: a corner's word and, for each two of its NEIGHBOURS nearest
+   corners at the same scale, their words and places, seen from the corner and turned
+   by it, in cells of CELL pixels. So a key holds geometry as well as bits, and
+   images that merely have similar corners hardly ever share one. Images that share
+   a key are compared (see 3): all with the key's first image, then, where a key's
+   images aren't in one class yet, with others chosen by hash, then the images of
+   the keys that are left block by block, in tasks of bounded size, without listing
+   their pairs. So each pair that shares a key is compared or in one class already,
+   and a large group of copies costs its size.
+3. Comparison takes all features: mutual matches within NEAR bits each propose a
+   similarity transform (scale, turn, shift), and the images are copies if LEAST
+   matches and SHARE of the smaller image's features agree on one. Classes are the
+   connected components.
+
+Cases: null, empty and unreadable images have no features; a null is a class of its
+own row, others are copies of equal bytes only, as flat images without corners are.
+Ids may be null or repeated: classes belong to pictures, and a class is named by its
+smallest id that isn't null. An empty table gives an empty result. Other columns
+aren't read.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, looked_up, shuffle_parts, written
 from .components import components
 
-PER_IMAGE, RADIUS, TURNS, LEAST = 48, 6, 32, 5
+RADIUS, TURNS, LEAST = 6, 32, 5
+MARGIN = 8.0  # grey levels
 NEAR, SHARE = 48, 0.2  # differing bits of a match; share of the features that must agree
-TABLES, WORD = 12, 48  # Hamming tables, and the bits of the descriptor that each one reads
-CELL = 16  # pixels
-BLOCK, LEAST_BLOCKS = 4096, 4  # images of a block, and the fewest blocks
-PART, MEETINGS = 512, 1_000_000  # images and meetings that are held at once in a task
+TABLES, WORD = 2, 40  # Hamming tables, and the bits of the descriptor that each one reads
+NEIGHBOURS, REACH, CELL = 5, 40, 4  # nearest corners of a constellation, and pixels
+ROUNDS, BLOCK = 3, 256  # rounds with first images; images of a block in the last step
+ROWS = 512  # features whose distances to all others are held at once
 SCALES = (1.0, 0.7)
-HEADER = re.compile(rb"P5\s+(\d+)\s+(\d+)\s+255\s")
+HEADER = re.compile(rb"P([2356])\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s")
+GREY = np.array([0.299, 0.587, 0.114], dtype=np.float32)
 
 
 def decoded(data: bytes | None) -> np.ndarray | None:
-    found = HEADER.match(data) if data else None
+    """The image in grey levels from 0 to 255; None where it can't be read."""
+    try:
+        return png(data) if data and data[:8] == b"\x89PNG\r\n\x1a\n" else portable(data or b"")
+    except (ValueError, IndexError, zlib.error):
+        return None
+
+
+def portable(data: bytes) -> np.ndarray | None:
+    found = HEADER.match(data)
     if not found:
         return None
-    w, h = int(found[1]), int(found[2])
-    pixels = np.frombuffer(data, dtype=np.uint8, offset=found.end())
-    return pixels[: w * h].reshape(h, w).astype(np.float32) if len(pixels) >= w * h > 0 else None
+    kind, (w, h, top) = found[1], map(int, found.groups()[1:])
+    depth = 3 if kind in b"36" else 1
+    if not (0 < top < 256 and w * h > 0):
+        return None
+    n = w * h * depth
+    pixels = np.array(data[found.end() :].split()[:n], dtype=np.float32) if kind in b"23" else np.frombuffer(data, dtype=np.uint8, offset=found.end())[:n].astype(np.float32)
+    if len(pixels) < n:
+        return None
+    return grey(pixels.reshape(h, w, depth)) * np.float32(255 / top)
+
+
+def grey(pixels: np.ndarray) -> np.ndarray:
+    """One channel of an array (height, width, channels): the last of two or four is opacity and is left out."""
+    return pixels[:, :, :3] @ GREY if pixels.shape[2] >= 3 else pixels[:, :, 0]
+
+
+def png(data: bytes) -> np.ndarray | None:
+    at, packed, head, palette = 8, [], None, None
+    while at + 8 <= len(data):
+        size, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        body = data[at + 8 : at + 8 + size]
+        at += 12 + size
+        if kind == b"IHDR":
+            head = int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big"), *body[8:13]
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, dtype=np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            packed.append(body)
+    if head is None or head[2] != 8 or head[6] != 0 or head[3] not in (0, 2, 3, 4, 6):
+        return None
+    w, h, depth = head[0], head[1], {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[head[3]]
+    rows = np.frombuffer(zlib.decompress(b"".join(packed)), dtype=np.uint8)[: h * (w * depth + 1)].reshape(h, w * depth + 1)
+    out = np.zeros((h, w * depth), dtype=np.uint8)
+    above = np.zeros(w * depth, dtype=np.uint8)
+    for y in range(h):
+        above = out[y] = unfiltered(int(rows[y, 0]), rows[y, 1:], above, depth)
+    pixels = out.reshape(h, w, depth)
+    return grey((palette[pixels[:, :, 0]] if head[3] == 3 else pixels).astype(np.float32))
+
+
+def unfiltered(kind: int, row: np.ndarray, above: np.ndarray, depth: int) -> np.ndarray:
+    """A PNG row with its prediction added again: 0 none, 1 left, 2 above, 3 their mean, 4 the one of three nearest to left + above - corner."""
+    if kind == 0:
+        return row
+    if kind == 2:
+        return row + above
+    if kind == 1:
+        return np.add.accumulate(row.reshape(-1, depth), axis=0, dtype=np.uint8).reshape(-1)
+    line, up = [0] * depth + row.tolist(), [0] * depth + above.tolist()
+    for i in range(depth, len(line)):
+        a, b, c = line[i - depth], up[i], up[i - depth]
+        if kind == 3:
+            guess = (a + b) // 2
+        else:
+            p = a + b - c
+            guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+        line[i] = (line[i] + guess) & 255
+    return np.array(line[depth:], dtype=np.uint8)
 
 
 def encoded(image: np.ndarray) -> bytes:
@@ -85,19 +158,19 @@ def patterns() -> np.ndarray:
 
 
 PATTERNS = patterns()
-READ = np.stack([np.random.default_rng([43, k]).permutation(256)[:WORD] for k in range(TABLES)])
-#: A table's word is the sum of odd numbers, one for each bit that is set: (256, TABLES), 0 where a table doesn't read.
+DISC = [(dx, dy) for dy in range(-RADIUS, RADIUS + 1) for dx in range(-RADIUS, RADIUS + 1) if dx * dx + dy * dy <= RADIUS * RADIUS]
+#: A table's word is the sum of odd numbers, one for each of its bits that is set: (256, TABLES), 0 where a table doesn't read.
 WEIGHTS = np.zeros((256, TABLES), dtype=np.uint64)
 for _k in range(TABLES):
-    WEIGHTS[READ[_k], _k] = np.random.default_rng([44, _k]).integers(0, 1 << 63, WORD, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASES = np.random.default_rng(45).integers(0, 1 << 63, TABLES, dtype=np.uint64)
-DISC = [(dx, dy) for dy in range(-RADIUS, RADIUS + 1) for dx in range(-RADIUS, RADIUS + 1) if dx * dx + dy * dy <= RADIUS * RADIUS]
+    WEIGHTS[np.random.default_rng([43, _k]).permutation(256)[:WORD], _k] = np.random.default_rng([44, _k]).integers(0, 1 << 63, WORD, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SHIFTS = np.random.default_rng(45).uniform(0, CELL, (TABLES, 2))  # of each table's cells
+PLACE = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "u1"), ("turn", "u1")])
 
 
-def features(image: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """(x, y, scale, turn) and the bits of each feature, in the image's own coordinates."""
-    places, packed = [], []
-    for scale in SCALES:
+def features(image: np.ndarray) -> tuple[bytes, bytes]:
+    """The places, as items of PLACE in the image's own coordinates, and the bits of all features."""
+    places, packed = [np.zeros(0, dtype=PLACE)], []
+    for level, scale in enumerate(SCALES):
         a = resized(image, scale) if scale != 1 else image
         m = RADIUS + 1
         if min(a.shape) < 2 * m + 2:
@@ -115,187 +188,189 @@ def features(image: np.ndarray) -> tuple[np.ndarray, bytes]:
         ys, xs = ys + 1, xs + 1
         inside = (ys >= m) & (ys < a.shape[0] - m) & (xs >= m) & (xs < a.shape[1] - m)
         ys, xs = ys[inside], xs[inside]
-        best = np.argsort(-r[ys, xs], kind="stable")[: PER_IMAGE // len(SCALES)]
-        ys, xs = ys[best], xs[best]
-        if not len(ys):
-            continue
-        dx, dy = np.array([d[0] for d in DISC]), np.array([d[1] for d in DISC])
-        patch = smooth[ys[:, None] + dy, xs[:, None] + dx]
-        patch = patch - patch.mean(1, keepdims=True)
-        turn = np.rint(np.arctan2((patch * dy).sum(1), (patch * dx).sum(1)) / (2 * np.pi) * TURNS).astype(int) % TURNS
-        p = PATTERNS[turn]
-        bits = smooth[ys[:, None] + p[:, :, 1], xs[:, None] + p[:, :, 0]] < smooth[ys[:, None] + p[:, :, 3], xs[:, None] + p[:, :, 2]]
-        packed.append(np.packbits(bits, axis=1))
-        places.append(np.stack([xs / scale, ys / scale, np.full(len(xs), scale), turn], 1))
-    if not places:
-        return np.zeros((0, 4)), b""
-    return np.concatenate(places), np.concatenate(packed).tobytes()
+        for start in range(0, len(ys), ROWS):
+            y, x = ys[start : start + ROWS], xs[start : start + ROWS]
+            dx, dy = np.array([d[0] for d in DISC]), np.array([d[1] for d in DISC])
+            patch = smooth[y[:, None] + dy, x[:, None] + dx]
+            patch = patch - patch.mean(1, keepdims=True)
+            turn = np.rint(np.arctan2((patch * dy).sum(1), (patch * dx).sum(1)) / (2 * np.pi) * TURNS).astype(int) % TURNS
+            p = PATTERNS[turn]
+            bits = smooth[y[:, None] + p[:, :, 1], x[:, None] + p[:, :, 0]] + MARGIN < smooth[y[:, None] + p[:, :, 3], x[:, None] + p[:, :, 2]]
+            packed.append(np.packbits(bits, axis=1).tobytes())
+            place = np.zeros(len(x), dtype=PLACE)
+            place["x"], place["y"], place["scale"], place["turn"] = x / scale, y / scale, level, turn
+            places.append(place)
+    return np.concatenate(places).tobytes(), b"".join(packed)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective mix of 64-bit values."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def constellations(places: bytes, bits: bytes) -> np.ndarray:
+    """The keys of an image, in order."""
+    place = np.frombuffer(places, dtype=PLACE)
+    words = np.unpackbits(np.frombuffer(bits, dtype=np.uint8).reshape(-1, 32), axis=1).astype(np.uint64) @ WEIGHTS
+    turn = np.exp(-2j * np.pi / TURNS * place["turn"])
+    first, second = np.triu_indices(NEIGHBOURS, 1)
+    out = [np.zeros(0, dtype=np.uint64)]
+    for level, scale in enumerate(SCALES):
+        own = np.nonzero(place["scale"] == level)[0]
+        z = (place["x"][own] + 1j * place["y"][own]) * scale
+        for start in range(0, len(own) if len(own) > 2 else 0, ROWS):
+            a = np.arange(start, min(len(own), start + ROWS))
+            away = z[None, :] - z[a][:, None]
+            far = np.abs(away)
+            far[np.arange(len(a)), a] = np.inf
+            near = np.argsort(far, axis=1, kind="stable")[:, :NEIGHBOURS]
+            k = near.shape[1]
+            pairs = (first < k) & (second < k)
+            reached = np.take_along_axis(far, near, 1) <= REACH
+            seen = np.take_along_axis(away, near, 1) * turn[own[a]][:, None]
+            for t in range(TABLES):
+                cx, cy = (np.floor((v + o) / CELL).astype(np.int64).astype(np.uint64) for v, o in ((seen.real, SHIFTS[t, 0]), (seen.imag, SHIFTS[t, 1])))
+                beside = mixed(words[own[near], t] + mixed(cx * np.uint64(0xC2B2AE3D27D4EB4F) + cy + np.uint64(t)))
+                i, j = first[pairs], second[pairs]
+                both = mixed(mixed(words[own[a], t])[:, None] + beside[:, i] + beside[:, j])
+                out.append(both[reached[:, i] & reached[:, j]])
+    return np.unique(np.concatenate(out))
 
 
 def described(images: DataFrame) -> DataFrame:
-    """(img, places, bits) of each image of images (img, image): its features, flat."""
+    """(node, places, bits, keys) of each image of images (node, image)."""
 
     def run(frames):
         for frame in frames:
             rows = []
             for data in frame.column(1).to_pylist():
                 image = decoded(data)
-                rows.append(features(image) if image is not None else (np.zeros((0, 4)), b""))
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array([r[0].reshape(-1) for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.binary())], names=["img", "places", "bits"])
+                places, bits = features(image) if image is not None else (b"", b"")
+                rows.append((places, bits, constellations(places, bits).view(np.int64)))
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([frame.column(0), *columns], names=["node", "places", "bits", "keys"])
 
-    return images.mapInArrow(run, "img long, places array<double>, bits binary")
+    return images.mapInArrow(run, "node long, places binary, bits binary, keys array<long>")
 
 
-def agreeing(places_a, bits_a, places_b, bits_b, least: float = LEAST) -> int:
+def agreeing(places_a: bytes, bits_a: bytes, places_b: bytes, bits_b: bytes, least: float = LEAST) -> int:
     """The most mutual matches that agree on one similarity transform, each match being tried as the transform; 0 where there are fewer than least matches."""
     a, b = (np.frombuffer(x, dtype=np.uint64).reshape(-1, 4) for x in (bits_a, bits_b))
     if not len(a) or not len(b):
         return 0
-    far = np.zeros((len(a), len(b)), dtype=np.uint16)
-    for w in range(4):
-        far += np.bitwise_count(a[:, None, w] ^ b[None, :, w])
-    near = far.min(1) <= NEAR
-    if np.count_nonzero(near) < least:
-        return 0
-    best = far.argmin(1)
-    k = np.nonzero((far.argmin(0)[best] == np.arange(len(a))) & near)[0]
+    best, least_far = np.zeros(len(a), dtype=np.int64), np.zeros(len(a), dtype=np.uint16)
+    back, back_far = np.zeros(len(b), dtype=np.int64), np.full(len(b), 999, dtype=np.uint16)
+    for start in range(0, len(a), ROWS):
+        far = np.zeros((len(a[start : start + ROWS]), len(b)), dtype=np.uint16)
+        for w in range(4):
+            far += np.bitwise_count(a[start : start + ROWS, None, w] ^ b[None, :, w])
+        best[start : start + ROWS], least_far[start : start + ROWS] = far.argmin(1), far.min(1)
+        better = far.min(0) < back_far
+        back[better], back_far[better] = far.argmin(0)[better] + start, far.min(0)[better]
+    k = np.nonzero((back[best] == np.arange(len(a))) & (least_far <= NEAR))[0]
     if len(k) < least:
         return 0
-    pa_, pb = np.reshape(places_a, (-1, 4))[k], np.reshape(places_b, (-1, 4))[best[k]]
-    scale, turn = pa_[:, 2] / pb[:, 2], (pb[:, 3] - pa_[:, 3]) * (2 * np.pi / TURNS)
-    za, zb = pa_[:, 0] + 1j * pa_[:, 1], pb[:, 0] + 1j * pb[:, 1]
-    move = scale * np.exp(1j * turn)
-    off = np.abs(zb[None, :] - zb[:, None] - move[:, None] * (za[None, :] - za[:, None]))
-    same_turn = np.abs((turn[None, :] - turn[:, None] + np.pi) % (2 * np.pi) - np.pi) < 0.45
-    return int((same_turn & (off < 4)).sum(1).max())
-
-
-def words(bits: np.ndarray) -> np.ndarray:
-    """The word of each feature in each table: (features, TABLES)."""
-    tests = np.unpackbits(bits.view(np.uint8).reshape(-1, 32), axis=1).astype(np.uint64)
-    return tests @ WEIGHTS + BASES
-
+    pa_, pb = np.frombuffer(places_a, dtype=PLACE)[k], np.frombuffer(places_b, dtype=PLACE)[best[k]]
+    scales = np.array(SCALES)
+    scale, turn = scales[pa_["scale"]] / scales[pb["scale"]], (pb["turn"].astype(float) - pa_["turn"]) * (2 * np.pi / TURNS)
+    za, zb = pa_["x"].astype(float) + 1j * pa_["y"], pb["x"].astype(float) + 1j * pb["y"]
+    move, most = scale * np.exp(1j * turn), 0
+    for start in range(0, len(k), ROWS):
+        s = slice(start, start + ROWS)
+        off = np.abs(zb[None, :] - zb[s, None] - move[s, None] * (za[None, :] - za[s, None]))
+        same_turn = np.abs((turn[None, :] - turn[s, None] + np.pi) % (2 * np.pi) - np.pi) < 0.45
+        most = max(most, int((same_turn & (off < 4)).sum(1).max()))
+    return most
 
-class Side:
-    """Features of some images, one after the other: their images, numbers, places and words."""
 
-    def __init__(self, places: list, bits: list):
-        sizes = [len(x) // 32 for x in bits]
-        self.image = np.repeat(np.arange(len(bits)), sizes)
-        self.at = np.cumsum([0, *sizes])
-        self.number = np.arange(self.at[-1]) - self.at[self.image]
-        x, y, scale, turn = np.concatenate([np.reshape(p, (-1, 4)) for p in places]).astype(np.float64).T
-        self.place, self.scale, self.turn = x + 1j * y, scale, turn * (2 * np.pi / TURNS)
-        self.words = words(np.frombuffer(b"".join(bits), dtype=np.uint8))
+def are_copies(places_a: bytes, bits_a: bytes, places_b: bytes, bits_b: bytes) -> bool:
+    least = max(LEAST, SHARE * min(len(bits_a), len(bits_b)) / 32)
+    return agreeing(places_a, bits_a, places_b, bits_b, least) >= least
 
 
-def proposed(left: Side, right: Side) -> set[tuple[int, int]]:
-    """All pairs (image of left, image of right) of which two features of each meet in buckets and propose about the same shift.
+def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are copies."""
+    side = lambda k: found.select(F.col("node").alias(k), F.col("places").alias("p" + k), F.col("bits").alias("b" + k))
 
-    Shifts vote in four grids of cells, each moved by half a cell, so that shifts
-    within half a cell of each other share a cell wherever the borders are.
-    """
-    flat = right.words.reshape(-1)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], order // TABLES
-    lo, hi = np.searchsorted(flat, left.words, "left"), np.searchsorted(flat, left.words, "right")
-    load = np.concatenate([[0], np.cumsum((hi - lo).sum(1))])[left.at]  # meetings before each image
-    n_left, n_right, out, start = len(left.at) - 1, len(right.at) - 1, set(), 0
-    while start < n_left:
-        stop = max(start + 1, int(np.searchsorted(load, load[start] + MEETINGS, "right")) - 1)
-        f, g = left.at[start], left.at[stop]
-        n = (hi[f:g] - lo[f:g]).reshape(-1)
-        fa = np.repeat(np.repeat(np.arange(f, g), TABLES), n)
-        fb = owner[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[f:g].reshape(-1), n)]
-        both = np.unique(fa * len(right.image) + fb)  # features that meet in several tables meet once
-        fa, fb = both // max(1, len(right.image)), both % max(1, len(right.image))
-        if len(fa):
-            shift = right.place[fb] - left.scale[fa] / right.scale[fb] * np.exp(1j * (right.turn[fb] - left.turn[fa])) * left.place[fa]
-            pair = (left.image[fa] - start) * n_right + right.image[fb]
-            numbers = left.number[fa] * 64 + right.number[fb]
-            for ox in (0, CELL / 2):
-                for oy in (0, CELL / 2):
-                    cx, cy = (np.floor((d + o) / CELL).astype(np.int64) for d, o in ((shift.real, ox), (shift.imag, oy)))
-                    cx, cy = cx - cx.min(), cy - cy.min()
-                    cell = cx * (cy.max() + 1) + cy
-                    if cell.max() >= 1 << 24:
-                        cell = np.unique(cell, return_inverse=True)[1]
-                    votes = np.sort((pair * (cell.max() + 1) + cell) * 4096 + numbers)
-                    group, own_a, own_b = votes >> 12, votes >> 6 & 63, votes & 63
-                    first = np.nonzero(np.concatenate([[True], group[1:] != group[:-1]]))[0]
-                    two = (np.maximum.reduceat(own_a, first) > own_a[first]) & (np.maximum.reduceat(own_b, first) > np.minimum.reduceat(own_b, first))
-                    found = np.unique(group[first][two] // (cell.max() + 1))
-                    out.update(zip((found // n_right + start).tolist(), (found % n_right).tolist(), strict=True))
-        start = stop
-    return out
-
-
-def compared(found: DataFrame) -> DataFrame:
-    """Links (a, b) and, where b is null, a number n of copies of a, from the comparison of all images, block by block.
-
-    The images are cut by hash into blocks, and each two blocks are compared in a
-    task of their own, of bounded size: all pairs that buckets propose are verified
-    (LEAST of the features agree on one transform, and SHARE of the smaller image's).
-    A task gives as many links as join its classes, so a large class costs its size.
+    def run(frames):
+        for frame in frames:
+            a, b, *shown = (frame.column(k).to_pylist() for k in range(6))
+            good = pa.array([are_copies(*x) for x in zip(*shown, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1)], names=["a", "b"]).filter(good)
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "ba", "pb", "bb")
+    return both.repartition(shuffle_parts(pairs.sparkSession)).mapInArrow(run, "a long, b long")
+
+
+def in_several(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root) of the keys of three images or more that lie in several classes: of two both were compared."""
+    placed = entries.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi AND n > 2").select("key", "n")
+    return looked_up(placed, apart, ["key"])
+
+
+def links_of(found: DataFrame) -> DataFrame:
+    """(a, b) that join the classes of all pairs of copies that share a key."""
+    entries = written(found.select("node", F.explode("keys").alias("key")))
+    first = written(entries.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).filter("a < z").drop("z"))
+    pairs = written(looked_up(entries, first, ["key"]).filter("node != a").select("a", F.col("node").alias("b")).distinct())
+    dropped(first)
+    links = written(verified(pairs, found))
+    roots = components(links)
+    left = written(in_several(entries, roots))
+    for turn in range(1, ROUNDS):
+        if not left.limit(1).count():
+            return links
+        leader = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root")).alias("x"), F.count("*").alias("n"))
+        met = looked_up(left, leader, ["key"]).filter(F.col("root") != F.col("x.root")).select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
+        met = written(met.join(pairs, ["a", "b"], "left_anti"))
+        links, pairs = links.union(written(verified(met, found))), pairs.union(met)
+        roots = components(links)
+        left = written(in_several(left.select("node", "key"), roots))
+    return links.union(compared(left, found))
+
+
+def compared(left: DataFrame, found: DataFrame) -> DataFrame:
+    """Links (a, b) between classes, from the comparison of all images of a key that lie in different ones.
+
+    A key's images are cut by hash into blocks of about BLOCK, and each two blocks are
+    compared in a task of their own, which gives one link for each two classes it joins.
     """
-    some = found.filter("octet_length(bits) > 0").select("img", F.col("places").cast("array<float>").alias("places"), "bits")
-    blocks = max(LEAST_BLOCKS, -(-some.count() // BLOCK))
-    dealt = some.withColumn("own", F.pmod(F.xxhash64("img"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = dealt.select(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("high"), "img", "places", "bits")
+    size = left.groupBy("key").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = looked_up(left, size, ["key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sides = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "root").join(found.select("node", "places", "bits"), "node")
 
     def run(table: pa.Table) -> pa.Table:
-        img, high = table.column("img").to_pylist(), table.column("high").to_numpy()
-        lists = table.column("places").combine_chunks()
-        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        places = [flat[ends[k] : ends[k + 1]] for k in range(len(img))]
-        bits = table.column("bits").to_pylist()
-        one = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
-        lefts, rights = (range(len(img)),) * 2 if one else (np.nonzero(~high)[0].tolist(), np.nonzero(high)[0].tolist())
-        cut = lambda rows: [(part := rows[k : k + PART], Side([places[i] for i in part], [bits[i] for i in part])) for k in range(0, len(rows), PART)]
-        known, root, links = {}, list(range(len(img))), []
-
-        def top(i):
-            while root[i] != i:
-                root[i] = i = root[root[i]]
-            return i
-
-        right_parts = cut(rights)
-        for la, left in right_parts if one else cut(lefts):
-            for lb, right in right_parts:
-                if one and lb[0] < la[0]:
-                    continue
-                for x, y in proposed(left, right):
-                    i, j = la[x], lb[y]
-                    if one and la[0] == lb[0] and i >= j:
-                        continue
-                    i, j = (i, j) if img[i] < img[j] else (j, i)
-                    least = max(LEAST, SHARE * min(len(bits[i]), len(bits[j])) / 32)
-                    if agreeing(places[i], bits[i], places[j], bits[j], least) >= least:
-                        known[i], known[j] = known.get(i, 0) + 1, known.get(j, 0) + 1
-                        if top(i) != top(j):
-                            root[top(i)] = top(j)
-                            links.append((img[i], img[j], None))
-        rows = links + [(img[i], None, n) for i, n in known.items()]
-        return pa.table([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["a", "b", "n"])
-
-    return pairs.groupBy("lo", "hi").applyInArrow(run, "a long, b long, n long")
+        own, node, root, places, bits = (table.column(c).to_pylist() for c in ("own", "node", "root", "places", "bits"))
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        links = {}
+        for i in range(len(node)):
+            for j in range(i) if lo == hi else (j for j in range(len(node)) if own[i] < own[j]):
+                classes = min(root[i], root[j]), max(root[i], root[j])
+                if root[i] != root[j] and classes not in links and are_copies(places[i], bits[i], places[j], bits[j]):
+                    links[classes] = node[i], node[j]
+        return pa.table({"a": pa.array([x[0] for x in links.values()], pa.int64()), "b": pa.array([x[1] for x in links.values()], pa.int64())})
+
+    return sides.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
 def image_classes(images: DataFrame, img: str = "img", image: str = "image") -> DataFrame:
-    """(img, n_features, class_id, n_links) of each row; class_id: the smallest id in its class; n_links: copies found among distinct images."""
-    rows = images.select(F.col(f"`{img}`").cast("long").alias("img"), F.col(f"`{image}`").alias("image"), F.md5(F.col(f"`{image}`")).alias("digest"))
-    digests = written(rows.select("img", F.coalesce("digest", F.concat(F.lit("null "), F.coalesce(F.col("img").cast("string"), F.lit("")))).alias("digest")))
-    heads = digests.groupBy("digest").agg(F.min("img").alias("head"))
-    distinct = rows.filter("img IS NOT NULL AND digest IS NOT NULL").join(heads.withColumnRenamed("digest", "·d"), (F.col("digest") == F.col("·d")) & (F.col("img") == F.col("head"))).select("img", "image").dropDuplicates(["img"])
-    found = written(described(distinct))
-    links = written(compared(found))
-    degree = links.filter("b IS NULL").groupBy(F.col("a").alias("head")).agg(F.sum("n").alias("n_links"))
-    roots = components(links.filter("b IS NOT NULL")).select(F.col("node").alias("head"), "root")
-    counts = found.select(F.col("img").alias("head"), (F.size("places") / 4).alias("n_features"))
-    classes = heads.join(roots, "head", "left").join(degree, "head", "left").join(counts, "head", "left")
-    out = digests.join(classes, "digest")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select("img", zero("n_features"), F.coalesce("root", "head").alias("class_id"), zero("n_links"))
+    """(img, n_features, class_id) of each row; class_id: the smallest id of all rows whose picture is in its class."""
+    data = F.col(f"`{image}`")
+    rows = images.select(F.col(f"`{img}`").cast("long").alias("img"), F.when(data.isNotNull(), F.xxhash64(data)).alias("node"), data.alias("image"))
+    ids = written(rows.select("img", "node"))
+    distinct = rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("image").alias("image"))
+    found = written(described(distinct.repartition(shuffle_parts(images.sparkSession), "node")))
+    roots = components(links_of(found))
+    heads = ids.filter("node IS NOT NULL").groupBy("node").agg(F.min("img").alias("head"), F.count("*").alias("n"))
+    placed = heads.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = placed.groupBy("root").agg(F.min("head").alias("class_id"))
+    shown = found.select("node", (F.octet_length("bits") / 32).cast("long").alias("n_features"))
+    classes = written(placed.join(least, "root").join(shown, "node").select("node", "n", "n_features", "class_id"))
+    nulls = ids.filter("node IS NULL").select("img", F.lit(0).cast("long").alias("n_features"), F.col("img").alias("class_id"))
+    return looked_up(ids, classes, ["node"]).select("img", "n_features", "class_id").union(nulls)
 
 
 def scene(seed: int, size: int = 64) -> np.ndarray:
