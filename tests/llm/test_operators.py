@@ -356,6 +356,26 @@ def test_shards_hold_all_rows_without_gaps(docs, empty):
     assert sorted(map(str, run(docs).collect())) == sorted(map(str, rows)) and run(empty).count() == 0
 
 
+def test_hot_rows_and_several_buckets_a_partition(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(external_shuffle, "MOST_PARTITIONS", 3)
+    monkeypatch.setattr(external_shuffle, "SMALL_BUCKET_BYTES", 400)
+    monkeypatch.setattr(external_shuffle, "COPIES", 7)
+    rows = [(1, "same", 1, 2)] * 900 + [(k, f"text {k}", 3, 4) for k in range(500)] + [(None, None, None, None)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int, slot long").repartition(7)
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
+    run = lambda d: external_shuffle.shuffle_into_shards(d, size, bucket_bytes=1000, hot_rows=20)
+    got = run(docs)
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter(r[:2] for r in rows)
+    assert sorted((r.shard, r.slot) for r in got.collect()) == sorted((k % 8, k // 8) for k in range(len(rows)))
+    assert sorted(map(str, run(docs.repartition(3)).collect())) == sorted(map(str, got.collect()))
+    external_shuffle.write_shards(got, str(tmp_path / "out"), 5)
+    again = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, again.select(got.columns).collect())) == sorted(map(str, got.collect()))
+    for part in (tmp_path / "out").glob("shard=*/*.parquet"):
+        slots = [r.slot for r in spark.read.parquet(str(part)).collect()]
+        assert slots == list(range(slots[0], slots[0] + len(slots)))
+
+
 def test_mixture_meets_targets(spark, docs, empty):
     rows = [(k, "w " * R.randint(1, 60), "en", f"s{k % 5}", 0) for k in range(800)]
     got = source_mixing.drawn(spark.createDataFrame(rows, SCHEMA)).collect()

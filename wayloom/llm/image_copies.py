@@ -46,8 +46,8 @@ from .components import components
 RADIUS, TURNS, LEAST = 6, 32, 5
 MARGIN = 8.0  # grey levels
 NEAR, SHARE = 48, 0.2  # differing bits of a match; share of the features that must agree
-TABLES, WORD = 2, 40  # Hamming tables, and the bits of the descriptor that each one reads
-NEIGHBOURS, REACH, CELL = 5, 40, 4  # nearest corners of a constellation, and pixels
+TABLES, WORD = 2, 32  # Hamming tables, and the bits of the descriptor that each one reads
+NEIGHBOURS, REACH, CELL = 4, 40, 6  # nearest corners of a constellation, and pixels
 ROUNDS, BLOCK = 3, 256  # rounds with first images; images of a block in the last step
 ROWS = 512  # features whose distances to all others are held at once
 SCALES = (1.0, 0.7)
@@ -312,13 +312,14 @@ def in_several(entries: DataFrame, roots: DataFrame) -> DataFrame:
 
 def links_of(found: DataFrame) -> DataFrame:
     """(a, b) that join the classes of all pairs of copies that share a key."""
-    entries = written(found.select("node", F.explode("keys").alias("key")))
-    first = written(entries.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).filter("a < z").drop("z"))
-    pairs = written(looked_up(entries, first, ["key"]).filter("node != a").select("a", F.col("node").alias("b")).distinct())
+    every = found.select("node", F.explode("keys").alias("key"))
+    first = written(every.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1"))
+    entries = written(looked_up(every, first, ["key"]))  # of keys that several images share
     dropped(first)
+    pairs = written(entries.filter("node != a").select("a", F.col("node").alias("b")).distinct())
     links = written(verified(pairs, found))
     roots = components(links)
-    left = written(in_several(entries, roots))
+    left = written(in_several(entries.select("node", "key"), roots))
     for turn in range(1, ROUNDS):
         if not left.limit(1).count():
             return links
@@ -411,4 +412,5 @@ def pictures(vectors: DataFrame, every: int = 10) -> DataFrame:
             out = [encoded(edited(scene(s), i or 0) if e else scene(s)) for i, s, e in zip(ids, seeds, edits, strict=True)]
             yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(out, pa.binary())], names=["img", "image"])
 
-    return both.mapInArrow(run, "img long, image binary")
+    # The join is small and may have become one partition; drawing is the work.
+    return both.repartition(4 * shuffle_parts(vectors.sparkSession), "img").mapInArrow(run, "img long, image binary")
