@@ -1,13 +1,13 @@
 """Two-pass external shuffle into shards, with DataFrame functions only.
 
-Pass 1 scatters the records uniformly into buckets, by a seeded hash of their
-whole content: one exchange. Pass 2 brings a bucket into a fixed order by an
-external sort, draws a Fisher-Yates permutation of its places, from a generator
-seeded by seed, and joins the two: only a bucket's places are held in memory, and
-its records stream. A partition holds one bucket after the other, so the number of
-buckets may grow with the data while that of partitions stays below
-MOST_PARTITIONS. The records, numbered through all buckets, are dealt out to the
-shards in turn, so the law is `rows`: the shards' counts are at most one apart,
+Pass 1 scatters the records uniformly into buckets that fit into memory, by a
+seeded hash of their whole content: one exchange. Pass 2 gathers a bucket, brings
+it into a fixed order, and Fisher-Yates shuffles it with a seeded generator. There
+is a partition for each bucket; where this would be more than MOST_PARTITIONS, so
+that the driver's table of shuffle blocks would grow too large, a partition holds
+several smaller buckets, sorted one after the other, of which an aggregation holds
+128 at most at a time. The records, numbered through all buckets, are dealt out to
+the shards in turn, so the law is `rows`: the shards' counts are at most one apart,
 and slots have no gaps. write_shards writes each shard in the order of its slots.
 
 Records that are equal in all columns are interchangeable. Where there are more
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES, SMALL_BUCKET_BYTES = 24 << 20, 4 << 20
 MOST_PARTITIONS = 16_384  # so that the driver's table of shuffle blocks stays small
 HOT_ROWS, MOST_HOT = 1000, 100_000
 COPIES = 10_000  # rows written again by one task's row
@@ -38,21 +38,24 @@ def shuffle_into_shards(df: DataFrame, size: Column, shards: int = 8, seed: int
     content = [F.col(f"`{f.name}`") for f in df.schema.fields]
     total, rows = df.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0)), F.count("*")).first()
     buckets = max(1, -(-total // bucket_bytes))
+    if buckets > MOST_PARTITIONS:
+        buckets = -(-total // min(bucket_bytes, SMALL_BUCKET_BYTES))
     parts = min(buckets, MOST_PARTITIONS)
     hashed = df.select(F.xxhash64(F.lit(seed), *content).alias("·h"), F.struct(*content).alias("·r"))
     numbered = spread(hashed, max(hot_rows, rows // MOST_HOT))
     # Two hashes order a bucket: records that agree in both and in their number are equal.
-    keyed = numbered.select(F.xxhash64("·h", "·k").alias("·x"), F.xxhash64(F.lit(seed + 1), "·r").alias("·y"), "·k", "·r").withColumn("·b", F.pmod("·x", F.lit(buckets)))
-    before = Window.orderBy("·b").rowsBetween(Window.unboundedPreceding, -1)  # over one row a bucket
-    counts = keyed.groupBy("·b").agg(F.count("*").alias("·n")).withColumn("·o", F.coalesce(F.sum("·n").over(before), F.lit(0)))
-    one_by_one = Window.partitionBy("·b").orderBy("·x", "·y", "·k")
-    placed = keyed.repartition(parts, "·b").select("·b", "·r", (F.row_number().over(one_by_one) - 1).alias("·i"))
-    # Each bucket needs a permutation of its own: the sequence is turned by the bucket's hash before the seeded shuffle.
-    turned = F.transform(F.sequence(F.lit(0).cast("long"), F.col("·n") - 1), lambda i: F.pmod(i + F.pmod(F.xxhash64(F.lit(seed), "·b"), F.col("·n")), F.col("·n")))
-    drawn = counts.repartition(parts, "·b").select("·b", "·o", F.posexplode(F.shuffle(turned, seed)).alias("·j", "·i"))
-    place = F.col("·o") + F.col("·j")
-    both = placed.join(drawn.select(F.col("·b").alias("·b2"), F.col("·i").alias("·i2"), place.alias("·p")), (F.col("·b") == F.col("·b2")) & (F.col("·i") == F.col("·i2")))
-    return both.select("·r.*", F.pmod("·p", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("·p") / shards).cast("long").alias("slot"))
+    keyed = numbered.select(F.xxhash64("·h", "·k").alias("·x"), F.xxhash64(F.lit(seed + 1), "·r").alias("·y"), "·k", "·r").withColumn("·b", F.pmod("·x", F.lit(buckets))).withColumn("·p", F.pmod("·b", F.lit(parts)).cast("int"))
+    dealt = keyed.repartitionById(parts, F.col("·p"))
+    if parts < buckets:  # the generator goes on from bucket to bucket, so these need an order
+        dealt = dealt.sortWithinPartitions("·b")
+    gathered = dealt.groupBy("·p", "·b").agg(F.sort_array(F.collect_list(F.struct("·x", "·y", "·k", "·r"))).alias("·a"))
+    earlier = Window.orderBy("·p").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
+    offsets = keyed.groupBy("·p").count().select("·p", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("·o"))
+    before = Window.partitionBy("·p").orderBy("·b").rowsBetween(Window.unboundedPreceding, -1)
+    counted = gathered.withColumn("·n", F.coalesce(F.sum(F.size("·a")).over(before), F.lit(0)))
+    mixed = counted.join(F.broadcast(offsets), "·p").select((F.col("·o") + F.col("·n")).alias("·s"), F.posexplode(F.shuffle("·a", seed)).alias("·i", "·e"))
+    place = F.col("·s") + F.col("·i")
+    return mixed.select("·e.·r.*", F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.floor(place / shards).cast("long").alias("slot"))
 
 
 def spread(hashed: DataFrame, most: int) -> DataFrame:
