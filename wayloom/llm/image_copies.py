@@ -9,7 +9,7 @@ named by a 64-bit hash. For each distinct image:
    test holds where the second point is brighter by MARGIN, so that noise on a flat
    ground doesn't flip bits.
 2. Each of TABLES Hamming tables reads WORD of the descriptor's bits. Its keys are
-   constellations: a corner's word and, for each two of its NEIGHBOURS nearest
+   constellations: a corner's word and, for each OTHERS of its NEIGHBOURS nearest
    corners at the same scale, their words and places, seen from the corner and turned
    by it, in cells of CELL pixels. So a key holds geometry as well as bits, and
    images that merely have similar corners hardly ever share one. Images that share
@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,8 @@ from .components import components
 RADIUS, TURNS, LEAST = 6, 32, 5
 MARGIN = 8.0  # grey levels
 NEAR, SHARE = 48, 0.2  # differing bits of a match; share of the features that must agree
-TABLES, WORD = 2, 32  # Hamming tables, and the bits of the descriptor that each one reads
-NEIGHBOURS, REACH, CELL = 4, 40, 6  # nearest corners of a constellation, and pixels
+TABLES, WORD = 1, 24  # Hamming tables, and the bits of the descriptor that each one reads
+NEIGHBOURS, OTHERS, REACH, CELL = 5, 3, 40, 6  # nearest corners, those of a constellation beside its centre, and pixels
 ROUNDS, BLOCK = 3, 256  # rounds with first images; images of a block in the last step
 ROWS = 512  # features whose distances to all others are held at once
 SCALES = (1.0, 0.7)
@@ -214,27 +215,25 @@ def constellations(places: bytes, bits: bytes) -> np.ndarray:
     place = np.frombuffer(places, dtype=PLACE)
     words = np.unpackbits(np.frombuffer(bits, dtype=np.uint8).reshape(-1, 32), axis=1).astype(np.uint64) @ WEIGHTS
     turn = np.exp(-2j * np.pi / TURNS * place["turn"])
-    first, second = np.triu_indices(NEIGHBOURS, 1)
+    choices = np.array(list(combinations(range(NEIGHBOURS), OTHERS)))
     out = [np.zeros(0, dtype=np.uint64)]
     for level, scale in enumerate(SCALES):
         own = np.nonzero(place["scale"] == level)[0]
         z = (place["x"][own] + 1j * place["y"][own]) * scale
-        for start in range(0, len(own) if len(own) > 2 else 0, ROWS):
+        for start in range(0, len(own) if len(own) > OTHERS else 0, ROWS):
             a = np.arange(start, min(len(own), start + ROWS))
             away = z[None, :] - z[a][:, None]
             far = np.abs(away)
             far[np.arange(len(a)), a] = np.inf
             near = np.argsort(far, axis=1, kind="stable")[:, :NEIGHBOURS]
-            k = near.shape[1]
-            pairs = (first < k) & (second < k)
+            some = choices[(choices < near.shape[1]).all(1)]
             reached = np.take_along_axis(far, near, 1) <= REACH
             seen = np.take_along_axis(away, near, 1) * turn[own[a]][:, None]
             for t in range(TABLES):
                 cx, cy = (np.floor((v + o) / CELL).astype(np.int64).astype(np.uint64) for v, o in ((seen.real, SHIFTS[t, 0]), (seen.imag, SHIFTS[t, 1])))
                 beside = mixed(words[own[near], t] + mixed(cx * np.uint64(0xC2B2AE3D27D4EB4F) + cy + np.uint64(t)))
-                i, j = first[pairs], second[pairs]
-                both = mixed(mixed(words[own[a], t])[:, None] + beside[:, i] + beside[:, j])
-                out.append(both[reached[:, i] & reached[:, j]])
+                together = mixed(mixed(words[own[a], t])[:, None] + beside[:, some].sum(2, dtype=np.uint64))
+                out.append(together[reached[:, some].all(2)])
     return np.unique(np.concatenate(out))
 
 
@@ -300,7 +299,7 @@ def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1)], names=["a", "b"]).filter(good)
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "ba", "pb", "bb")
-    return both.repartition(shuffle_parts(pairs.sparkSession)).mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def in_several(entries: DataFrame, roots: DataFrame) -> DataFrame:
