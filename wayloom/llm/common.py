@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructType
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: White space of the word definition: space and the control characters tab to carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -101,6 +101,20 @@ def with_fields(schema: StructType, **kinds: str) -> StructType:
     return out
 
 
+def map_arrow(df: DataFrame, run, schema: StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) for columns of any name, also with dots; run reads columns by place."""
+    import pyarrow as pa
+
+    names = [f"c{k}" for k in range(len(schema.fields))]
+    plain = StructType([StructField(n, f.dataType) for n, f in zip(names, schema.fields, strict=True)])
+
+    def renamed(frames):
+        for batch in run(frames):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=names)
+
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(renamed, plain).toDF(*schema.names)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches, with_fields
+from .common import batches, map_arrow, with_fields
 from .html_blocks import NUMBERS, PATH_SLOTS, WORD_SLOTS, blocks, feature_arrays
 
 WEIGHTS = os.path.join(os.path.dirname(__file__), "html_lstm.npz")
@@ -123,4 +123,4 @@ def extract(pages: DataFrame, html: str = "html", weights: dict | None = None) -
             texts = [x for part in batches(iter(frame.column(at).to_pylist()), 512) for x in main_texts(part, w)]
             yield pa.RecordBatch.from_arrays([*frame.columns, pa.array([t for t, _ in texts], pa.string()), pa.array([n for _, n in texts], pa.int64())], names=[*names, "main_text", "n_blocks"])
 
-    return pages.mapInArrow(run, with_fields(pages.schema, main_text="string", n_blocks="long"))
+    return map_arrow(pages, run, with_fields(pages.schema, main_text="string", n_blocks="long"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written, with_fields
+from .common import dropped, map_arrow, with_fields, written
 
 # First names by gender and script, and titles by gender.
 FEMALE = "Maria Anna Sophie Emma Laura Julia Lisa Sarah Marie Camille Claire Lucia Carmen Elena Isabel Ana Mary Jennifer Susan Linda Karen Jessica Emily Alice Julie Katharina Sabine Petra Monika Nathalie"
@@ -355,4 +355,4 @@ def with_surrogates(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: s
             columns[at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x or []) for x in lists], pa.int64())], names=[*names, "spans", "n_entities"])
 
-    return joined.mapInArrow(run, with_fields(joined.schema, n_entities="long"))
+    return map_arrow(joined, run, with_fields(joined.schema, n_entities="long"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe_paths import NEVER, MergeTable, PathFinder, ScoredPaths
-from .common import Memo, with_fields
+from .common import Memo, map_arrow, with_fields
 from .normalisers import MARK, Normaliser
 
 UNIGRAM, BYTE_PAIR, USER_DEFINED = 1, 2, 4  # as the model file numbers them
@@ -189,7 +189,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "pie
             more = [pa.array([None if p is None else own.decode(np.frombuffer(p, dtype="<i4").tolist()) for p in parts], pa.string())] if decoded else []
             yield pa.RecordBatch.from_arrays([*frame.columns, lists, *more], names=[*names, ids, *([decoded] if decoded else [])])
 
-    return docs.mapInArrow(run, with_fields(docs.schema, **{ids: "array<int>"} | ({decoded: "string"} if decoded else {})))
+    return map_arrow(docs, run, with_fields(docs.schema, **{ids: "array<int>"} | ({decoded: "string"} if decoded else {})))
 
 
 def decode(docs: DataFrame, model_file: str, ids: str = "piece_ids", text: str = "decoded") -> DataFrame:
@@ -207,5 +207,5 @@ def decode(docs: DataFrame, model_file: str, ids: str = "piece_ids", text: str =
             out = [own.decode(flat[ends[k] : ends[k + 1]].tolist()) if valid[k] else None for k in range(len(lists))]
             yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(out, pa.string())], names=[*names, text])
 
-    return docs.mapInArrow(run, with_fields(docs.schema, **{text: "string"}))
+    return map_arrow(docs, run, with_fields(docs.schema, **{text: "string"}))
 

@@ -112,7 +112,7 @@ def drawn(docs: DataFrame, source: str = "source", text: str = "text", shards: i
     found = {r[0]: (r[1], r[2]) for r in blocks.groupBy("·s").agg(F.sum("w"), F.count("*")).collect()}
     want = targets({s: w for s, (w, _) in found.items()})
     plan = []
-    for s, (w, n) in found.items():
+    for s, (w, n) in sorted(found.items(), key=lambda x: (x[0] is None, x[0] or "")):  # the tree's draws depend on this order
         ratio = want[s] / w if w else 0.0
         epochs = min(MOST_COPIES, int(ratio + 1e-12))
         plan.append((s, w, want[s], n, epochs, int(round(want[s] - epochs * w)) if w else 0))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_paths import NEVER, SHARED, MergeTable, PathFinder
-from .common import Memo, with_fields
+from .common import Memo, map_arrow, with_fields
 
 END = "\n"  # stands for the word end in token strings; no byte is written so
 CHUNK = 1 << 18  # code points
@@ -287,9 +287,9 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, limit: int, text: str = "
             yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(n, pa.int64())], names=[*names, "n_tokens"])
 
     is_long = F.coalesce(F.char_length(whole), F.lit(0)) > chunk
-    short = docs.filter(~is_long).mapInArrow(run, with_fields(docs.schema, n_tokens="long"))
+    short = map_arrow(docs.filter(~is_long), run, with_fields(docs.schema, n_tokens="long"))
     long_ = docs.filter(is_long).select(*own, F.sha2(whole, 256).alias("·digest"))
-    known = long_counts(long_.select(F.col("·digest").alias("digest"), whole.alias("text")), machine, chunk)
-    counted = short.unionByName(long_.join(known, F.col("·digest") == F.col("digest")).select(*own, F.col("n").alias("n_tokens")))
+    known = long_counts(long_.select(F.col("·digest").alias("digest"), whole.alias("text")), machine, chunk).toDF("·digest", "·n")
+    counted = short.unionByName(long_.join(known, "·digest").select(*own, F.col("·n").alias("n_tokens")))
     size = F.coalesce(F.octet_length(whole), F.lit(0)).cast("long")
     return counted.select(*own, size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
