@@ -5,9 +5,9 @@ The normaliser's tables of case, composition and character classes come from the
 tokenizer's own library, code point by code point, as Python's may be of another
 Unicode version; only code points that differ are kept (see UnicodeTables). The
 scanner finds the words. The word machine is a deterministic transducer over a
-word's bytes: its states are built when first reached, and each transition
-carries the number of tokens that it adds to those of the prefix (less than 0
-where tokens merge), so a word's count is the sum along its path.
+word's bytes: its states are built when first reached, and each transition adds
+tokens to the count of the prefix (less than 0 where tokens merge); a state holds
+the sum along its path, so a word's count is read off its last state.
 
 A text longer than CHUNK code points is cut into chunks that are read in tasks of
 their own. White space brings the scanner into its first state from any other, so
@@ -43,6 +43,7 @@ CHUNK = 1 << 18  # code points
 KEEP = 250_000
 STATES = 600_000  # states of the word machine in each worker
 SHORT = 40
+DEAD = (None, 0)
 ODD_BLANKS = re.compile("[\x1c-\x1f]")  # white space for str.split, not for the tokenizer
 
 
@@ -107,45 +108,50 @@ def unicode_tables() -> UnicodeTables:
 
 
 class WordMachine:
-    """Reads a word's symbols; a transition gives the next state and the tokens that it adds to the prefix's count.
+    """Reads a word's symbols; each transition adds some tokens to the count of the prefix read so far.
 
-    A state is [transitions, last token of the prefix or None where no token ends
-    there, tokens of the prefix]. States of long words aren't kept, and all are
-    forgotten when there are too many: they are built again when they are reached.
+    The states form a tree: a prefix has one state, which holds its last token (None
+    where no token ends there) and the sum of what the transitions on the way to it
+    add. So reading goes on from the longest prefix known, and the end of a known word
+    is found at once. All states are forgotten when there are too many, and are built
+    again when they are reached; those of long words aren't kept.
     """
 
     def __init__(self, finder: PathFinder, limit: int = STATES):
-        self.finder, self.limit, self.n, self.root = finder, limit, 0, [{}, None, 0]
+        self.finder, self.limit, self.states = finder, limit, {}
 
     def count(self, word: str) -> int:
-        if self.n >= self.limit:
-            self.n, self.root = 0, [{}, None, 0]
-        state, total, way = self.root, 0, None
-        for j, symbol in enumerate(word):
-            step = state[0].get(symbol)
-            if step is None:
-                if way is None:  # the states passed so far, from the root on
-                    way = [self.root]
-                    for c in word[:j]:
-                        way.append(way[-1][0][c][0])
-                step = self._built(word, j + 1, way)
-                if j < SHARED:
-                    state[0][symbol] = step
-                    self.n += 1
-            state = step[0]
-            total += step[1]
-            if way is not None:
-                way.append(state)
-        return total
-
-    def _built(self, word: str, j: int, way: list) -> tuple[list, int]:
+        states = self.states
+        state = states.get(word)
+        if state is not None:
+            return state[1]
+        n = k = len(word)
+        if n > SHARED:
+            states, k = {}, 0
+        elif len(states) >= self.limit:
+            states.clear()
+        while k and word[:k] not in states:
+            k -= 1
         finder = self.finder
-        for i in range(j - 1, max(-1, j - finder.longest - 1), -1):
-            piece = word[i:j]
-            if piece in finder.tokens and (i == 0 or way[i][1] is not None and finder.agree((way[i][1], piece))):
-                n = way[i][2] + 1
-                return [{}, piece, n], n - way[j - 1][2]
-        return [{}, None, way[j - 1][2]], 0
+        tokens, longest, good, bad, agree = finder.tokens, finder.longest, finder.good, finder.bad, finder.agree
+        for j in range(k + 1, n + 1):
+            state = DEAD
+            for i in range(j - 1, max(-1, j - longest - 1), -1):
+                piece = word[i:j]
+                if piece in tokens:
+                    if i == 0:
+                        state = (piece, 1)
+                        break
+                    token, before = states[word[:i]] if n <= SHARED else states[i]
+                    pair = (token, piece)
+                    if pair in good or token is not None and pair not in bad and agree(pair):
+                        state = (piece, before + 1)
+                        break
+            if n <= SHARED:
+                states[word[:j]] = state
+            else:
+                states[j] = state
+        return state[1]
 
 
 class CountingTokenizer:
