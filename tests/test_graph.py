@@ -5,11 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayloom.functions import costs, lines, tags
-from wayloom.operators import connectivity, importing, paths
-from wayloom.plans import catalog, fixtures
+from wayloom.operators import connectivity, contraction, importing, paths
+from wayloom.plans import catalog, fixtures, routing
 
 SF = "/root/testdata/sf0.001"
 QUICK = [q for q in catalog.ORACLES if q not in ("route_legs",)]
+NEW = list(routing.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -94,3 +95,62 @@ def test_durations_and_speeds(spark):
     texts = ["10", "01:30", "00:01:10", "PT1H", "P1D", "x"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(tags.duration_seconds(F.col("t")).alias("s")).collect()
     assert [r.s for r in got] == [600, 5400, 70, 3600, 86400, None]
+
+
+def ch(edges, order=None):
+    """A contraction of edges (a, b, weight, both ways)."""
+    rows = [(2 * k, a, b, w) for k, (a, b, w, _) in enumerate(edges)] + [(2 * k + 1, b, a, w) for k, (a, b, w, both) in enumerate(edges) if both]
+    graph = contraction.Contraction(rows)
+    graph.contract_all(order)
+    return graph
+
+
+def test_shortcut_counts():
+    line = [(k, k + 1, 1, True) for k in range(10)] + [(10, 11, 1, False), (11, 12, 1, True), (11, 9, 3, False)] + [(k, k + 1, 1, True) for k in range(12, 17)] + [(17, 0, 1, True)]
+    directed = ch(line, [10, 0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 17, 11, 12, 13, 14, 15, 16])
+    assert directed.count() == 9
+    assert ch([(0, 1, 10, True), (0, 1, 4, True), (0, 2, 10, True), (0, 3, 10, True)]).count() == 0
+    two = [(1, 2, 1, False), (2, 1, 1, False), (5, 0, 1, True), (5, 6, 1, True), (0, 1, 1, True), (2, 3, 1, True), (3, 4, 1, True), (6, 3, 1, True)]
+    assert ch(two, [4, 1, 2, 0, 5, 6, 3]).count() == 2
+    assert ch([(5, 4, 3, False), (4, 5, 10, False), (2, 4, 1, False), (5, 2, 1, False), (3, 5, 1, False), (4, 3, 1, False)]).count() == 2
+
+
+def test_hierarchies_keep_distances_of_random_graphs():
+    import random
+
+    for seed in range(40):
+        r = random.Random(seed)
+        n = r.randint(2, 25)
+        edges = [(r.randrange(n), r.randrange(n), r.randint(0, 30), r.random() < 0.6) for _ in range(r.randint(1, 60))]
+        graph = ch(edges)
+        net = paths.Network([(2 * k, a, b, w) for k, (a, b, w, _) in enumerate(edges)] + [(2 * k + 1, b, a, w) for k, (a, b, w, both) in enumerate(edges) if both])
+        up = paths.Network([(k, a, c, w) for k, ((a, c), (w, _, _)) in enumerate(graph.arcs.items()) if graph.level[a] < graph.level[c]])
+        down = paths.Network([(k, c, a, w) for k, ((a, c), (w, _, _)) in enumerate(graph.arcs.items()) if graph.level[a] > graph.level[c]])
+        for s in graph.level:
+            want = {t: x[0] for t, x in net.tree(s).items()}
+            ahead = {m: x[0] for m, x in up.tree(s).items()}
+            for t in graph.level:
+                back = {m: x[0] for m, x in down.tree(t).items()}
+                assert min((ahead[m] + back[m] for m in ahead if m in back), default=None) == want.get(t)
+        for a, c in graph.shortcuts:
+            nodes = [*graph.unpacked(a, c), c]
+            assert sum(graph.arcs[x, y][0] for x, y in zip(nodes, nodes[1:], strict=False)) == graph.arcs[a, c][0]
+
+
+def test_colours_equal_kernel_on_random_graphs(spark):
+    import random
+
+    for seed in range(3):
+        r = random.Random(seed)
+        links = [(r.randrange(30), r.randrange(30)) for _ in range(45)]
+        nodes = spark.range(30).select(F.col("id").alias("node"))
+        df = spark.createDataFrame(links, "a long, b long")
+        assert set(connectivity.components_by_colours(df, nodes).collect()) == set(connectivity.strong_components(df, nodes).collect())
+
+
+def test_barrier_nodes(spark):
+    rows = [({"barrier": "bollard"}, True), ({"barrier": "gate"}, False), ({"barrier": "bollard", "access": "yes"}, False), ({"access": "no"}, False), ({"ford": "pond"}, True), ({"barrier": "gate", "motorcar": "no"}, True), ({}, False)]
+    df = spark.createDataFrame([(t, w) for t, w in rows], "tags map<string,string>, want boolean")
+    assert df.filter(tags.is_barrier(F.col("tags")) != F.col("want")).count() == 0
+    name = spark.createDataFrame([({"name": "é" * 200},)], "tags map<string,string>").select(tags.street_name(F.col("tags"))).first()[0]
+    assert name == "é" * 128

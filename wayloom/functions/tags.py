@@ -148,12 +148,53 @@ def car_speed(tags: Column, ferry: Column | None = None, reverse: bool = False)
 
 
 def is_barrier(tags: Column, block_fords: bool = True) -> Column:
-    """Whether a node stops cars."""
-    stopped = F.lit(False)
+    """Whether a node stops cars: by its access tags where it has a barrier, else by the kind of barrier, or as a ford."""
+    ford = tag(tags, "ford").isin("yes", "pond") if block_fords else F.lit(False)
+    decided = tag(tags, "barrier").isin(BARRIERS) | ford
     for k in reversed(RESTRICTION_KEYS["car"]):
-        stopped = F.when(any_part(tag(tags, k), RESTRICTED), True).when(any_part(tag(tags, k), ALLOWED), False).otherwise(stopped)
-    ford = tag(tags, "ford").isin("yes") | (tag(tags, "highway") == "ford")
-    return stopped | tag(tags, "barrier").isin(BARRIERS) | (ford if block_fords else F.lit(False))
+        decided = F.when(tag(tags, k).isin(RESTRICTED), True).when(tag(tags, k).isin(ALLOWED), False).otherwise(decided)
+    return F.when(tag(tags, "barrier") == "", ford).otherwise(decided)
+
+
+def kept_node_tags(tags: Column) -> Column:
+    """A node's tags, without notes, where one of them matters on a road; otherwise none."""
+    keys = F.map_keys(tags)
+    noted = F.map_filter(tags, lambda k, _: ~k.isin("created_by", "source", "note", "fixme"))
+    return F.when(F.arrays_overlap(keys, F.array(*map(F.lit, ("barrier", "highway", "railway", "crossing", "ford")))), noted)
+
+
+def duration_speed(metres: Column, seconds: Column) -> Column:
+    """km/h of a way that takes seconds; null below 0.1 and where either is unknown."""
+    kmh = metres / 1000 / F.nullif(seconds / 3600, F.lit(0.0))
+    return F.when(kmh >= 0.1, kmh)
+
+
+def way_names(tags: Column, first_node_tags: Column | None = None, language: str = "") -> Column:
+    """name, ref, destination, destination_ref and, on motorways, the junction named at the first node; null where there is none."""
+    clean = lambda v: F.nullif(F.trim(cut_bytes(F.regexp_replace(v, "; *", ", "), 256)), F.lit(""))
+    junction = F.when((tag(first_node_tags, "highway") == "motorway_junction"), clean(tag(first_node_tags, "name"))) if first_node_tags is not None else F.lit(None).cast("string")
+    return F.struct(
+        F.nullif(street_name(tags, language), F.lit("")).alias("name"), clean(tag(tags, "ref")).alias("ref"), clean(tag(tags, "destination")).alias("destination"),
+        clean(tag(tags, "destination:ref")).alias("destination_ref"), junction.alias("junction"),
+    )
+
+
+def cut_bytes(text: Column, n: int) -> Column:
+    """text cut to n bytes of UTF-8, without a broken code point at the end."""
+    whole = F.encode(text, "UTF-8")
+    part = F.try_validate_utf8(F.substring(whole, 1, n).cast("string"))
+    shorter = F.coalesce(part, *[F.try_validate_utf8(F.substring(whole, 1, n - k).cast("string")) for k in (1, 2, 3)])
+    return F.when(F.octet_length(text) <= n, text).otherwise(shorter)
+
+
+def checked_way_id(way: Column) -> Column:
+    """The id as it is stored, in 31 bits; larger ones are an error."""
+    return F.when(way < 1 << 31, way).otherwise(F.raise_error(F.lit("a way id needs more than 31 bits")).cast("long"))
+
+
+def without_barriers(forward: Column, backward: Column, barrier: Column) -> tuple[Column, Column]:
+    """Access in both directions, which a barrier edge closes."""
+    return forward & ~barrier, backward & ~barrier
 
 
 def accepted_way(tags: Column, n_refs: Column, ignored: list[str] = ()) -> Column:
@@ -165,7 +206,7 @@ def accepted_way(tags: Column, n_refs: Column, ignored: list[str] = ()) -> Colum
 def street_name(tags: Column, language: str = "") -> Column:
     own = [F.nullif(tag(tags, f"name:{language}"), F.lit(""))] if language else []
     name = F.coalesce(*own, F.nullif(tag(tags, "name"), F.lit("")))
-    return F.trim(F.substring(F.regexp_replace(name, "; *", ", "), 1, 256))
+    return F.trim(cut_bytes(F.regexp_replace(name, "; *", ", "), 256))
 
 
 def snake_case(name: Column) -> Column:

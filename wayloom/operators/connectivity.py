@@ -13,7 +13,8 @@ def _reached(links: DataFrame, labels: DataFrame) -> DataFrame:
     while True:
         moved = links.join(labels, links["a"] == labels["node"]).select(F.col("b").alias("node"), "label")
         new = cut(labels.union(moved).groupBy("node").agg(F.min("label").alias("label")))
-        if not new.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old").limit(1).count():
+        # A node that is reached for the first time has no old label.
+        if not new.join(labels.withColumnRenamed("label", "old"), "node", "left").filter("old IS NULL OR label <> old").limit(1).count():
             return new
         labels = new
 
@@ -93,10 +94,19 @@ def arc_links(arcs: DataFrame, u_turns: bool = True) -> DataFrame:
     return out if u_turns else out.filter("shiftright(a, 1) <> shiftright(b, 1)")
 
 
-def subnetworks(arcs: DataFrame, least: int = 200) -> DataFrame:
-    """(edge_key, component, size, subnetwork): arcs in components of fewer than twice least arcs are flagged, the largest component never."""
+def subnetworks(arcs: DataFrame, least: int = 200, blocked: DataFrame | None = None, most: float = 0.5) -> DataFrame:
+    """(edge_key, component, size, subnetwork): arcs in components of fewer than twice least arcs are flagged, the largest component never.
+
+    Arcs of blocked (edge_key) take no part and have no row. More than the share most of all arcs flagged is an error.
+    """
+    if blocked is not None:
+        arcs = arcs.join(blocked.select("edge_key"), "edge_key", "left_anti")
     arcs = cut(arcs)
     found = strong_components(arc_links(arcs), arcs.select(F.col("edge_key").alias("node"))).withColumnRenamed("node", "edge_key")
     sizes = found.groupBy("component").agg(F.count("*").alias("size"))
     largest = sizes.agg(F.max(F.struct("size", (-F.col("component")).alias("c"))).alias("x")).select((-F.col("x.c")).alias("largest"))
-    return found.join(sizes, "component").crossJoin(F.broadcast(largest)).select("edge_key", "component", "size", ((F.col("size") < 2 * least) & (F.col("component") != F.col("largest")) | (F.col("size") == 1)).alias("subnetwork"))
+    marked = cut(found.join(sizes, "component").crossJoin(F.broadcast(largest)).select("edge_key", "component", "size", ((F.col("size") < 2 * least) & (F.col("component") != F.col("largest")) | (F.col("size") == 1)).alias("subnetwork")))
+    flagged, every = marked.agg(F.coalesce(F.sum(F.col("subnetwork").cast("int")), F.lit(0)), F.count("*")).first()
+    if flagged > most * every:
+        raise ValueError(f"{flagged} of {every} arcs would be subnetworks")
+    return marked

@@ -13,12 +13,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder, or in a local one where none is set (tests)."""
-    context = df.sparkSession.sparkContext
+    """Cut the lineage in the folder that spark.checkpoint.dir names. Only a local master, as in tests, may go without one."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="wayloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not folder:
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="wayloom-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -37,8 +43,9 @@ def distances(arcs: DataFrame, sources: DataFrame, most_rounds: int = 10_000, we
         def run(frames):
             net = Network(shipped.value)
             for frame in frames:
-                rows = [(s, n, *x) for s in frame["node"] for n, x in net.tree(s).items()]
-                yield pd.DataFrame(rows, columns=["source", "node", "weight", "hops", "edge_key"])
+                for s in frame["node"]:  # one tree at a time
+                    rows = [(s, n, *x) for n, x in net.tree(s).items()]
+                    yield pd.DataFrame(rows, columns=["source", "node", "weight", "hops", "edge_key"])
 
         return sources.select(F.col("node").cast("long")).mapInPandas(run, "source long, node long, weight long, hops int, edge_key long")
     return distances_by_rounds(arcs, sources, most_rounds, weight)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayloom.functions import costs, geo, tags, values
 from wayloom.operators import connectivity, importing, paths, spatial
 from wayloom.plans import fixtures as fx
+from wayloom.plans import routing
 
 ROUNDS = 24  # one less than there are nations: no shortest way is longer
 SOURCES = (0, 7, 13)
@@ -104,14 +105,14 @@ def way_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I-20, I-21, I-23, S-4."""
+    """I-20, I-21: edges with their lengths; loops are left out."""
     ways = fx.order_ways(spark, sf_dir)
     found = importing.edges_of(importing.segments(ways, fx.part_nodes(spark, sf_dir)), ways)
     return found.filter("from_node <> to_node").select("way", "from_node", "to_node", "distance_mm", "n_points")
 
 
 def barrier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I-8, I-9, I-13."""
+    """I-9: where barriers split their first way."""
     return importing.barrier_edges(fx.order_ways(spark, sf_dir), fx.part_nodes(spark, sf_dir))
 
 
@@ -142,7 +143,7 @@ def model_elseif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_filter_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-2 to F-5: edges that a point may be put on."""
+    """Lanes that a point may be put on, by speed and class."""
     return fx.lane_edges(spark, sf_dir).filter((F.col("speed") > 30) & ~F.col("road_class").isin(1, 2)).select("edge_id")
 
 
@@ -200,7 +201,7 @@ def _routed(spark, sf_dir, arcs, algorithm, **more):
 
 
 def route_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-6 to T-8, T-11 to T-13: the four algorithms give one answer for each leg."""
+    """T-6, T-7, T-11 to T-13: the four algorithms give one answer for each leg."""
     all_, arcs = None, paths.cut(fx.arcs_of(fx.lane_edges(spark, sf_dir)))
     for name in paths.ALGORITHMS:
         one = _routed(spark, sf_dir, arcs, name).select("request", "leg", "weight")
@@ -237,7 +238,7 @@ NODES = "SELECT CAST(n_nationkey AS BIGINT) AS node, 45 + 0.1 * ((n_nationkey *
 EDGES = f"""nodes AS (SELECT node, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon FROM ({NODES})),
 lanes AS (SELECT DISTINCT CAST(least(s_nationkey, c_nationkey) AS BIGINT) AS a, CAST(greatest(s_nationkey, c_nationkey) AS BIGINT) AS b
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE greatest(s_nationkey, c_nationkey) - least(s_nationkey, c_nationkey) IN (1, 3, 7)),
+  WHERE s_nationkey <> c_nationkey),
 placed AS (SELECT a, b, p.lat AS lat_a, p.lon AS lon_a, q.lat AS lat_b, q.lon AS lon_b FROM lanes JOIN nodes p ON p.node = a JOIN nodes q ON q.node = b),
 edges AS (SELECT a * 25 + b AS edge_id, a, b, CAST(least(greatest(round(CAST(12742000000 AS DOUBLE) * asin(sqrt(pow(sin(radians(lat_b - lat_a) / 2), 2) + pow(sin(radians(lon_b - lon_a) / 2), 2) * cos(radians(lat_a)) * cos(radians(lat_b))))), 1), 2147483646) AS BIGINT) AS distance_mm,
   20 + abs(a * 7 - b * 11) % 97 AS speed, (a + b) % 4 AS road_class, (a * b) % 9 = 0 AS oneway, lat_a, lon_a, lat_b, lon_b FROM placed)"""
@@ -267,7 +268,7 @@ TAGS = f"""t AS (SELECT CAST(o_orderkey AS BIGINT) AS way, {case('o_orderpriorit
   {listed(4, fx.SURFACES)} AS surface, {listed(3, fx.TRACKS)} AS tracktype, {listed(11, fx.JUNCTIONS)} AS junction, {listed(6, fx.BRIDGES)} AS bridge FROM orders),
 limits AS (SELECT *, CASE maxspeed WHEN '50' THEN 50.0 WHEN '30 mph' THEN CAST(30 AS DOUBLE) * 1.609344 WHEN 'walk' THEN 6.0 WHEN '10 knots' THEN CAST(10 AS DOUBLE) * 1.852
   WHEN 'none' THEN CASE WHEN highway IN ('motorway', 'motorway_link', 'trunk', 'trunk_link', 'primary') THEN 150.0 END END AS kmh FROM t)"""
-WAYS = """refs AS (SELECT CAST(l_orderkey AS BIGINT) AS way, CAST(l_partkey AS BIGINT) AS node, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS pos, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE l_orderkey % 40 = 0),
+WAYS = """refs AS (SELECT CAST(l_orderkey AS BIGINT) AS way, CAST(l_partkey AS BIGINT) AS node, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS pos, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
 looped AS (SELECT way, node, pos, n + CASE WHEN way % 200 = 0 THEN 1 ELSE 0 END AS n FROM refs WHERE way IN (SELECT o_orderkey FROM orders) UNION ALL SELECT way, node, n, n + 1 FROM refs WHERE pos = 0 AND way % 200 = 0 AND way IN (SELECT o_orderkey FROM orders)),
 seen AS (SELECT node, count(*) AS k, sum(CASE WHEN pos = 0 OR pos = n - 1 THEN 1 ELSE 0 END) AS ends FROM looped GROUP BY node),
 types AS (SELECT node, CASE WHEN k = 1 AND ends = 1 THEN 'END' WHEN k = 1 THEN 'INTERMEDIATE' WHEN k = 2 AND ends = 2 THEN 'CONNECTION' ELSE 'JUNCTION' END AS node_type FROM seen)"""
@@ -300,7 +301,7 @@ SELECT way, greatest(round(CASE WHEN kmh IS NOT NULL THEN least(kmh * CAST(0.9 A
     "model_elseif": f"WITH {EDGES} SELECT edge_id, CAST(CASE WHEN road_class = 1 THEN speed * 0.5 WHEN road_class = 2 OR distance_mm > 90000000 THEN least(speed, 50) ELSE speed + 3 END AS DOUBLE) AS speed, CAST(CASE WHEN NOT (speed > 40 AND distance_mm < 120000000) THEN 0.5 ELSE 1 END AS DOUBLE) AS priority FROM edges",
     "edge_filter_snap": f"WITH {EDGES} SELECT edge_id FROM edges WHERE speed > 30 AND road_class NOT IN (1, 2)",
     "tile_assign": f"WITH {EDGES}, {TILES} SELECT tile_x, tile_y, edge_id FROM tiles",
-    "nearest_edge": f"""WITH {EDGES}, {TILES}, points AS (SELECT CAST(c_custkey AS BIGINT) AS point, CAST(45 + (c_custkey % 241) * 0.01 AS DOUBLE) AS lat, CAST(5 + (c_custkey % 239) * 0.01 AS DOUBLE) AS lon FROM customer WHERE c_custkey % 50 = 0),
+    "nearest_edge": f"""WITH {EDGES}, {TILES}, points AS (SELECT CAST(c_custkey AS BIGINT) AS point, CAST(45 + (c_custkey % 241) * 0.01 AS DOUBLE) AS lat, CAST(5 + (c_custkey % 239) * 0.01 AS DOUBLE) AS lon FROM customer),
 met AS (SELECT DISTINCT point, lat, lon, edge_id FROM points JOIN tiles ON abs(tile_x - CAST(floor(lon / 0.1) AS BIGINT)) <= 3 AND abs(tile_y - CAST(floor(lat / 0.1) AS BIGINT)) <= 3),
 foot AS (SELECT point, lat, lon, e.*, cos(radians((lat_a + lat_b) / 2)) AS k FROM met JOIN edges e ON e.edge_id = met.edge_id),
 share AS (SELECT *, least(greatest(coalesce(((lon - lon_a) * k * ((lon_b - lon_a) * k) + (lat - lat_a) * (lat_b - lat_a)) / nullif(pow((lon_b - lon_a) * k, 2) + pow(lat_b - lat_a, 2), 0), 0), 0), 1) AS s FROM foot),
@@ -319,4 +320,5 @@ reach(x, y) AS (SELECT node, node FROM nodes UNION SELECT x, b FROM reach JOIN l
 SELECT r.x AS node, min(r.y) AS component FROM reach r JOIN reach s ON s.x = r.y AND s.y = r.x GROUP BY r.x""",
 }
 
-QUERIES = {f.__name__: f for f in (geo_haversine, geo_planar, geo_azimuth, geo_edge_keys, graph_bounds, tag_road_class, tag_maxspeed, tag_road_access, tag_car_access, tag_car_speed, tag_names, ev_quantise, way_filter, node_classify, way_segments, edge_list, barrier_edges, model_weight, model_elseif, edge_filter_snap, tile_assign, nearest_edge, bbox_edges, overlay_split, sssp_nation, many_to_many, path_lengths, route_legs, avoid_edges, edge_scc, subnetwork_flags, hilbert_order)}
+QUERIES = {f.__name__: f for f in (geo_haversine, geo_planar, geo_azimuth, geo_edge_keys, graph_bounds, tag_road_class, tag_maxspeed, tag_road_access, tag_car_access, tag_car_speed, tag_names, ev_quantise, way_filter, node_classify, way_segments, edge_list, barrier_edges, model_weight, model_elseif, edge_filter_snap, tile_assign, nearest_edge, bbox_edges, overlay_split, sssp_nation, many_to_many, path_lengths, route_legs, avoid_edges, edge_scc, subnetwork_flags, hilbert_order)} | routing.QUERIES
+ORACLES |= routing.oracles(EDGES, ARCS, relaxed, PLANAR)

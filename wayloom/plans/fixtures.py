@@ -1,7 +1,9 @@
 """Road graphs derived from the warehouse tables, by arithmetic that any SQL engine repeats exactly.
 
-Lanes: nations, joined where suppliers of one sold to customers of the other.
+Lanes: nations, joined where suppliers of one sold to customers of another.
 Order ways: an order is a way, its line items' parts are the nodes.
+Part links: a line item's part leads to the next one's in the order; this graph
+grows with the tables.
 """
 
 from __future__ import annotations
@@ -11,10 +13,6 @@ from pyspark.sql import functions as F
 
 from wayloom.functions import geo
 
-LANE_STEPS = (1, 3, 7)
-WAY_EVERY = 40
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,7 +29,7 @@ def lane_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     sold = line.join(orders, line["l_orderkey"] == orders["o_orderkey"]).select("l_suppkey", "o_custkey").distinct()
     seller, buyer = read("supplier").select("s_suppkey", "s_nationkey"), read("customer").select("c_custkey", "c_nationkey")
     pairs = sold.join(seller, F.col("l_suppkey") == F.col("s_suppkey")).join(buyer, F.col("o_custkey") == F.col("c_custkey"))
-    lanes = pairs.select(F.least("s_nationkey", "c_nationkey").cast("long").alias("a"), F.greatest("s_nationkey", "c_nationkey").cast("long").alias("b")).distinct().filter((F.col("b") - F.col("a")).isin(*LANE_STEPS))
+    lanes = pairs.select(F.least("s_nationkey", "c_nationkey").cast("long").alias("a"), F.greatest("s_nationkey", "c_nationkey").cast("long").alias("b")).filter("a <> b").distinct()
     nodes = lane_nodes(spark, sf_dir)
     at = lambda k: nodes.select(F.col("node").alias(k), F.col("lat").alias("lat_" + k), F.col("lon").alias("lon_" + k))
     full = lanes.join(F.broadcast(at("a")), "a").join(F.broadcast(at("b")), "b")
@@ -50,10 +48,10 @@ def arcs_of(edges: DataFrame) -> DataFrame:
 
 def order_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     """way, refs (ordered array<long>) and tags."""
-    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") % WAY_EVERY == 0)
+    lines = table(spark, sf_dir, "lineitem")
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     refs = lines.groupBy(F.col("l_orderkey").alias("way")).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["l_partkey"].cast("long")).alias("refs"))
-    return refs.join(order_tags(spark, sf_dir).filter(F.col("way") % WAY_EVERY == 0), "way").select(F.col("way").cast("long"), F.when(F.col("way") % 200 == 0, F.concat("refs", F.slice("refs", 1, 1))).otherwise(F.col("refs")).alias("refs"), "tags")
+    return refs.join(order_tags(spark, sf_dir), "way").select(F.col("way").cast("long"), F.when(F.col("way") % 200 == 0, F.concat("refs", F.slice("refs", 1, 1))).otherwise(F.col("refs")).alias("refs"), "tags")
 
 
 def order_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,4 +81,14 @@ def part_nodes(spark: SparkSession, sf_dir: str, with_gaps: bool = True) -> Data
 
 def query_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").filter(k % 50 == 0).select(k.cast("long").alias("point"), (45 + (k % 241) * 0.01).alias("lat"), (5 + (k % 239) * 0.01).alias("lon"))
+    return table(spark, sf_dir, "customer").select(k.cast("long").alias("point"), (45 + (k % 241) * 0.01).alias("lat"), (5 + (k % 239) * 0.01).alias("lon"))
+
+
+def part_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(edge_key, base, adj, millis): the cheapest link of each pair of parts that follow each other in an order."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    base, adj = F.col("l_partkey").cast("long"), F.lead(F.col("l_partkey").cast("long")).over(order)
+    steps = table(spark, sf_dir, "lineitem").select(base.alias("base"), adj.alias("adj"), F.col("l_quantity").cast("long").alias("q")).filter("adj IS NOT NULL AND adj <> base")
+    return steps.groupBy("base", "adj").agg(F.min(F.col("q") * 100 + F.pmod(F.col("base") * 7 + F.col("adj"), F.lit(97))).alias("millis")).select((F.col("base") * 2_000_000 + F.col("adj") * 2).alias("edge_key"), "base", "adj", "millis")
