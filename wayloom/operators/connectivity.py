@@ -69,11 +69,22 @@ def _tarjan(links: list, nodes: list) -> list:
 def components_by_colours(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """strong_components for graphs of any size: colouring from front and back.
 
-    Each round gives every open node the smallest node that reaches it, and
-    closes those that reach their label again; what is left goes on.
+    Nodes without a link in or without one out are components of their own and are
+    trimmed first, as often as that finds any. Then each round gives every open node
+    the smallest node that reaches it, and closes those that reach their label again;
+    what is left goes on.
     """
     open_, done = cut(nodes.select("node")), None
-    links = cut(links.select("a", "b").distinct())
+    links = cut(links.select("a", "b").filter("a <> b").distinct())
+    while True:
+        both = links.select(F.col("a").alias("node")).distinct().join(links.select(F.col("b").alias("node")).distinct(), "node")
+        inner = cut(open_.join(both, "node", "left_semi"))
+        single = cut(open_.join(inner, "node", "left_anti").select("node", F.col("node").alias("component")))
+        done = single if done is None else done.union(single)
+        if not single.limit(1).count():
+            break
+        open_ = inner
+        links = cut(links.join(open_.withColumnRenamed("node", "a"), "a", "left_semi").join(open_.withColumnRenamed("node", "b"), "b", "left_semi"))
     while open_.limit(1).count():
         colour = _reached(links, open_.select("node", F.col("node").alias("label")))
         ca, cb = colour.select(F.col("node").alias("a"), F.col("label").alias("la")), colour.select(F.col("node").alias("b"), F.col("label").alias("lb"))

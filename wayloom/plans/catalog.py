@@ -268,7 +268,7 @@ TAGS = f"""t AS (SELECT CAST(o_orderkey AS BIGINT) AS way, {case('o_orderpriorit
   {listed(4, fx.SURFACES)} AS surface, {listed(3, fx.TRACKS)} AS tracktype, {listed(11, fx.JUNCTIONS)} AS junction, {listed(6, fx.BRIDGES)} AS bridge FROM orders),
 limits AS (SELECT *, CASE maxspeed WHEN '50' THEN 50.0 WHEN '30 mph' THEN CAST(30 AS DOUBLE) * 1.609344 WHEN 'walk' THEN 6.0 WHEN '10 knots' THEN CAST(10 AS DOUBLE) * 1.852
   WHEN 'none' THEN CASE WHEN highway IN ('motorway', 'motorway_link', 'trunk', 'trunk_link', 'primary') THEN 150.0 END END AS kmh FROM t)"""
-WAYS = """refs AS (SELECT CAST(l_orderkey AS BIGINT) AS way, CAST(l_partkey AS BIGINT) AS node, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS pos, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+WAYS = """refs AS (SELECT CAST(l_orderkey AS BIGINT) AS way, CAST(l_partkey + 1000000 * (l_orderkey % 40) AS BIGINT) AS node, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS pos, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
 looped AS (SELECT way, node, pos, n + CASE WHEN way % 200 = 0 THEN 1 ELSE 0 END AS n FROM refs WHERE way IN (SELECT o_orderkey FROM orders) UNION ALL SELECT way, node, n, n + 1 FROM refs WHERE pos = 0 AND way % 200 = 0 AND way IN (SELECT o_orderkey FROM orders)),
 seen AS (SELECT node, count(*) AS k, sum(CASE WHEN pos = 0 OR pos = n - 1 THEN 1 ELSE 0 END) AS ends FROM looped GROUP BY node),
 types AS (SELECT node, CASE WHEN k = 1 AND ends = 1 THEN 'END' WHEN k = 1 THEN 'INTERMEDIATE' WHEN k = 2 AND ends = 2 THEN 'CONNECTION' ELSE 'JUNCTION' END AS node_type FROM seen)"""
@@ -296,7 +296,7 @@ SELECT way, greatest(round(CASE WHEN kmh IS NOT NULL THEN least(kmh * CAST(0.9 A
     "ev_quantise": "SELECT CAST(p_partkey AS BIGINT) AS part, CASE WHEN round(p_size * 7.0 / 2) * 2 <= 254 THEN round(p_size * 7 / CAST(2 AS DOUBLE)) * 2 END AS speed, CASE WHEN round(p_size * 3 / CAST(2 AS DOUBLE)) * 2 <= 252 THEN round(p_size * 3 / CAST(2 AS DOUBLE)) * 2 END AS max_speed, CASE WHEN round(p_size * 8 / CAST(12 AS DOUBLE)) * 12 <= 372 THEN round(p_size * 8 / CAST(12 AS DOUBLE)) * 12 END AS orientation FROM part",
     "way_filter": f"WITH {WAYS}, {TAGS} SELECT l.way, CAST(count(*) AS INT) AS n_refs FROM looped l JOIN t ON t.way = l.way WHERE highway <> 'footway' GROUP BY l.way HAVING count(*) >= 2",
     "node_classify": f"WITH {WAYS} SELECT node, node_type FROM types",
-    "barrier_edges": f"WITH {WAYS}, one AS (SELECT l.node, l.way, l.pos, row_number() OVER (PARTITION BY l.node ORDER BY l.way, l.pos) AS r FROM looped l JOIN types ty ON ty.node = l.node JOIN part ON p_partkey = l.node WHERE node_type <> 'JUNCTION' AND p_size % 25 = 0 AND l.node % 50 <> 0) SELECT node, way, CAST(pos AS INT) AS pos FROM one WHERE r = 1",
+    "barrier_edges": f"WITH {WAYS}, one AS (SELECT l.node, l.way, l.pos, row_number() OVER (PARTITION BY l.node ORDER BY l.way, l.pos) AS r FROM looped l JOIN types ty ON ty.node = l.node JOIN part ON p_partkey = l.node % 1000000 WHERE node_type <> 'JUNCTION' AND p_size % 25 = 0 AND l.node % 50 <> 0) SELECT node, way, CAST(pos AS INT) AS pos FROM one WHERE r = 1",
     "model_weight": f"WITH {EDGES}, s AS (SELECT edge_id, distance_mm / CAST(1000 AS DOUBLE) AS m, least(999.0, CAST(speed AS DOUBLE)) AS v, speed > 40 AS open FROM edges) SELECT edge_id, CASE WHEN open THEN CAST(round((m / v * CAST(3.6 AS DOUBLE) + m * CAST(0.09 AS DOUBLE)) * 1000) AS BIGINT) END AS weight_millis, CAST(round(m / v * 3600) AS BIGINT) AS millis FROM s",
     "model_elseif": f"WITH {EDGES} SELECT edge_id, CAST(CASE WHEN road_class = 1 THEN speed * 0.5 WHEN road_class = 2 OR distance_mm > 90000000 THEN least(speed, 50) ELSE speed + 3 END AS DOUBLE) AS speed, CAST(CASE WHEN NOT (speed > 40 AND distance_mm < 120000000) THEN 0.5 ELSE 1 END AS DOUBLE) AS priority FROM edges",
     "edge_filter_snap": f"WITH {EDGES} SELECT edge_id FROM edges WHERE speed > 30 AND road_class NOT IN (1, 2)",

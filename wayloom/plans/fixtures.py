@@ -1,7 +1,8 @@
 """Road graphs derived from the warehouse tables, by arithmetic that any SQL engine repeats exactly.
 
 Lanes: nations, joined where suppliers of one sold to customers of another.
-Order ways: an order is a way, its line items' parts are the nodes.
+Order ways: an order is a way, its line items' parts are the nodes. The ways fall
+into REGIONS regions with nodes of their own, so that not every node is a junction.
 Part links: a line item's part leads to the next one's in the order; this graph
 grows with the tables.
 """
@@ -50,7 +51,7 @@ def order_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     """way, refs (ordered array<long>) and tags."""
     lines = table(spark, sf_dir, "lineitem")
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    refs = lines.groupBy(F.col("l_orderkey").alias("way")).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["l_partkey"].cast("long")).alias("refs"))
+    refs = lines.groupBy(F.col("l_orderkey").alias("way")).agg(F.array_sort(F.collect_list(order)).alias("refs")).withColumn("refs", F.transform("refs", lambda x: x["l_partkey"].cast("long") + REGION * (F.col("way") % REGIONS)))
     return refs.join(order_tags(spark, sf_dir), "way").select(F.col("way").cast("long"), F.when(F.col("way") % 200 == 0, F.concat("refs", F.slice("refs", 1, 1))).otherwise(F.col("refs")).alias("refs"), "tags")
 
 
@@ -63,6 +64,7 @@ def order_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(k.alias("way"), F.map_filter(tags, lambda _, v: v != "").alias("tags"))
 
 
+REGION, REGIONS = 1_000_000, 40  # nodes are numbered part + REGION * region
 HIGHWAY_OF = {"1-URGENT": "motorway", "2-HIGH": "primary_link", "3-MEDIUM": "residential", "4-NOT SPECIFIED": "track", "5-LOW": "footway"}
 SPEED_TAGS = ("50", "30 mph", "none", "walk", "10 knots", "fast", "")
 ACCESS_TAGS = ("", "no", "yes", "private;destination", "delivery")
@@ -75,7 +77,8 @@ BRIDGES = ("yes",) + ("",) * 5
 def part_nodes(spark: SparkSession, sf_dir: str, with_gaps: bool = True) -> DataFrame:
     """node, lat, lon, barrier; each 50th node is missing, as in an extract."""
     k = F.col("p_partkey")
-    nodes = table(spark, sf_dir, "part").select(k.cast("long").alias("node"), (45 + (k % 97) * 0.01).alias("lat"), (5 + (k % 89) * 0.01).alias("lon"), (F.col("p_size") % 25 == 0).alias("barrier"))
+    region = F.explode(F.sequence(F.lit(0), F.lit(REGIONS - 1))).alias("region")
+    nodes = table(spark, sf_dir, "part").select("*", region).select((k.cast("long") + REGION * F.col("region")).alias("node"), (45 + (k % 97) * 0.01).alias("lat"), (5 + (k % 89) * 0.01).alias("lon"), (F.col("p_size") % 25 == 0).alias("barrier"))
     return nodes.filter(F.col("node") % 50 != 0) if with_gaps else nodes
 
 

@@ -139,7 +139,7 @@ def oracles(edges: str, arcs: str, relaxed, planar: str) -> dict[str, str]:
         "sssp_rounds": f"""WITH steps AS (SELECT CAST(l_partkey AS BIGINT) AS base, CAST({after} AS BIGINT) AS adj, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
 links AS (SELECT base, adj, min(q * 100 + (base * 7 + adj) % 97) AS cost FROM steps WHERE adj IS NOT NULL AND adj <> base GROUP BY 1, 2),
 e0 AS (SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS BIGINT) AS w), {rounds} SELECT node, w AS millis FROM e{PART_ROUNDS}""",
-        "scc_colours": """WITH RECURSIVE refs AS (SELECT l_orderkey AS way, CAST(l_partkey AS BIGINT) AS node, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P'),
+        "scc_colours": """WITH RECURSIVE refs AS (SELECT l_orderkey AS way, CAST(l_partkey + 1000000 * (l_orderkey % 40) AS BIGINT) AS node, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P'),
 looped AS (SELECT way, node, pos FROM refs UNION ALL SELECT way, node, n + 1 FROM refs WHERE pos = 1 AND way % 200 = 0),
 links AS (SELECT DISTINCT x.node AS a, y.node AS b FROM looped x JOIN looped y ON x.way = y.way AND y.pos = x.pos + 1),
 reach(x, y) AS (SELECT DISTINCT node, node FROM looped UNION SELECT x, b FROM reach JOIN links ON y = a)
