@@ -120,13 +120,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Memo(dict):
-    """A dict for memoised results in two generations, so that its memory stays bounded."""
+    """A dict for memoised results in two generations, so that its memory stays bounded; results of keys longer than longest aren't kept."""
 
-    def __init__(self, compute, limit: int):
+    def __init__(self, compute, limit: int, longest: int = 1 << 30):
         super().__init__()
-        self.compute, self.limit, self.old = compute, limit, {}
+        self.compute, self.limit, self.longest, self.old = compute, limit, longest, {}
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.compute(key)
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)

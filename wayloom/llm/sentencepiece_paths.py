@@ -33,7 +33,7 @@ from .common import Memo, map_arrow, with_fields
 from .normalisers import MARK, Normaliser
 
 UNIGRAM, BYTE_PAIR, USER_DEFINED = 1, 2, 4  # as the model file numbers them
-KEEP = 150_000  # segments remembered by each worker
+KEEP, STATES = 350_000, 150_000  # segments, and pairs of pieces, remembered by each worker
 SHORT = 40  # code points of a segment that is remembered
 
 
@@ -82,10 +82,10 @@ class PieceTransducer:
         if self.kind == UNIGRAM:
             self.scored = ScoredPaths(self.score)
         else:
-            self.finder = PathFinder(PieceTable({p: -int(x) for p, x in self.score.items()}), self.id_of, max(map(len, self.id_of)), KEEP)
+            self.finder = PathFinder(PieceTable({p: -int(x) for p, x in self.score.items()}), self.id_of, max(map(len, self.id_of)), STATES)
         self.coded = {p: i.to_bytes(4, "little") for p, i in self.id_of.items()}
         self.alphabet = {p for p in self.id_of if len(p) == 1}
-        self.memo = Memo(self._solve, KEEP)
+        self.memo = Memo(self._solve, KEEP, SHORT)
         apart = "".join(c for c in "\t\n\x0b\x0c\r" if c not in self.id_of and c not in "".join(self.id_of))  # no piece holds these
         self.segments = re.compile(f"{MARK}*[^{MARK}{apart}]+|{MARK}+|[{apart}]" if apart else f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.bytes_of = [t.replace(MARK, " ").encode() for t in self.text_of]
@@ -154,8 +154,7 @@ class PieceTransducer:
             return b""
         if self.kind == UNIGRAM:
             return self._scored_bytes(text)
-        memo, solve = self.memo, self._solve
-        return b"".join([memo[s] if len(s) <= SHORT else solve(s) for s in self.segments(text)])
+        return b"".join(map(self.memo.__getitem__, self.segments(text)))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), dtype="<i4").tolist()
