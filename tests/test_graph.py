@@ -154,3 +154,62 @@ def test_barrier_nodes(spark):
     assert df.filter(tags.is_barrier(F.col("tags")) != F.col("want")).count() == 0
     name = spark.createDataFrame([({"name": "é" * 200},)], "tags map<string,string>").select(tags.street_name(F.col("tags"))).first()[0]
     assert name == "é" * 128
+
+
+def test_barriers_split_segments(spark):
+    ways = spark.createDataFrame([(1, [1, 2, 3, 4], {"highway": "road"}), (2, [4, 5], {"highway": "road"}), (3, [6, 7], {"highway": "road"}), (4, [8, 9, 8], {"highway": "road"})], "way long, refs array<long>, tags map<string,string>")
+    nodes = spark.createDataFrame([(k, float(k), 0.0) for k in range(1, 10)], "node long, lat double, lon double")
+    stops = spark.createDataFrame([(2,), (3,), (4,), (6,), (9,), (77,)], "node long")
+    parts = importing.segments(ways, nodes)
+    cut = importing.split_at_barriers(parts, stops)
+    found = {(r.way, r.part, r.piece, r.barrier, tuple(p.node for p in r.points)) for r in cut.collect()}
+    assert {x for x in found if x[0] == 1} == {(1, 0, 0, False, (1, 2)), (1, 0, 1, True, (2, -3)), (1, 0, 2, False, (-3, 3)), (1, 0, 3, True, (3, -4)), (1, 0, 4, False, (-4, -5)), (1, 0, 5, True, (-5, 4))}
+    assert {x for x in found if x[0] == 2} == {(2, 0, 0, False, (4, 5))}
+    assert {x for x in found if x[0] == 3} == {(3, 0, 0, True, (6, -7)), (3, 0, 1, False, (-7, 7))}
+    assert {x[4] for x in found if x[0] == 4} == {(8, -10), (-10, 9), (9, 8)}
+    edges = importing.edges_of(cut, ways)
+    assert edges.filter("barrier").agg(F.max("distance_mm")).first()[0] == 1
+    assert importing.split_at_barriers(parts, stops.limit(0)).filter("piece > 0 OR barrier").count() == 0
+
+
+def test_import_refusals(spark):
+    loop = spark.createDataFrame([(1, 5, 5)], "way long, from_node long, to_node long")
+    with pytest.raises(Exception, match="itself"):
+        importing.without_loops(loop).collect()
+    with pytest.raises(ValueError, match="empty"):
+        importing.not_empty(loop.limit(0))
+
+
+def test_searches_agree_on_random_graphs():
+    import random
+
+    for seed in range(60):
+        r = random.Random(seed)
+        n = r.randint(2, 40)
+        places = {k: (45 + r.random(), 5 + r.random()) for k in range(n)}
+        ends = [(r.randrange(n), r.randrange(n)) for _ in range(r.randint(1, 120))]
+        arcs = [(2 * k, a, b, int(paths._beeline(*places[a], *places[b]) * r.uniform(1, 3)) + 1) for k, (a, b) in enumerate(ends)]
+        net = paths.Network(arcs)
+        weights = {k: w for k, _, _, w in arcs}
+        for _ in range(10):
+            s, t = r.randrange(n), r.randrange(n)
+            left = lambda x, to: 0.999 * paths._beeline(*places[x], *places[to])
+            want = net.search(s, t)[0]
+            plain, balanced = net.search_both(s, t), net.search_both(s, t, lambda x, s=s, t=t: (left(x, t) - left(x, s)) / 2)
+            assert plain[0] == balanced[0] == want
+            assert want == float("inf") or sum(weights[k] for k in balanced[1]) == want
+    line = paths.Network([(2 * k, k, k + 1, 1) for k in range(50)])
+    assert line.search_both(0, 50, most_visited=10)[0] == line.search(0, 50, until=0)[0] == line.search_both(0, 50, until=0)[0] == float("inf")
+
+
+def test_sorted_graph(spark):
+    nodes = spark.createDataFrame([(k, 10.0 * k, -20.0 * k) for k in range(4)], "node long, lat double, lon double")
+    edges = spark.createDataFrame([(7, 0, 1), (8, 1, 2), (9, 2, 3), (10, 1, 2)], "edge_id long, a long, b long")
+    turns = spark.createDataFrame([(7, 1, 8)], "from_edge long, via_node long, to_edge long")
+    placed, numbered, moved = importing.sorted_graph(nodes, edges, turns)
+    new = {r.node: r.new_id for r in placed.collect()}
+    order = [r.edge_id for r in numbered.orderBy("new_edge").collect()]
+    assert order == sorted((7, 8, 9, 10), key=lambda e: (min(new[a] for a in {7: (0, 1), 8: (1, 2), 9: (2, 3), 10: (1, 2)}[e]), -e))
+    assert sorted(r.new_edge for r in numbered.collect()) == [0, 1, 2, 3]
+    (turn,) = moved.collect()
+    assert (turn.new_from, turn.new_via, turn.new_to) == (order.index(7), new[1], order.index(8))

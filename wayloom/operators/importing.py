@@ -53,9 +53,25 @@ def segments(ways: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def edges_of(segments_: DataFrame, ways: DataFrame) -> DataFrame:
-    """(way, from_node, to_node, distance_mm, n_points, geometry, tags) of each segment."""
+    """(way, segment, part, from_node, to_node, n_points, geometry, distance_mm, tags) of each segment; what split_at_barriers() adds stays."""
     line = F.transform("points", lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
-    return segments_.select("way", "segment", "part", F.element_at("points", 1)["node"].alias("from_node"), F.element_at("points", -1)["node"].alias("to_node"), F.size("points").alias("n_points"), line.alias("geometry")).withColumn("distance_mm", geo.millimetres(geo.polyline_length(F.col("geometry")))).join(ways.select("way", "tags"), "way")
+    more = [c for c in ("piece", "barrier") if c in segments_.columns]
+    ends = [F.element_at("points", 1)["node"].alias("from_node"), F.element_at("points", -1)["node"].alias("to_node")]
+    lines = segments_.select("way", "segment", "part", *more, *ends, F.size("points").alias("n_points"), line.alias("geometry"))
+    return lines.withColumn("distance_mm", geo.millimetres(geo.polyline_length(F.col("geometry")))).join(ways.select("way", "tags"), "way")
+
+
+def without_loops(edges: DataFrame) -> DataFrame:
+    """edges, with an error on reading one whose ends are the same node."""
+    loop = F.col("from_node") == F.col("to_node")
+    refused = F.raise_error(F.concat(F.lit("an edge from a node to itself: way "), F.col("way").cast("string"))).cast("long")
+    return edges.withColumn("from_node", F.when(loop, refused).otherwise(F.col("from_node")))
+
+
+def not_empty(nodes: DataFrame) -> DataFrame:
+    if not nodes.limit(1).count():
+        raise ValueError("the graph after import is empty")
+    return nodes
 
 
 def barrier_edges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -65,6 +81,47 @@ def barrier_edges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return first.groupBy("node").agg(F.min(F.struct("way", "pos")).alias("x")).select("node", "x.way", "x.pos")
 
 
+def copy_of(node):
+    """The id of a barrier node's artificial copy: below zero, where no read node has one, and known without counting."""
+    return -1 - node
+
+
+def split_at_barriers(segments_: DataFrame, stops: DataFrame) -> DataFrame:
+    """(way, segment, part, piece, barrier, points): segments cut at barrier nodes (node), each at its first place in the order of ways.
+
+    A cut leaves the node at the end of the piece before it, puts a copy at the
+    start of the piece after it, and joins both by an edge of no length with
+    barrier set. At a segment's last node they change places, so that the node
+    itself stays with what follows.
+    """
+    points = segments_.select("way", "segment", "part", F.posexplode("points").alias("i", "point"))
+    places = points.select(F.col("point.node").alias("node"), "way", "segment", "part", (F.col("i") + 1).alias("i"))
+    first = places.join(stops.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("way", "segment", "part", "i")).alias("x"))
+    cuts = first.groupBy("x.way", "x.segment", "x.part").agg(F.array_sort(F.collect_list("x.i")).alias("cuts"))
+    n, k = F.size("points"), F.size("cuts")
+    at = lambda i: F.element_at("points", i)
+    copied = lambda p: F.struct(copy_of(p["node"]).alias("node"), p["lat"].alias("lat"), p["lon"].alias("lon"))
+    before = lambda i: F.when(i == n, copied(at(i))).otherwise(at(i))
+    after = lambda i: F.when(i == n, at(i)).otherwise(copied(at(i)))
+    cut = lambda j: F.get("cuts", j)
+
+    def piece(j):
+        start, end = F.when(j == 0, 1).otherwise(cut(j - 1)), F.when(j == k, n).otherwise(cut(j))
+        head = F.when(j == 0, F.slice("points", start, 1)).otherwise(F.array(after(start)))
+        tail = F.when(j == k, F.slice("points", end, 1)).otherwise(F.array(before(end)))
+        whole = F.concat(head, F.slice("points", start + 1, F.greatest(end - start - 1, F.lit(0))), tail)
+        return F.struct(F.lit(False).alias("barrier"), F.when(end > start, whole).alias("points"))
+
+    def gate(j):
+        return F.struct(F.lit(True).alias("barrier"), F.when(j < k, F.array(before(cut(j)), after(cut(j)))).alias("points"))
+
+    both = F.flatten(F.transform(F.sequence(F.lit(0), k), lambda j: F.array(piece(j), gate(j))))
+    joined = segments_.join(cuts, ["way", "segment", "part"], "left")
+    whole = F.array(F.struct(F.lit(False).alias("barrier"), F.col("points").alias("points")))
+    pieces = F.when(F.col("cuts").isNull(), whole).otherwise(F.filter(both, lambda x: x["points"].isNotNull()))
+    return joined.select("way", "segment", "part", F.posexplode(pieces).alias("piece", "x")).select("way", "segment", "part", "piece", "x.barrier", "x.points")
+
+
 def dense_ids(df: DataFrame, name: str, *by: str) -> DataFrame:
     """df with gapless numbers in the order of by; numbered by range, so no task sees all rows."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -77,3 +134,20 @@ def dense_ids(df: DataFrame, name: str, *by: str) -> DataFrame:
 def hilbert_order(nodes: DataFrame, order: int = 31) -> DataFrame:
     """nodes with their place on the curve and new dense ids along it."""
     return dense_ids(nodes.withColumn("hilbert", geo.hilbert(F.col("lat"), F.col("lon"), order)), "new_id", "hilbert", "node")
+
+
+def sorted_graph(nodes: DataFrame, edges: DataFrame, turns: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(nodes, edges, turns) numbered along the curve: new_id of nodes; new_edge, new_a and new_b of edges; the same of turns' edges and node.
+
+    Edges follow the first of their ends, those of one node the latest first.
+    nodes: (node, lat, lon); edges: (edge_id, a, b); turns: (from_edge, via_node, to_edge).
+    """
+    placed = hilbert_order(nodes)
+    of = lambda old, new: placed.select(F.col("node").alias(old), F.col("new_id").alias(new))
+    ends = edges.join(of("a", "new_a"), "a").join(of("b", "new_b"), "b")
+    numbered = dense_ids(ends.withColumn("·first", F.least("new_a", "new_b")).withColumn("·late", -F.col("edge_id")), "new_edge", "·first", "·late").drop("·first", "·late")
+    if turns is None:
+        return placed, numbered, None
+    edge = lambda old, new: numbered.select(F.col("edge_id").alias(old), F.col("new_edge").alias(new))
+    moved = turns.join(edge("from_edge", "new_from"), "from_edge").join(edge("to_edge", "new_to"), "to_edge").join(of("via_node", "new_via"), "via_node")
+    return placed, numbered, moved

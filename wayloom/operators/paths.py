@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import time
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -108,8 +109,12 @@ class Network:
                         heapq.heappush(heap, (g + w, k, hops + 1, adj))
         return out
 
-    def search(self, source, target, bound=None, turn=None, most_visited=math.inf):
-        """(weight, edge keys, visited). bound(node): least weight left to the target (A*); turn(edge_in, edge_out): added weight, then states are arcs."""
+    def search(self, source, target, bound=None, turn=None, most_visited=math.inf, until=math.inf):
+        """(weight, edge keys, visited). bound(node): least weight left to the target (A*); turn(edge_in, edge_out): added weight, then states are arcs.
+
+        A search that has settled most_visited states, or runs on the monotonic
+        clock's time until, ends without a way.
+        """
         bound = bound or (lambda _: 0)
         start = ("node", source)
         heap, best, visited = [(bound(source), 0, -1, start, source)], {start: (0, None, -1)}, 0
@@ -126,7 +131,7 @@ class Network:
                     edges.append(best[at][2])
                     at = best[at][1]
                 return g, edges[::-1], visited
-            if visited >= most_visited:
+            if visited >= most_visited or time.monotonic() >= until:
                 break
             for k, adj, w in self.out.get(node, ()):
                 if key >= 0 and k >> 1 == key >> 1 and turn is None:
@@ -140,22 +145,33 @@ class Network:
                     heapq.heappush(heap, (new + bound(adj), new, k, s, adj))
         return math.inf, [], visited
 
-    def search_both(self, source, target):
-        """Dijkstra from both ends; stops when the two fronts together can't improve the best meeting."""
+    def search_both(self, source, target, potential=None, most_visited=math.inf, until=math.inf):
+        """Searches from both ends; stops when the two fronts together can't improve the best meeting.
+
+        potential(node): half the bound to the target less half the bound from
+        the source. One side adds it, the other subtracts it, so both search the
+        same reduced weights and the sum of the fronts' keys stays comparable
+        with the best meeting. Without one this is Dijkstra's algorithm.
+        """
         if source == target:
             return 0, [], 1
-        fronts = [({source: (0, None, -1)}, [(0, source)], set(), self.out), ({target: (0, None, -1)}, [(0, target)], set(), self.into)]
+        ahead = potential or (lambda _: 0)
+        keys = (ahead, lambda n: -ahead(n))
+        fronts = [({source: (0, None, -1)}, [(ahead(source), source)], set(), self.out), ({target: (0, None, -1)}, [(-ahead(target), target)], set(), self.into)]
         best, meet, visited, side = math.inf, None, 0, 0
         while fronts[0][1] and fronts[1][1] and fronts[0][1][0][0] + fronts[1][1][0][0] < best:
+            if visited >= most_visited or time.monotonic() >= until:
+                return math.inf, [], visited
             seen, heap, settled, lists = fronts[side]
-            g, node = heapq.heappop(heap)
+            _, node = heapq.heappop(heap)
             if node not in settled:
                 settled.add(node)
                 visited += 1
+                g = seen[node][0]
                 for k, adj, w in lists.get(node, ()):
                     if adj not in seen or g + w < seen[adj][0]:
                         seen[adj] = (g + w, node, k)
-                        heapq.heappush(heap, (g + w, adj))
+                        heapq.heappush(heap, (g + w + keys[side](adj), adj))
                     other = fronts[1 - side][0].get(adj)
                     if other and seen[adj][0] + other[0] < best:
                         best, meet = seen[adj][0] + other[0], adj
@@ -178,12 +194,18 @@ ALGORITHMS = ("dijkstra", "dijkstrabi", "astar", "astarbi")
 ROUTES = "request long, leg int, found boolean, weight double, edges array<long>, visited long"
 
 
-def routes(requests: DataFrame, arcs: DataFrame, nodes: DataFrame, algorithm: str = "astarbi", weight: str = "millis", fastest: float = 0.0, turns: dict | None = None, u_turn: float = math.inf, most_visited: float = math.inf, most_arcs: int = 20_000_000) -> DataFrame:
+def routes(
+    requests: DataFrame, arcs: DataFrame, nodes: DataFrame, algorithm: str = "astarbi", weight: str = "millis", fastest: float = 0.0, turns: dict | None = None, u_turn: float = math.inf,
+    most_visited: float = math.inf, most_millis: float = math.inf, most_arcs: int = 20_000_000,
+) -> DataFrame:
     """Legs between neighbouring points of each request (request, points array<long>), by a kernel on a broadcast graph.
 
     fastest: the greatest mm a millisecond of any arc, for the goal bound of A*.
-    turns: {(from_edge, to_edge): weight}; with them states are arcs. The graph's
-    size is checked before it is sent; beyond most_arcs use distances().
+    turns: {(from_edge, to_edge): weight}; with them states are arcs, and the
+    search is from one end. A leg that settles most_visited states or takes
+    most_millis isn't found. The graph's size is checked before it is sent;
+    beyond most_arcs use distances(). A* needs the places of all nodes of the
+    arcs; where some are unknown, its bounds are 0.
     """
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm!r}")
@@ -191,23 +213,26 @@ def routes(requests: DataFrame, arcs: DataFrame, nodes: DataFrame, algorithm: st
         raise ValueError("the graph is too large for kernels; use distances()")
     context = requests.sparkSession.sparkContext
     rows = context.broadcast([tuple(r) for r in arcs.select("edge_key", "base", "adj", F.col(weight)).collect()])
-    places = context.broadcast({r[0]: (r[1], r[2]) for r in nodes.select("node", "lat", "lon").collect()}) if algorithm.startswith("astar") else None
+    ends = arcs.select(F.col("base").alias("node")).union(arcs.select("adj")).distinct()  # at most two for each arc
+    goal = algorithm.startswith("astar") and fastest > 0
+    places = context.broadcast({r[0]: (r[1], r[2]) for r in nodes.join(ends, "node", "left_semi").select("node", "lat", "lon").collect()}) if goal else None
 
     def run(frames):
         net = Network(rows.value)
         turn = (lambda i, o: turns.get((i >> 1, o >> 1), 0) if i >> 1 != o >> 1 else u_turn) if turns is not None else None
+        at = places.value if goal and all(n in places.value for n in (*net.out, *net.into)) else None
         for frame in frames:
             out = []
             for request, points in zip(frame["request"], frame["points"], strict=True):
                 for leg, (a, b) in enumerate(zip(points, points[1:], strict=False)):
-                    bound = None
-                    if places is not None and fastest > 0:
-                        to = places.value.get(b, (0, 0))
-                        bound = lambda n, to=to: 0.999 * 1000 * _beeline(*places.value.get(n, to), *to) / fastest
+                    until = time.monotonic() + most_millis / 1000
+                    known = at is not None and a in at and b in at
+                    left = (lambda n, to: 0.999 * 1000 * _beeline(*at[n], *at[to]) / fastest) if known else (lambda n, to: 0)
                     if algorithm.endswith("bi") and turn is None:
-                        w, edges, visited = net.search_both(a, b)
+                        half = (lambda n, a=a, b=b: (left(n, b) - left(n, a)) / 2) if known else None
+                        w, edges, visited = net.search_both(a, b, half, most_visited, until)
                     else:
-                        w, edges, visited = net.search(a, b, bound, turn, most_visited)
+                        w, edges, visited = net.search(a, b, lambda n, b=b: left(n, b), turn, most_visited, until)
                     out.append((request, leg, w < math.inf, None if w == math.inf else float(w), edges, visited))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in ROUTES.split(", ")])
 

@@ -99,9 +99,9 @@ def node_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def way_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I-6, I-7, I-10 to I-12, I-14."""
+    """I-6, I-7, I-10 to I-12, I-14; the nodes are given as text."""
     found = importing.segments(fx.order_ways(spark, sf_dir), fx.part_nodes(spark, sf_dir))
-    return found.select("way", "segment", "part", F.transform("points", lambda p: p["node"]).alias("nodes"))
+    return found.select("way", "segment", "part", F.concat_ws(",", F.transform("points", lambda p: p["node"].cast("string"))).alias("nodes"))
 
 
 def edge_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +277,32 @@ _line = dict(lat1="lat_a", lon1="lon_a", lat2="lat_b", lon2="lon_b")
 TILES = """tiles AS (SELECT DISTINCT tile_x, unnest(generate_series(CAST(floor(least(lat_a, lat_b) / 0.1) AS BIGINT), CAST(floor(greatest(lat_a, lat_b) / 0.1) AS BIGINT))) AS tile_y, edge_id FROM
   (SELECT edge_id, lat_a, lat_b, unnest(generate_series(CAST(floor(least(lon_a, lon_b) / 0.1) AS BIGINT), CAST(floor(greatest(lon_a, lon_b) / 0.1) AS BIGINT))) AS tile_x FROM edges WHERE abs(lon_a - lon_b) <= 300))"""
 
+SEGMENTS = """known AS (SELECT l.way, l.node, l.pos, node_type IN ('JUNCTION', 'CONNECTION') AS tower, 45 + ((l.node % 1000000) % 97) * CAST(0.01 AS DOUBLE) AS lat, 5 + ((l.node % 1000000) % 89) * CAST(0.01 AS DOUBLE) AS lon
+  FROM looped l JOIN types USING (node) WHERE l.node % 50 <> 0 AND l.node % 1000000 IN (SELECT p_partkey FROM part)),
+listed AS (SELECT *, row_number() OVER w AS i, coalesce(pos - lag(pos) OVER w > 1, FALSE) AS gap FROM known WINDOW w AS (PARTITION BY way ORDER BY pos)),
+-- A node starts a segment if it is a tower, the first, or behind a gap that broke the segment; a gap doesn't break one that just started.
+reset AS (SELECT *, max(CASE WHEN tower OR i = 1 OR NOT gap THEN i END) OVER w AS r, max(CASE WHEN tower OR i = 1 THEN i END) OVER w AS rt FROM listed WINDOW w AS (PARTITION BY way ORDER BY i)),
+started AS (SELECT *, CASE WHEN r = rt THEN (i - r) % 2 = 0 ELSE (i - r) % 2 = 1 END AS starts FROM reset),
+pairs AS (SELECT way, i, node, lat, lon, tower, lag(node) OVER w AS prev, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0, coalesce(lag(starts) OVER w, FALSE) AS first, gap AND NOT coalesce(lag(starts) OVER w, TRUE) AS broken FROM started WINDOW w AS (PARTITION BY way ORDER BY i)),
+steps AS (SELECT *, sum(CAST(first AS INT)) OVER (PARTITION BY way ORDER BY i) - 1 AS segment, CAST(12742000 AS DOUBLE) * asin(sqrt(pow(sin(radians(lat - lat0) / 2), 2) + pow(sin(radians(lon - lon0) / 2), 2) * cos(radians(lat0)) * cos(radians(lat)))) AS metres
+  FROM pairs WHERE prev IS NOT NULL AND NOT broken),
+whole AS (SELECT way, dense_rank() OVER (PARTITION BY way ORDER BY segment) - 1 AS segment, list_prepend(first(prev ORDER BY i), list(node ORDER BY i)) AS nodes, list(metres ORDER BY i) AS metres FROM steps GROUP BY way, segment),
+parts AS (SELECT way, segment, 0 AS part, CASE WHEN nodes[1] = nodes[-1] THEN nodes[:-2] ELSE nodes END AS nodes, CASE WHEN nodes[1] = nodes[-1] THEN metres[:-2] ELSE metres END AS metres FROM whole WHERE len(nodes) > 2 OR nodes[1] <> nodes[-1]
+  UNION ALL SELECT way, segment, 1, nodes[-2:], metres[-1:] FROM whole WHERE len(nodes) > 2 AND nodes[1] = nodes[-1]),
+split AS (SELECT way, CAST(segment AS INT) AS segment, CAST(part AS INT) AS part, nodes, list_reduce(list_prepend(CAST(0 AS DOUBLE), metres), lambda x, y: x + y) AS metres FROM parts)"""
+HILBERT = f"""RECURSIVE curve AS (SELECT node, 30 AS k, CAST(0 AS BIGINT) AS d, CAST(floor((lon + 180) / 360 * 2147483648) AS BIGINT) AS x, CAST(floor((90 - lat) / 180 * 2147483648) AS BIGINT) AS y FROM (SELECT node, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon FROM ({NODES}))
+  UNION ALL SELECT node, k - 1, d + s * s * xor(3 * rx, ry), (CASE WHEN ry = 1 THEN x WHEN rx = 1 THEN s - 1 - y ELSE y END) & (2 * s - 1), (CASE WHEN ry = 1 THEN y WHEN rx = 1 THEN s - 1 - x ELSE x END) & (2 * s - 1)
+  FROM (SELECT *, CAST(1 AS BIGINT) << k AS s, (x >> k) & 1 AS rx, (y >> k) & 1 AS ry FROM curve WHERE k >= 0)),
+placed_nodes AS (SELECT node, d AS hilbert, row_number() OVER (ORDER BY d, node) - 1 AS new_id FROM curve WHERE k = -1)"""
+
 ORACLES = {
+    "way_segments": f"WITH {WAYS}, {SEGMENTS} SELECT way, segment, part, array_to_string(nodes, ',') AS nodes FROM split",
+    "edge_list": f"WITH {WAYS}, {SEGMENTS} SELECT way, nodes[1] AS from_node, nodes[-1] AS to_node, CAST(least(greatest(round(metres * 1000), 1), 2147483646) AS BIGINT) AS distance_mm, CAST(len(nodes) AS INT) AS n_points FROM split WHERE nodes[1] <> nodes[-1]",
+    "hilbert_order": f"WITH {HILBERT} SELECT node, hilbert, new_id FROM placed_nodes",
+    "subnetwork_flags": f"""WITH RECURSIVE {ARCS}, reach(x, y) AS (SELECT edge_key, edge_key FROM arcs UNION SELECT x, edge_key FROM reach JOIN (SELECT p.edge_key AS came, q.edge_key FROM arcs p JOIN arcs q ON q.base = p.adj) ON y = came),
+found AS (SELECT r.x AS edge_key, min(r.y) AS component FROM reach r JOIN reach s ON s.x = r.y AND s.y = r.x GROUP BY r.x),
+sizes AS (SELECT component, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, component) AS r FROM found GROUP BY component)
+SELECT edge_key, f.component, size, size < 8 AND r > 1 OR size = 1 AS subnetwork FROM found f JOIN sizes s ON s.component = f.component""",
     "geo_haversine": f"WITH {EDGES} SELECT edge_id, distance_mm FROM edges",
     "geo_planar": f"WITH {EDGES} SELECT edge_id, floor({PLANAR.format(**_line)} * 100 + 0.5) / 100 AS planar_m, abs(lon_a - lon_b) > 300 AS crosses FROM edges",
     "geo_azimuth": f"""WITH {EDGES}, turn AS (SELECT edge_id, pi() / 2 - atan2(lat_b - lat_a, cos(radians((lat_a + lat_b) / 2)) * (lon_b - lon_a)) AS r FROM edges),
