@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wayloom.functions import costs, geo, tags, values
 from wayloom.operators import connectivity, importing, paths, spatial
 from wayloom.plans import fixtures as fx
-from wayloom.plans import routing
+from wayloom.plans import replies, routing
 
 ROUNDS = 24  # one less than there are nations: no shortest way is longer
 SOURCES = (0, 7, 13)
@@ -345,5 +345,6 @@ reach(x, y) AS (SELECT node, node FROM nodes UNION SELECT x, b FROM reach JOIN l
 SELECT r.x AS node, min(r.y) AS component FROM reach r JOIN reach s ON s.x = r.y AND s.y = r.x GROUP BY r.x""",
 }
 
-QUERIES = {f.__name__: f for f in (geo_haversine, geo_planar, geo_azimuth, geo_edge_keys, graph_bounds, tag_road_class, tag_maxspeed, tag_road_access, tag_car_access, tag_car_speed, tag_names, ev_quantise, way_filter, node_classify, way_segments, edge_list, barrier_edges, model_weight, model_elseif, edge_filter_snap, tile_assign, nearest_edge, bbox_edges, overlay_split, sssp_nation, many_to_many, path_lengths, route_legs, avoid_edges, edge_scc, subnetwork_flags, hilbert_order)} | routing.QUERIES
+QUERIES = {f.__name__: f for f in (geo_haversine, geo_planar, geo_azimuth, geo_edge_keys, graph_bounds, tag_road_class, tag_maxspeed, tag_road_access, tag_car_access, tag_car_speed, tag_names, ev_quantise, way_filter, node_classify, way_segments, edge_list, barrier_edges, model_weight, model_elseif, edge_filter_snap, tile_assign, nearest_edge, bbox_edges, overlay_split, sssp_nation, many_to_many, path_lengths, route_legs, avoid_edges, edge_scc, subnetwork_flags, hilbert_order)} | routing.QUERIES | replies.QUERIES
 ORACLES |= routing.oracles(EDGES, ARCS, relaxed, PLANAR)
+ORACLES |= replies.oracles(EDGES, WAYS, SEGMENTS, HILBERT, NODES)
