@@ -2,6 +2,7 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from wayloom.sources import graph_store, osm_pbf, osm_xml
 
@@ -88,3 +89,22 @@ def test_graph_store_round_trip(spark, tmp_path):
     graph_store.store({"edges": edges}, str(tmp_path / "g"))
     tables, registry = graph_store.load(spark, str(tmp_path / "g"))
     assert sorted(tables["edges"].collect()) == sorted(edges.collect()) and registry is None
+
+
+def test_hierarchy_round_trip(spark, tmp_path):
+    from wayloom.operators import contraction
+
+    ends = [(0, 1, 4), (1, 2, 3), (2, 3, 9), (3, 0, 1), (1, 3, 2)]
+    arcs = spark.createDataFrame([(2 * k + r, *((a, b) if not r else (b, a)), w) for k, (a, b, w) in enumerate(ends) for r in (0, 1)], "edge_key long, base long, adj long, millis long")
+    levels, ch_arcs = contraction.prepared(arcs)
+    assert graph_store.load_hierarchy(spark, str(tmp_path), "car") is None
+    graph_store.store_hierarchy(levels, ch_arcs, str(tmp_path), "car")
+    again, arcs_again = graph_store.load_hierarchy(spark, str(tmp_path), "car")
+    assert sorted(again.collect()) == sorted(levels.collect()) and sorted(arcs_again.collect(), key=str) == sorted(ch_arcs.collect(), key=str)
+    with pytest.raises(Exception, match="order of levels"):
+        graph_store.store_hierarchy(levels, ch_arcs.withColumn("level_adj", F.col("level")), str(tmp_path), "bad")
+
+
+def test_stored_weights(spark):
+    rows = spark.createDataFrame([(0.0,), (1.23449,), (3e6,), (float("inf"),)], "w double").select(graph_store.stored_weight(F.col("w"))).collect()
+    assert [r[0] for r in rows] == [0.001, 1.234, float("inf"), float("inf")]

@@ -60,6 +60,24 @@ def simplified_parts(points: list, cuts: list[int], limit: float) -> tuple[list[
     return kept, [kept.index(c) for c in cuts]
 
 
+def part_of_line(points: list, start: float, end: float) -> list[tuple]:
+    """The part of a line between two shares of its length, which are places on it."""
+    step = lambda p, q: 2 * EARTH * math.asin(math.sqrt(math.sin(math.radians(q[0] - p[0]) / 2) ** 2 + math.sin(math.radians(q[1] - p[1]) / 2) ** 2 * math.cos(math.radians(p[0])) * math.cos(math.radians(q[0]))))
+    at = [0.0]
+    for p, q in zip(points, points[1:], strict=False):
+        at.append(at[-1] + step(p, q))
+
+    def place(share):
+        x = share * at[-1]
+        k = next((i for i in range(1, len(at)) if at[i] >= x), len(at) - 1)
+        f = (x - at[k - 1]) / (at[k] - at[k - 1]) if at[k] > at[k - 1] else 0.0
+        return tuple(a + f * (b - a) for a, b in zip(points[k - 1], points[k], strict=True))
+
+    head = tuple(points[0]) if start <= 0 else place(start)
+    tail = tuple(points[-1]) if end >= 1 else place(end)
+    return [head, *(tuple(p) for p, x in zip(points[1:-1], at[1:-1], strict=True) if start * at[-1] < x < end * at[-1]), tail]
+
+
 def encode_polyline(points: list, factor: float = 1e5, dims: int = 2) -> str:
     """Zig-zag differences in groups of five bits; a third number, a height, is stored in centimetres."""
     out, last = [], [0] * dims
