@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayloom.functions import costs, lines, tags
-from wayloom.operators import connectivity, contraction, importing, paths
+from wayloom.operators import connectivity, contraction, importing, paths, spatial
 from wayloom.plans import catalog, fixtures, routing
 
 SF = "/root/testdata/sf0.001"
@@ -213,3 +213,15 @@ def test_sorted_graph(spark):
     assert sorted(r.new_edge for r in numbered.collect()) == [0, 1, 2, 3]
     (turn,) = moved.collect()
     assert (turn.new_from, turn.new_via, turn.new_to) == (order.index(7), new[1], order.index(8))
+
+
+def test_tiles_are_those_a_line_crosses(spark):
+    lines_ = [(1, 0.05, 0.05, 2.05, 2.05), (2, 0.05, 0.05, 0.05, 1.05), (3, 1.05, 0.05, 0.05, 0.05), (4, 0.0, 179.0, 0.0, -179.0), (5, 0.31, 0.92, 1.87, 0.13)]
+    df = spark.createDataFrame(lines_, "edge_id long, lat_a double, lon_a double, lat_b double, lon_b double")
+    rows = [tuple(r) for r in spatial.edge_tiles(df).collect()]
+    assert len(rows) == len(set(rows))
+    got = {k: {(x, y) for x, y, e in rows if e == k} for k in range(1, 6)}
+    assert len(got[1]) <= 3 * 21 and {(k, k) for k in range(21)} <= got[1]
+    assert got[2] == {(k, 0) for k in range(11)} and got[3] == {(0, k) for k in range(11)} and got[4] == set()
+    walked = {(int((0.92 + s * (0.13 - 0.92)) / 0.1), int((0.31 + s * (1.87 - 0.31)) / 0.1)) for s in (k / 20000 for k in range(20001))}
+    assert walked <= got[5] and len(got[5] - walked) <= 2

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayloom.functions import geo
 
 TILE = 0.1  # degrees
+TOUCH = 1e-9  # a line this near to a border counts on both sides, so that rounding can't lose a tile
 RINGS = 3
 
 
@@ -16,11 +17,21 @@ def tile(x, size: float = TILE):
 
 
 def edge_tiles(segments: DataFrame, size: float = TILE) -> DataFrame:
-    """(tile_x, tile_y, edge_id) for segments (edge_id, lat_a, lon_a, lat_b, lon_b): the tiles of their boxes; lines over the date line have none."""
-    span = lambda a, b: F.sequence(tile(F.least(a, b), size), tile(F.greatest(a, b), size))
+    """(tile_x, tile_y, edge_id) for segments (edge_id, lat_a, lon_a, lat_b, lon_b): the tiles that each line runs through, each once; lines over the date line have none.
+
+    In each row of tiles the line is cut at the row's borders, so a long slanting
+    line gets as many tiles as it crosses, not all of its box.
+    """
+    low, high = F.least("lat_a", "lat_b"), F.greatest("lat_a", "lat_b")
+    west, east = F.least("lon_a", "lon_b"), F.greatest("lon_a", "lon_b")
     inside = segments.filter(~geo.crosses_boundary(F.col("lon_a"), F.col("lon_b")))
-    rows = inside.select("edge_id", F.explode(span(F.col("lon_a"), F.col("lon_b"))).alias("tile_x"), "lat_a", "lat_b")
-    return rows.select("tile_x", F.explode(span(F.col("lat_a"), F.col("lat_b"))).alias("tile_y"), "edge_id").distinct()
+    rows = inside.select("edge_id", "lat_a", "lon_a", "lat_b", "lon_b", F.explode(F.sequence(tile(low - TOUCH, size), tile(high + TOUCH, size))).alias("tile_y"))
+    bottom, top = F.least(F.greatest(low, F.col("tile_y") * size), high), F.greatest(F.least(high, (F.col("tile_y") + 1) * size), low)
+    at = lambda lat: F.col("lon_a") + (lat - F.col("lat_a")) / F.nullif(F.col("lat_b") - F.col("lat_a"), F.lit(0.0)) * (F.col("lon_b") - F.col("lon_a"))
+    # A level line has no crossing with the borders, and runs through all columns.
+    first = F.greatest(F.coalesce(F.least(at(bottom), at(top)), west), west)
+    last = F.least(F.coalesce(F.greatest(at(bottom), at(top)), east), east)
+    return rows.select(F.explode(F.sequence(tile(F.least(first, last) - TOUCH, size), tile(F.greatest(first, last) + TOUCH, size))).alias("tile_x"), "tile_y", "edge_id")
 
 
 def nearest_edges(points: DataFrame, segments: DataFrame, rings: int = RINGS, size: float = TILE) -> DataFrame:

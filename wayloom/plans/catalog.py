@@ -274,9 +274,10 @@ seen AS (SELECT node, count(*) AS k, sum(CASE WHEN pos = 0 OR pos = n - 1 THEN 1
 types AS (SELECT node, CASE WHEN k = 1 AND ends = 1 THEN 'END' WHEN k = 1 THEN 'INTERMEDIATE' WHEN k = 2 AND ends = 2 THEN 'CONNECTION' ELSE 'JUNCTION' END AS node_type FROM seen)"""
 PLANAR = "CAST(6371000 AS DOUBLE) * sqrt(pow(radians({lon2} - {lon1}) * cos(radians(({lat1} + {lat2}) / 2)), 2) + pow(radians({lat2} - {lat1}), 2))"
 _line = dict(lat1="lat_a", lon1="lon_a", lat2="lat_b", lon2="lon_b")
-TILES = """tiles AS (SELECT DISTINCT tile_x, unnest(generate_series(CAST(floor(least(lat_a, lat_b) / 0.1) AS BIGINT), CAST(floor(greatest(lat_a, lat_b) / 0.1) AS BIGINT))) AS tile_y, edge_id FROM
-  (SELECT edge_id, lat_a, lat_b, unnest(generate_series(CAST(floor(least(lon_a, lon_b) / 0.1) AS BIGINT), CAST(floor(greatest(lon_a, lon_b) / 0.1) AS BIGINT))) AS tile_x FROM edges WHERE abs(lon_a - lon_b) <= 300))"""
-
+TILES = """tile_rows AS (SELECT *, least(lon_a, lon_b) AS west, greatest(lon_a, lon_b) AS east, unnest(generate_series(CAST(floor((least(lat_a, lat_b) - 1e-9) / 0.1) AS BIGINT), CAST(floor((greatest(lat_a, lat_b) + 1e-9) / 0.1) AS BIGINT))) AS tile_y FROM edges WHERE abs(lon_a - lon_b) <= 300),
+tile_ends AS (SELECT *, lon_a + (least(greatest(least(lat_a, lat_b), tile_y * CAST(0.1 AS DOUBLE)), greatest(lat_a, lat_b)) - lat_a) / nullif(lat_b - lat_a, 0) * (lon_b - lon_a) AS x0, lon_a + (greatest(least(greatest(lat_a, lat_b), (tile_y + 1) * CAST(0.1 AS DOUBLE)), least(lat_a, lat_b)) - lat_a) / nullif(lat_b - lat_a, 0) * (lon_b - lon_a) AS x1 FROM tile_rows),
+tile_spans AS (SELECT edge_id, tile_y, greatest(coalesce(least(x0, x1), west), west) AS s, least(coalesce(greatest(x0, x1), east), east) AS e FROM tile_ends),
+tiles AS (SELECT edge_id, tile_y, unnest(generate_series(CAST(floor((least(s, e) - 1e-9) / 0.1) AS BIGINT), CAST(floor((greatest(s, e) + 1e-9) / 0.1) AS BIGINT))) AS tile_x FROM tile_spans)"""
 SEGMENTS = """known AS (SELECT l.way, l.node, l.pos, node_type IN ('JUNCTION', 'CONNECTION') AS tower, 45 + ((l.node % 1000000) % 97) * CAST(0.01 AS DOUBLE) AS lat, 5 + ((l.node % 1000000) % 89) * CAST(0.01 AS DOUBLE) AS lon
   FROM looped l JOIN types USING (node) WHERE l.node % 50 <> 0 AND l.node % 1000000 IN (SELECT p_partkey FROM part)),
 listed AS (SELECT *, row_number() OVER w AS i, coalesce(pos - lag(pos) OVER w > 1, FALSE) AS gap FROM known WINDOW w AS (PARTITION BY way ORDER BY pos)),
