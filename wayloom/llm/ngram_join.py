@@ -16,7 +16,7 @@ they are. The join then runs in these steps, each a table of bounded groups:
    under its step and the next one, as similar sets differ by one step at most.
 3. All nodes with an index key are verified against the key's first node, then,
    where a key's nodes aren't connected yet, against other nodes chosen by hash,
-   while that finds links. What is left is compared exactly, block by block of
+   while that leaves a tenth less. What is left is compared exactly, block by block of
    the nodes that keys join. So
    each candidate pair is either verified or inside one component already, and a
    group of near copies costs its size, not its square.
@@ -38,6 +38,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +51,9 @@ FINGERPRINT = (1 << 48) - 1
 RARE = 24  # a df class (4 log2) below this, that is fewer than 64 nodes, is indexed singly
 TURNS = 4  # rounds with other first nodes, at most; they only save work, the last step is exact
 BLOCK, NODES = 400_000, 2048  # fingerprints and nodes of a block in the last step
-SPLIT = 24_000_000  # nodes of which a task may have to hold a shingle's list
+DENSE, CELLS = 256, 500_000  # a mark of this part of a block's pairs or more is a matrix column; pairs counted at a time
+SPLIT = 24_000_000  # documents of whose nodes a task may have to hold a shingle's list
+RANGE_BYTES = 10_000_000  # of text to a hash range, in prose 1.5 million shingles
 BATCH = 1 << 20  # shingles scattered at a time
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -136,169 +139,239 @@ def index_keys(n: int, u: int, tokens: np.ndarray, classes: np.ndarray) -> np.nd
     return np.unique(np.concatenate(keys))
 
 
-def nodes_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, n_shingles, n_marks, node) of each document; n_marks: its fingerprints."""
-
-    def run(frames):
-        shingles = Shingler()
-        for frame in frames:
-            sets = [shingles(t) for t in frame.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(map(len, sets), pa.int64()), pa.array([len(fingerprints(s)) for s in sets], pa.int64()), pa.array(map(node_of, sets), pa.int64())], names=["doc", "n_shingles", "n_marks", "node"])
+def passed_once(docs: DataFrame, doc_id: str, text: str, ranges: int, splits: int) -> DataFrame:
+    """What the join takes from the texts, which are read and shingled here alone.
 
+    Rows of MARKS. part is range * splits + node % splits for nodes, counts and
+    marks: the fingerprints of some nodes that lie in a hash range, as 6 bytes each.
+    own and sizes are nodes whose home the part's range is, and their numbers of
+    fingerprints. docs has a row for each document, and lies in any part.
+    """
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"doc {kind}, n_shingles long, n_marks long, node long")
-
-
-def scattered(docs: DataFrame, text: str, ranges: int, splits: int) -> DataFrame:
-    """Rows (part, nodes, counts, marks): the fingerprints of some nodes that lie in a hash range, as 6 bytes each; part is range * splits + node % splits."""
 
     def emit(held: dict):
         nodes = np.array(list(held), dtype=np.int64)
+        lengths = np.array([len(s) for s in held.values()])
         marks = np.concatenate(list(held.values()))
-        owner = np.repeat(np.arange(len(nodes)), [len(s) for s in held.values()])
+        owner = np.repeat(np.arange(len(nodes), dtype=np.int32), lengths)
         part = ((marks >> np.uint64(16)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
         if splits > 1:
             part = part * splits + (nodes % splits)[owner]
         order = np.argsort(part.astype(np.uint16) if ranges * splits < 1 << 16 else part, kind="stable")  # owners ascend already
         part, owner, marks = part[order], owner[order], marks[order]
-        at = np.searchsorted(part, np.arange(ranges * splits + 1))
+        start = np.nonzero(np.append(True, (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])))[0]  # of a node in a part
+        counts, packed = np.diff(start, append=len(part)).astype("<u4"), six_bytes(marks)
+        steps = np.arange(ranges * splits + 1)
+        at, pairs = np.searchsorted(part, steps), np.searchsorted(part[start], steps)
+        nodes_in = nodes[owner[start]]
+        home = (nodes.astype(np.uint64) % np.uint64(ranges)).astype(np.int64) * splits
+        order = np.argsort(home, kind="stable")
+        homes, own, sizes = np.searchsorted(home[order], steps), nodes[order], lengths[order].astype("<u4")
         out = []
-        for r in np.nonzero(np.diff(at))[0].tolist():
-            lo, hi = at[r], at[r + 1]
-            if hi > lo:
-                own, n = np.unique(owner[lo:hi], return_counts=True)
-                packed = np.ascontiguousarray(marks[lo:hi]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                out.append((r, nodes[own].tobytes(), n.astype("<u4").tobytes(), packed.tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "nodes", "counts", "marks"])
+        for r in np.nonzero(np.diff(at) + np.diff(homes))[0].tolist():
+            here, mine = slice(pairs[r], pairs[r + 1]), slice(homes[r], homes[r + 1])
+            out.append((r, nodes_in[here].tobytes(), counts[here].tobytes(), packed[at[r] : at[r + 1]].tobytes(), own[mine].tobytes(), sizes[mine].tobytes()))
+        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)]
+        return columns, len(out)
 
     def run(frames):
         shingles, held, n = Shingler(), {}, 0
-        for frame in frames:
-            for t in frame.column(0).to_pylist():
+        for k, frame in enumerate(frames):
+            ids, found = frame.column(0), []
+            entry = pa.struct([("doc", ids.type), ("n_shingles", pa.int64()), ("n_marks", pa.int64()), ("node", pa.int64())])
+            names = ["part", "nodes", "counts", "marks", "own", "sizes", "docs"]
+
+            def row(columns, many, entry=entry, names=names):
+                return pa.RecordBatch.from_arrays([*columns, pa.nulls(many, pa.list_(entry))], names=names)
+
+            for t in frame.column(1).to_pylist():
                 s = shingles(t)
-                if len(s) and (node := node_of(s)) not in held:
-                    held[node] = fingerprints(s)
+                node, marks = node_of(s), fingerprints(s)
+                found.append((len(s), len(marks), node))
+                if len(s) and node not in held:
+                    held[node] = marks
                     n += len(s)
                     if n >= BATCH:
-                        yield emit(held)
+                        yield row(*emit(held))
                         held, n = {}, 0
+            if found:
+                all_docs = pa.StructArray.from_arrays([ids, *[pa.array(c, pa.int64()) for c in zip(*found, strict=True)]], fields=list(entry))
+                lists = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), all_docs)
+                yield pa.RecordBatch.from_arrays([pa.array([(found[0][2] + k) % (ranges * splits)], pa.int32()), *[pa.array([b""], pa.binary())] * 5, lists], names=names)
         if held:
-            yield emit(held)
+            yield row(*emit(held))
 
-    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "part int, nodes binary, counts binary, marks binary")
+    return docs.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"part int, nodes binary, counts binary, marks binary, own binary, sizes binary, docs {entry_of(kind)}")
 
 
-def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    nodes = np.frombuffer(b"".join(table.column("nodes").to_pylist()), dtype=np.int64)
-    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype="<u4")
-    packed = np.frombuffer(b"".join(table.column("marks").to_pylist()), dtype=np.uint8).reshape(-1, 6)
-    marks = np.zeros((len(packed), 8), dtype=np.uint8)
-    marks[:, :6] = packed
-    return np.repeat(nodes, counts), marks.view("<u8").reshape(-1).astype(np.uint64)
+def entry_of(kind: str) -> str:
+    return f"array<struct<doc: {kind}, n_shingles: bigint, n_marks: bigint, node: bigint>>"
+
+
+def six_bytes(marks: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(marks.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :6])
+
 
+def joined(table: pa.Table, column: str, kind) -> np.ndarray:
+    """The values of a column of packed arrays, one after the other."""
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), dtype=kind)
 
-SHARED = "part int, nodes binary, counts binary, marks binary, classes binary"
 
+def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, counts, marks): the nodes' marks follow each other."""
+    packed = joined(table, "marks", np.uint8).reshape(-1, 6)
+    marks = np.zeros((len(packed), 8), dtype=np.uint8)
+    marks[:, :6] = packed
+    return joined(table, "nodes", np.int64), joined(table, "counts", "<u4"), marks.view("<u8").reshape(-1).astype(np.uint64, copy=False)
 
-def distinct_entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, marks) by mark: a copy in another batch isn't another node."""
-    node, mark = unpacked(table)
-    order = np.lexsort((node, mark))
-    node, mark = node[order], mark[order]
-    new = np.ones(len(mark), dtype=bool)
-    new[1:] = (mark[1:] != mark[:-1]) | (node[1:] != node[:-1])
-    return node[new], mark[new]
+
+def distinct_entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """unpacked, each node once: a copy in another batch isn't another node, and has the same marks."""
+    nodes, counts, marks = unpacked(table)
+    first = np.unique(nodes, return_index=True)[1]
+    if len(first) < len(nodes):
+        new = np.zeros(len(nodes), dtype=bool)
+        new[first] = True
+        marks = marks[np.repeat(new, counts)]
+        nodes, counts = nodes[new], counts[new]
+    return nodes, counts, marks
 
 
 def class_of(df: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.floor(4 * np.log2(np.maximum(df, 1)))).astype(np.uint8)
 
 
-def dealt_home(node: np.ndarray, mark: np.ndarray, cls: np.ndarray, ranges: int) -> pa.Table:
-    """Entries as rows of SHARED, part being a hash of the node."""
-    home = (node.astype(np.uint64) % np.uint64(ranges)).astype(np.int64)
-    order = np.lexsort((node, home))
-    home, node, mark, cls = home[order], node[order], mark[order], cls[order]
-    at, out = np.searchsorted(home, np.arange(ranges + 1)), []
+def numbered(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, sorted, and how often each is there."""
+    marks = np.sort(marks)
+    start = np.nonzero(np.append(True, marks[1:] != marks[:-1])[: len(marks)])[0]
+    return marks[start], np.diff(start, append=len(marks))
+
+
+def dealt_home(table: pa.Table, entries, known: np.ndarray, df: np.ndarray, ranges: int, splits: int) -> pa.Table:
+    """Rows of SHARED: the entries whose marks are known, with classes of df, part being a hash of the node; and the rest of the table's columns."""
+    nodes, counts, marks = entries
+    # Most marks aren't known, and their hashes' last bits tell so at once.
+    bits = np.uint64((1 << 22) - 1)
+    seen = np.zeros(1 << 22, dtype=bool)
+    seen[(known & bits).astype(np.int64)] = True
+    place = np.nonzero(seen[(marks & bits).astype(np.int64)])[0]
+    at = np.searchsorted(known, marks[place]) if len(known) else place
+    hit = known[np.minimum(at, len(known) - 1)] == marks[place] if len(known) else np.zeros(len(place), dtype=bool)
+    place, cls = place[hit], class_of(df)[at[hit]]
+    ends = np.cumsum(counts, dtype=np.int64)
+    counts = np.diff(np.searchsorted(place, ends), prepend=0)
+    marks = marks[place]
+    some = counts > 0
+    nodes, counts = nodes[some], counts[some]
+    home = (nodes.astype(np.uint64) % np.uint64(ranges)).astype(np.int64)
+    order = np.lexsort((nodes, home))
+    start = (np.cumsum(counts) - counts)[order]
+    home, nodes, counts = home[order], nodes[order], counts[order]
+    stop = np.cumsum(counts)
+    take = np.repeat(start - (stop - counts), counts) + np.arange(len(marks))
+    packed, cls, sizes = six_bytes(marks[take]), cls[take], counts.astype("<u4")
+    at = np.searchsorted(home, np.arange(ranges + 1))
+    edge = np.append(0, stop)[at]
+    out = []
     for r in np.nonzero(np.diff(at))[0].tolist():
-        lo, hi = at[r], at[r + 1]
-        own, n = np.unique(node[lo:hi], return_counts=True)
-        packed = np.ascontiguousarray(mark[lo:hi]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        out.append((r, own.tobytes(), n.astype("<u4").tobytes(), packed.tobytes(), cls[lo:hi].tobytes()))
-    columns = list(zip(*out, strict=True)) if out else [()] * 5
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "nodes", "counts", "marks", "classes"])
+        here, those = slice(at[r], at[r + 1]), slice(edge[r], edge[r + 1])
+        out.append((r, nodes[here].tobytes(), sizes[here].tobytes(), packed[those].tobytes(), cls[those].tobytes(), b"", b""))
+    out.append((table.column("part")[0].as_py() // splits, b"", b"", b"", b"", *[b"".join(table.column(c).to_pylist()) for c in ("own", "sizes")]))
+    columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 6), strict=True)]
+    names = ["part", "nodes", "counts", "marks", "classes", "own", "sizes"]
+    found = pa.table([*columns, pa.nulls(len(out), table.schema.field("docs").type)], names=names + ["docs"])
+    docs = table.filter(pa.compute.is_valid(table.column("docs")))
+    if not docs.num_rows:
+        return found
+    empty = pa.array([b""] * docs.num_rows, pa.binary())
+    return pa.concat_tables([found, pa.table([pa.array([out[-1][0]] * docs.num_rows, pa.int32()), *[empty] * 6, docs.column("docs")], names=found.column_names)])
+
+
+def shared_in_range(table: pa.Table, ranges: int) -> pa.Table:
+    """Rows of SHARED from the rows of a hash range."""
+    entries = distinct_entries(table)
+    marks, df = numbered(entries[2])
+    return dealt_home(table, entries, marks[df > 1], df[df > 1], ranges, 1)
 
 
 def shared_marks(parts: DataFrame, ranges: int, splits: int) -> DataFrame:
     """Rows of SHARED, part now a hash of the nodes: the fingerprints that several nodes have, with classes of their number."""
+    schema = f"part int, nodes binary, counts binary, marks binary, classes binary, own binary, sizes binary, docs {parts.schema['docs'].dataType.simpleString()}"
     if splits > 1:
-        return shared_by_counts(written(parts), ranges, splits)
+        return shared_by_counts(written(parts), schema, ranges, splits)
 
     def run(table: pa.Table) -> pa.Table:
-        node, mark = distinct_entries(table)
-        _, back, df = np.unique(mark, return_inverse=True, return_counts=True)
-        df = df[back]
-        return dealt_home(node[df > 1], mark[df > 1], class_of(df[df > 1]), ranges)
+        return shared_in_range(table, ranges)
 
-    return parts.groupBy("part").applyInArrow(run, SHARED)
+    return parts.groupBy("part").applyInArrow(run, schema)
 
 
-def shared_by_counts(parts: DataFrame, ranges: int, splits: int) -> DataFrame:
+def shared_by_counts(parts: DataFrame, schema: str, ranges: int, splits: int) -> DataFrame:
     """shared_marks where each range is split by node: the parts' counts are summed and go back to the parts."""
 
     def count(table: pa.Table) -> pa.Table:
-        mark, df = np.unique(distinct_entries(table)[1], return_counts=True)
+        mark, df = numbered(distinct_entries(table)[2])
         part = table.column("part")[0].as_py()
         return pa.table({"range": pa.array([part // splits], pa.int32()), "marks": pa.array([mark.tobytes()], pa.binary()), "df": pa.array([df.astype("<i8").tobytes()], pa.binary())})
 
-    def both(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("marks", "<u8"), ("df", "<i8")))
-
     def add(table: pa.Table) -> pa.Table:
-        mark, df = both(table)
-        mark, back = np.unique(mark, return_inverse=True)
-        df = np.bincount(back, weights=df, minlength=len(mark)).astype("<i8")
+        mark, back = np.unique(joined(table, "marks", "<u8"), return_inverse=True)
+        df = np.bincount(back, weights=joined(table, "df", "<i8"), minlength=len(mark)).astype("<i8")
         return pa.table({"range": table.column("range")[:1], "marks": pa.array([mark[df > 1].tobytes()], pa.binary()), "df": pa.array([df[df > 1].tobytes()], pa.binary())})
 
     def keep(left: pa.Table, right: pa.Table) -> pa.Table:
-        node, mark = distinct_entries(left)
-        known, df = both(right)
-        at = np.searchsorted(known, mark)
-        found = np.zeros(len(mark), dtype=bool)
-        if len(known):
-            found = known[np.minimum(at, len(known) - 1)] == mark
-        return dealt_home(node[found], mark[found], class_of(df[at[found]]), ranges)
-
-    schema = "range int, marks binary, df binary"
-    sums = parts.groupBy("part").applyInArrow(count, schema).groupBy("range").applyInArrow(add, schema)
+        if not left.num_rows:  # a part that no row was dealt to
+            return pa.table({k: pa.array([], t) for k, t in zip(names, kinds, strict=True)})
+        return dealt_home(left, distinct_entries(left), joined(right, "marks", "<u8"), joined(right, "df", "<i8"), ranges, splits)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    names = ["part", "nodes", "counts", "marks", "classes", "own", "sizes", "docs"]
+    kinds = [pa.int32(), *[pa.binary()] * 6, to_arrow_type(parts.schema["docs"].dataType)]
+    kept = "range int, marks binary, df binary"
+    sums = parts.drop("own", "sizes", "docs").groupBy("part").applyInArrow(count, kept).groupBy("range").applyInArrow(add, kept)
     back = sums.withColumn("part", F.explode(F.sequence(F.col("range") * splits, F.col("range") * splits + splits - 1)))
-    return parts.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(keep, SHARED)
+    return parts.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(keep, schema)
 
 
-def indexed(shared: DataFrame, sizes: DataFrame, ranges: int) -> DataFrame:
-    """(node, n, marks, keys) of each node whose extended prefix holds a shared shingle."""
+def indexed(shared: DataFrame) -> DataFrame:
+    """(node, n, marks, keys) of each node whose extended prefix holds a shared shingle, and rows of docs."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> pa.Table:
+        nodes, counts, mark = unpacked(table)
+        node = np.repeat(nodes, counts)
+        cls = joined(table, "classes", np.uint8)
+        order = np.lexsort((mark, cls, node))
+        node, mark, cls = node[order], mark[order], cls[order]
+        nodes, at = np.unique(node, return_index=True)
+        at = np.append(at, len(node))
+        own, place = np.unique(joined(table, "own", np.int64), return_index=True)
+        n_marks = joined(table, "sizes", "<u4")[place][np.searchsorted(own, nodes)]
         out = []
-        if left.num_rows and right.num_rows:
-            node, mark = unpacked(left)
-            cls = np.frombuffer(b"".join(left.column("classes").to_pylist()), dtype=np.uint8)
-            order = np.lexsort((mark, cls, node))
-            node, mark, cls = node[order], mark[order], cls[order]
-            nodes, at = np.unique(node, return_index=True)
-            at = np.append(at, len(node))
-            known = dict(zip(right.column("node").to_pylist(), right.column("n_marks").to_pylist(), strict=True))
-            for k, v in enumerate(nodes.tolist()):
-                n, lo, hi = known[v], at[k], at[k + 1]
-                keys = index_keys(n, n - (hi - lo), mark[lo:hi], cls[lo:hi])
-                if len(keys):
-                    out.append((v, n, mark[lo:hi].astype(np.int64), keys.view(np.int64)))
+        for k, (v, n) in enumerate(zip(nodes.tolist(), n_marks.tolist(), strict=True)):
+            lo, hi = at[k], at[k + 1]
+            keys = index_keys(n, n - (hi - lo), mark[lo:hi], cls[lo:hi])
+            if len(keys):
+                out.append((v, n, mark[lo:hi].view(np.int64), keys.view(np.int64)))
         columns = list(zip(*out, strict=True)) if out else [()] * 4
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["node", "n", "marks", "keys"])
+        names = ["node", "n", "marks", "keys"]
+        docs = pa.compute.drop_null(table.column("docs"))
+        return pa.table([*[pa.concat_arrays([pa.array(c, t), pa.nulls(len(docs), t)]) for c, t in zip(columns, kinds, strict=True)], pa.chunked_array([pa.nulls(len(out), docs.type), *docs.chunks])], names=names + ["docs"])
+
+    return shared.groupBy("part").applyInArrow(run, f"node long, n long, marks array<long>, keys array<long>, docs {shared.schema['docs'].dataType.simpleString()}")
 
-    homes = sizes.withColumn("part", F.when(F.col("node") >= 0, F.pmod("node", F.lit(ranges))).otherwise(F.pmod(F.pmod("node", F.lit(ranges)) + (1 << 64) % ranges, F.lit(ranges))).cast("int"))
-    return shared.groupBy("part").cogroup(homes.groupBy("part")).applyInArrow(run, "node long, n long, marks array<long>, keys array<long>")
+
+def prepared(docs: DataFrame, doc_id: str, text: str, split: int) -> tuple[DataFrame, DataFrame]:
+    """(doc, n_shingles, n_marks, node) of each document, and the nodes of indexed()."""
+    spark = docs.sparkSession
+    size, rows = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long")), F.count("*")).first()
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, 4, -(-(size or 0) // RANGE_BYTES))
+    splits = max(1, -(-rows // split))
+    both = written(indexed(shared_marks(passed_once(docs, doc_id, text, ranges, splits), ranges, splits)))
+    released(spark)
+    return both.filter("docs IS NOT NULL").select(F.inline("docs")), both.filter("node IS NOT NULL").drop("docs")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -310,15 +383,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(100 * F.col("o") >= 75 * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
-def similar_nodes(docs: DataFrame, nodes: DataFrame, text: str, split: int = SPLIT) -> DataFrame:
+def similar_nodes(sets: DataFrame) -> DataFrame:
     """(node, root) of all nodes that have links."""
-    spark = docs.sparkSession
-    total = nodes.agg(F.sum("n_marks")).first()[0] or 0
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, 4, -(-total // 2_000_000))
-    sizes = nodes.filter("n_marks > 0").groupBy("node").agg(F.first("n_marks").alias("n_marks"))
-    splits = max(1, -(-sizes.count() // split))
-    sets = written(indexed(shared_marks(scattered(docs, text, ranges, splits), ranges, splits), sizes, ranges))
-    released(spark)
+    spark = sets.sparkSession
     entries = written(sets.select("node", F.explode("keys").alias("key")))
     first = written(entries.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).filter("a < z").drop("z"))
     pairs = written(looked_up(entries, first, ["key"]).filter("node != a").select("a", F.col("node").alias("b")).distinct())
@@ -327,6 +394,7 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, text: str, split: int = SPL
     roots = components(links)
     # Only keys that lie in several components matter from here on.
     left = written(_in_several(entries, roots))
+    rows = left.count()
     for turn in range(1, TURNS):
         leader = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.pmod("key", F.lit(3)), F.lit(turn)).alias("h"), "node", "root")).alias("x"), F.count("*").alias("n"))
         met = looked_up(left, leader, ["key"]).filter(F.col("root") != F.col("x.root")).select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
@@ -337,11 +405,62 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, text: str, split: int = SPL
         pairs, links = pairs.union(met), links.union(new)
         roots = components(links)
         left = written(_in_several(left.select("node", "key"), roots))
+        before, rows = rows, left.count()
+        if 10 * rows > 9 * before:
+            break
     more = written(compared(left, sets))
     released(spark)
     return components(links.union(more)) if more.limit(1).count() else roots
 
 
+def overlaps(owner: np.ndarray, marks: np.ndarray, side: list[np.ndarray]) -> np.ndarray:
+    """The number of common marks of each owner in side[0] and each in side[1]; where these are the same, an owner's with itself may be too small.
+
+    Marks of many owners are multiplied as columns of a matrix, the pairs of the
+    others are counted one by one, and a mark that isn't in two owners costs nothing.
+    """
+    tokens, index = np.unique(marks, return_inverse=True)
+    order = np.argsort(index, kind="stable")
+    index, owner = index[order], owner[order]
+    most = int(owner.max(initial=-1)) + 1
+    held, rows, start, count = [], [], [], []
+    for own in side:
+        place = np.full(max(most, int(own.max(initial=-1)) + 1), -1)
+        place[own] = np.arange(len(own))
+        mine = place[owner]
+        held.append(index[mine >= 0])
+        rows.append(mine[mine >= 0])
+        count.append(np.bincount(held[-1], minlength=len(tokens)))
+        start.append(np.cumsum(count[-1]) - count[-1])
+    shape = len(side[0]), len(side[1])
+    both = np.zeros(shape, dtype=np.float32)
+    cells = count[0] * count[1]
+    often = cells > shape[0] * shape[1] // DENSE
+    few = np.nonzero((cells > (side[0] is side[1])) & ~often)[0]
+    total = np.cumsum(cells[few])
+    lo = 0
+    while lo < len(few):
+        done = total[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(total, done + CELLS, side="right")))
+        t = few[lo:hi]
+        rep = np.repeat(t, cells[t])
+        off = np.arange(len(rep)) - np.repeat(total[lo:hi] - cells[t] - done, cells[t])
+        x, y = np.divmod(off, count[1][rep])
+        np.add.at(both.reshape(-1), rows[0][start[0][rep] + x] * shape[1] + rows[1][start[1][rep] + y], np.float32(1))
+        lo = hi
+    columns = np.cumsum(often) - 1
+    for lo in range(0, int(often.sum()), 1024):
+        part = []
+        for k in (0, 1):
+            at = columns[held[k]] - lo
+            here = often[held[k]] & (at >= 0) & (at < 1024)
+            m = np.zeros((shape[k], 1024), dtype=np.float32)
+            m[rows[k][here], at[here]] = 1
+            part.append(m)
+        both += part[0] @ part[1].T
+    return both
+
+
 def compared(left: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between components, from the exact comparison of all nodes that are left and joined by keys.
 
@@ -366,22 +485,7 @@ def compared(left: DataFrame, sets: DataFrame) -> DataFrame:
         lists = table.column("marks").combine_chunks()
         ends = lists.offsets.to_numpy()
         owner = np.repeat(np.arange(len(high)), np.diff(ends))
-        tokens, index = np.unique(lists.values.to_numpy()[ends[0] : ends[-1]], return_inverse=True)
-        rows = [np.full(len(high), -1), np.full(len(high), -1)]
-        for k in (0, 1):
-            rows[k][side[k]] = np.arange(len(side[k]))
-        both = np.zeros((len(side[0]), len(side[1])), dtype=np.float32)
-        order = np.argsort(index, kind="stable")
-        index, owner = index[order], owner[order]
-        for start in range(0, len(tokens), 1024):
-            a, b = np.searchsorted(index, (start, start + 1024))
-            part = []
-            for k in (0, 1):
-                mine = rows[k][owner[a:b]]
-                m = np.zeros((len(side[k]), 1024), dtype=np.float32)
-                m[mine[mine >= 0], index[a:b][mine >= 0] - start] = 1
-                part.append(m)
-            both += part[0] @ part[1].T
+        both = overlaps(owner, lists.values.to_numpy()[ends[0] : ends[-1]], side)
         na, nb = n[side[0]][:, None], n[side[1]][None, :]
         hit = (100 * both >= 75 * (na + nb - both)) & (root[side[0]][:, None] != root[side[1]][None, :])
         found = {}
@@ -402,8 +506,8 @@ def _in_several(entries: DataFrame, roots: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", split: int = SPLIT) -> DataFrame:
     """(doc, n_shingles, component) of each row of docs; component: the smallest id reachable by links."""
-    nodes = written(nodes_of(docs, doc_id, text))
-    roots = similar_nodes(docs, nodes, text, split)
+    nodes, sets = prepared(docs, doc_id, text, split)
+    roots = similar_nodes(sets)
     rooted = nodes.groupBy("node").agg(F.min("doc").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     classes = rooted.join(least, "root").select("node", "component")
