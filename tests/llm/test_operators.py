@@ -3,8 +3,10 @@
 import collections
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -453,6 +455,32 @@ def test_overlaps_equal_sets(monkeypatch, dense):
             assert all(x == y or got[i, j] == len(sets[x] & sets[y]) for j, y in enumerate(side[1]))
 
 
+def test_hash_range_in_bounded_memory():
+    """Pipeline, near_copies: the rows of a hash range take 60 bytes a mark at most, beside the table itself; a node in several batches counts once."""
+    draw, rows, want = np.random.default_rng(3), [], collections.defaultdict(set)
+    for b in range(60):
+        nodes = np.arange(2000) + 2000 * b
+        marks = draw.integers(0, 1 << 42, (2000, 8)).astype("<u8")
+        marks[:, 0] = draw.integers(0, 3000, 2000)
+        rows.append((nodes, marks))
+    rows.append(rows[0])
+    for nodes, marks in rows:
+        for node, mark in zip(nodes.tolist(), marks[:, 0].tolist(), strict=True):
+            want[mark].add(node)
+    packed = [(0, n.tobytes(), np.full(2000, 8, "<u4").tobytes(), m.view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), b"", b"") for n, m in rows]
+    columns = [pa.array(c, k) for c, k in zip(zip(*packed, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)]
+    entry = pa.struct([("doc", pa.int64()), ("n_shingles", pa.int64()), ("n_marks", pa.int64()), ("node", pa.int64())])
+    table = pa.table([*columns, pa.nulls(len(rows), pa.list_(entry))], names=["part", "nodes", "counts", "marks", "own", "sizes", "docs"])
+    tracemalloc.start()
+    out = ngram_join.shared_in_range(table, 63)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * 2000 * 8 * len(rows)
+    nodes, counts, marks = ngram_join.unpacked(out)
+    got = collections.Counter(zip(np.repeat(nodes, counts).tolist(), marks.tolist(), strict=True))
+    assert got == collections.Counter((node, mark) for mark, own in want.items() if len(own) > 1 for node in own)
+
+
 LONG = " ".join(f"w{k % 613} of line {k}" + ("\n" if k % 9 == 0 else "") for k in range(60_000))
 CLASH = "n_tokens n_bytes over_limit kept n_words n_lines n_deleted n_runs shard slot spans n_entities mix_size mix_shards piece_ids decoded main_text n_blocks component root node key n d t pos m rank".split()
 
