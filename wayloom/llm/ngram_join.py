@@ -52,6 +52,7 @@ RARE = 24  # a df class (4 log2) below this, that is fewer than 64 nodes, is ind
 TURNS = 4  # rounds with other first nodes, at most; they only save work, the last step is exact
 BLOCK, NODES = 400_000, 2048  # fingerprints and nodes of a block in the last step
 DENSE, CELLS = 256, 500_000  # a mark of this part of a block's pairs or more is a matrix column; pairs counted at a time
+LINKS = 1 << 19  # whose components one task finds, in about 60 MB
 SPLIT = 24_000_000  # documents of whose nodes a task may have to hold a shingle's list
 RANGE_BYTES = 10_000_000  # of text to a hash range, in prose 1.5 million shingles
 BATCH = 1 << 20  # shingles scattered at a time
@@ -391,10 +392,12 @@ def similar_nodes(sets: DataFrame) -> DataFrame:
     pairs = written(looked_up(entries, first, ["key"]).filter("node != a").select("a", F.col("node").alias("b")).distinct())
     dropped(first)
     links = written(verified(pairs, sets))
-    roots = components(links)
+    roots = components(links, LINKS)
     # Only keys that lie in several components matter from here on.
     left = written(_in_several(entries, roots))
     rows = left.count()
+    if not rows:
+        return roots
     for turn in range(1, TURNS):
         leader = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.pmod("key", F.lit(3)), F.lit(turn)).alias("h"), "node", "root")).alias("x"), F.count("*").alias("n"))
         met = looked_up(left, leader, ["key"]).filter(F.col("root") != F.col("x.root")).select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
@@ -403,14 +406,14 @@ def similar_nodes(sets: DataFrame) -> DataFrame:
         if not new.limit(1).count():
             break
         pairs, links = pairs.union(met), links.union(new)
-        roots = components(links)
+        roots = components(links, LINKS)
         left = written(_in_several(left.select("node", "key"), roots))
         before, rows = rows, left.count()
         if 10 * rows > 9 * before:
             break
     more = written(compared(left, sets))
     released(spark)
-    return components(links.union(more)) if more.limit(1).count() else roots
+    return components(links.union(more), LINKS) if more.limit(1).count() else roots
 
 
 def overlaps(owner: np.ndarray, marks: np.ndarray, side: list[np.ndarray]) -> np.ndarray:
@@ -470,7 +473,7 @@ def compared(left: DataFrame, sets: DataFrame) -> DataFrame:
     each two components it joins. The work grows with the square of a cluster.
     """
     first = left.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n"))
-    clusters = components(looked_up(left, first, ["key"]).select("a", F.col("node").alias("b")).distinct())
+    clusters = components(written(looked_up(left, first, ["key"]).select("a", F.col("node").alias("b")).distinct()), LINKS)
     nodes = left.select("node", "root").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node").join(sets.select("node", "n", "marks"), "node")
     size = left.select("node").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node").join(sets.select("node", "n"), "node").groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / NODES)).alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
