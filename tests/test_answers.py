@@ -136,3 +136,19 @@ def test_hierarchy_of_arcs_equals_search(spark):
     start = spark.createDataFrame([(0,), (7,)], "node long")
     want = {tuple(x) for x in turns.turn_distances(arcs, table, start).collect()}
     assert {tuple(x) for x in turns.turn_distances(arcs, table, start, search=turns.by_hierarchy).collect()} == want
+
+
+@pytest.mark.parametrize("key", [22451, 26520, 29724, 84119])
+def test_curbsides_beside_a_line_equal_sql(spark, tmp_path, key):
+    import duckdb
+
+    from wayloom.plans import catalog
+
+    con = duckdb.connect()
+    con.execute("create view nation as select * from '/root/testdata/sf0.001/nation.parquet'")
+    con.execute(f"create table customer as select CAST({key} AS BIGINT) AS c_custkey, CAST(k AS INT) AS c_nationkey from range(25) r(k)")
+    for t in ("nation", "customer"):
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
+    found = catalog.QUERIES["curbsides"](spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(found.columns)} from ({catalog.ORACLES['curbsides']})").fetchall()
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)

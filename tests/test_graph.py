@@ -225,3 +225,8 @@ def test_tiles_are_those_a_line_crosses(spark):
     assert got[2] == {(k, 0) for k in range(11)} and got[3] == {(0, k) for k in range(11)} and got[4] == set()
     walked = {(int((0.92 + s * (0.13 - 0.92)) / 0.1), int((0.31 + s * (1.87 - 0.31)) / 0.1)) for s in (k / 20000 for k in range(20001))}
     assert walked <= got[5] and len(got[5] - walked) <= 2
+
+
+def test_lane_nodes_equal_sql_exactly(spark, base):
+    found = sorted(tuple(r) for r in fixtures.lane_nodes(spark, SF).collect())
+    assert found == sorted(base.execute(f"SELECT node, CAST(lat AS DOUBLE), CAST(lon AS DOUBLE) FROM ({catalog.NODES})").fetchall())
