@@ -230,3 +230,21 @@ def test_tiles_are_those_a_line_crosses(spark):
 def test_lane_nodes_equal_sql_exactly(spark, base):
     found = sorted(tuple(r) for r in fixtures.lane_nodes(spark, SF).collect())
     assert found == sorted(base.execute(f"SELECT node, CAST(lat AS DOUBLE), CAST(lon AS DOUBLE) FROM ({catalog.NODES})").fetchall())
+
+
+@pytest.fixture(scope="module")
+def late_parts(tmp_path_factory):
+    """The small tables with parts numbered on both sides of 1,000,000, where regions meet; (folder, connection)."""
+    folder, con = tmp_path_factory.mktemp("late"), duckdb.connect()
+    for t, keys in {"part": "p_partkey + i * 999900 AS p_partkey", "orders": "o_orderkey + i * 1500 AS o_orderkey", "lineitem": "l_orderkey + i * 1500 AS l_orderkey, l_partkey + i * 999900 AS l_partkey"}.items():
+        con.execute(f"copy (select * exclude (i) replace ({keys}) from '{SF}/{t}.parquet', range(2) r(i)) to '{folder}/{t}.parquet' (format parquet)")
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", ["barrier_edges", "way_segments", "edge_list", "barrier_split"])
+def test_parts_beyond_a_region_equal_sql(spark, late_parts, name):
+    folder, con = late_parts
+    df = catalog.QUERIES[name](spark, folder)
+    want = con.execute(f"select {', '.join(df.columns)} from ({catalog.ORACLES[name]})").fetchall()
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want)
