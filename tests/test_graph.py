@@ -248,3 +248,8 @@ def test_parts_beyond_a_region_equal_sql(spark, late_parts, name):
     df = catalog.QUERIES[name](spark, folder)
     want = con.execute(f"select {', '.join(df.columns)} from ({catalog.ORACLES[name]})").fetchall()
     assert sorted(tuple(r) for r in df.collect()) == sorted(want)
+
+
+def test_nodes_of_all_regions_are_not_broadcast(spark):
+    plan = catalog.way_segments(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "LeftOuter" in x]

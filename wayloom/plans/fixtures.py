@@ -79,14 +79,15 @@ def part_nodes(spark: SparkSession, sf_dir: str, with_gaps: bool = True) -> Data
     """node, lat, lon, barrier: a place for each node whose number within its region is a part's; each 50th node is missing, as in an extract.
 
     Parts numbered REGION or above lie in later regions, so there are as many
-    regions as the largest part in a way needs.
+    regions as the largest part in a way needs. Sizes are guessed from the file of
+    parts, without the regions; the hint keeps the nodes from being broadcast for that.
     """
     k = F.col("p_partkey")
     parts = table(spark, sf_dir, "part").filter(k.between(0, REGION - 1)).groupBy("p_partkey").agg(F.max(F.col("p_size") % 25 == 0).alias("barrier"))
     last = table(spark, sf_dir, "lineitem").agg(F.floor(F.coalesce(F.max("l_partkey"), F.lit(0)) / REGION).alias("later"))
     region = F.explode(F.sequence(F.lit(0), F.lit(REGIONS - 1) + F.col("later"))).alias("region")
     nodes = parts.crossJoin(F.broadcast(last)).select("*", region).select((k.cast("long") + REGION * F.col("region")).alias("node"), (45 + (k % 97) * 0.01).alias("lat"), (5 + (k % 89) * 0.01).alias("lon"), "barrier")
-    return nodes.filter(F.col("node") % 50 != 0) if with_gaps else nodes
+    return (nodes.filter(F.col("node") % 50 != 0) if with_gaps else nodes).hint("merge")
 
 
 def query_points(spark: SparkSession, sf_dir: str) -> DataFrame:
