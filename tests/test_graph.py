@@ -253,3 +253,15 @@ def test_parts_beyond_a_region_equal_sql(spark, late_parts, name):
 def test_nodes_of_all_regions_are_not_broadcast(spark):
     plan = catalog.way_segments(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "LeftOuter" in x]
+
+
+def test_tiles_around_points_are_not_broadcast(spark):
+    plan = catalog.nearest_edge(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and ("tile_x" in x or "cell_x" in x)]
+
+
+def test_points_at_one_place_and_equal_edges(spark):
+    points = spark.createDataFrame([(1, 45.05, 5.05), (2, 45.05, 5.05), (3, 45.01, 5.0), (3, 45.01, 5.0), (4, 48.0, 5.0)], "point long, lat double, lon double")
+    edges = spark.createDataFrame([(8, 45.0, 5.0, 45.0, 5.1), (7, 45.1, 5.0, 45.1, 5.1), (6, 45.0, 5.0, 45.0, 5.1)], "edge_id long, lat_a double, lon_a double, lat_b double, lon_b double")
+    found = {r.point: (r.edge_id, r.lat, r.lon) for r in spatial.nearest_edges(points, edges).collect()}
+    assert found == {1: (6, 45.0, 5.05), 2: (6, 45.0, 5.05), 3: (6, 45.0, 5.0)} and spatial.nearest_edges(points, edges).count() == 3

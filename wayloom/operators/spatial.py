@@ -35,15 +35,26 @@ def edge_tiles(segments: DataFrame, size: float = TILE) -> DataFrame:
 
 
 def nearest_edges(points: DataFrame, segments: DataFrame, rings: int = RINGS, size: float = TILE) -> DataFrame:
-    """(point, edge_id, distance_mm, lat, lon): each point's nearest edge within rings of tiles, ties by edge id."""
+    """(point, edge_id, distance_mm, lat, lon): each point's nearest edge within rings of tiles, ties by edge id.
+
+    Points at one place are answered once, and all places in a tile share one list
+    of the edges around it, so that no pair of a place and an edge is a row. Sizes are
+    guessed without the tiles around; the hints keep these rows from being broadcast.
+    """
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     around = F.sequence(F.lit(-rings), F.lit(rings))
-    asked = points.select("point", "lat", "lon", F.explode(around).alias("dx")).select("point", "lat", "lon", (tile(F.col("lon"), size) + F.col("dx")).alias("tile_x"), F.explode(around).alias("dy"))
-    asked = asked.select("point", "lat", "lon", "tile_x", (tile(F.col("lat"), size) + F.col("dy")).alias("tile_y"))
-    met = asked.join(edge_tiles(segments, size), ["tile_x", "tile_y"]).select("point", "lat", "lon", "edge_id").distinct().join(segments.select("edge_id", "lat_a", "lon_a", "lat_b", "lon_b"), "edge_id")
-    line = [F.col(c) for c in ("lat", "lon", "lat_a", "lon_a", "lat_b", "lon_b")]
-    s = F.least(F.greatest(geo.foot_share(*line), F.lit(0.0)), F.lit(1.0))
-    scored = met.select("point", F.struct(F.round(geo.segment_distance(*line) * 1000).cast("long").alias("distance_mm"), "edge_id", (F.col("lat_a") + s * (F.col("lat_b") - F.col("lat_a"))).alias("lat"), (F.col("lon_a") + s * (F.col("lon_b") - F.col("lon_a"))).alias("lon")).alias("x"))
-    return scored.groupBy("point").agg(F.min("x").alias("x")).select("point", "x.edge_id", "x.distance_mm", "x.lat", "x.lon")
+    places = points.select("lat", "lon").distinct().select("lat", "lon", tile(F.col("lon"), size).alias("cell_x"), tile(F.col("lat"), size).alias("cell_y")).repartition(parts, "cell_x", "cell_y")
+    asked = places.select("cell_x", "cell_y").distinct().select("*", F.explode(around).alias("dx")).select("*", F.explode(around).alias("dy"))
+    asked = asked.select("cell_x", "cell_y", (F.col("cell_x") + F.col("dx")).alias("tile_x"), (F.col("cell_y") + F.col("dy")).alias("tile_y"))
+    met = asked.hint("merge").join(edge_tiles(segments, size), ["tile_x", "tile_y"]).select("cell_x", "cell_y", "edge_id").distinct().join(segments.select("edge_id", "lat_a", "lon_a", "lat_b", "lon_b"), "edge_id")
+    near = met.repartition(parts, "cell_x", "cell_y").groupBy("cell_x", "cell_y").agg(F.collect_list(F.struct("edge_id", "lat_a", "lon_a", "lat_b", "lon_b")).alias("near"))
+    lat, lon = F.col("lat"), F.col("lon")
+    share = lambda e: F.least(F.greatest(geo.foot_share(lat, lon, e["lat_a"], e["lon_a"], e["lat_b"], e["lon_b"]), F.lit(0.0)), F.lit(1.0))
+    foot = lambda e, s: F.struct(e["edge_id"].alias("edge_id"), (e["lat_a"] + s * (e["lat_b"] - e["lat_a"])).alias("lat"), (e["lon_a"] + s * (e["lon_b"] - e["lon_a"])).alias("lon"))
+    feet = F.transform(F.transform("near", lambda e: F.struct(e.alias("e"), share(e).alias("s"))), lambda x: foot(x["e"], x["s"]))
+    scored = F.transform(feet, lambda x: F.struct(F.round(geo.planar(lat, lon, x["lat"], x["lon"]) * 1000).cast("long").alias("distance_mm"), x["edge_id"].alias("edge_id"), x["lat"].alias("lat"), x["lon"].alias("lon")))
+    best = places.hint("merge").join(near, ["cell_x", "cell_y"]).select("lat", "lon", F.array_min(scored).alias("x"))
+    return points.select("point", "lat", "lon").join(best, ["lat", "lon"]).groupBy("point").agg(F.min("x").alias("x")).select("point", "x.edge_id", "x.distance_mm", "x.lat", "x.lon")
 
 
 def edges_in_box(segments: DataFrame, min_lat: float, max_lat: float, min_lon: float, max_lon: float) -> DataFrame:

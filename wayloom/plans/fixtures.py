@@ -92,7 +92,7 @@ def part_nodes(spark: SparkSession, sf_dir: str, with_gaps: bool = True) -> Data
 
 def query_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(k.cast("long").alias("point"), (45 + (k % 241) * 0.01).alias("lat"), (5 + (k % 239) * 0.01).alias("lon"))
+    return table(spark, sf_dir, "customer").select(k.cast("long").alias("point"), ((4500 + k % 241) / 100).alias("lat"), ((500 + k % 239) / 100).alias("lon"))
 
 
 def part_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
