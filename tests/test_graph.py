@@ -265,3 +265,15 @@ def test_points_at_one_place_and_equal_edges(spark):
     edges = spark.createDataFrame([(8, 45.0, 5.0, 45.0, 5.1), (7, 45.1, 5.0, 45.1, 5.1), (6, 45.0, 5.0, 45.0, 5.1)], "edge_id long, lat_a double, lon_a double, lat_b double, lon_b double")
     found = {r.point: (r.edge_id, r.lat, r.lon) for r in spatial.nearest_edges(points, edges).collect()}
     assert found == {1: (6, 45.0, 5.05), 2: (6, 45.0, 5.05), 3: (6, 45.0, 5.0)} and spatial.nearest_edges(points, edges).count() == 3
+
+
+def test_rounds_deal_out_the_arcs_once(spark, monkeypatch):
+    plans, kept, held = [], paths.cut, spark.sparkContext._jsc.getPersistentRDDs().size()
+    monkeypatch.setattr(paths, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df))[1])
+    arcs = spark.createDataFrame([(2 * k, k, k + 1, 1) for k in range(3)], "edge_key long, base long, adj long, millis long")
+    state = paths.distances(arcs, spark.createDataFrame([(0,)], "node long"), kernel_arcs=0)
+    assert sorted((r.node, r.weight) for r in state.collect()) == [(0, 0), (1, 1), (2, 2), (3, 3)]
+    rounds = [p for p in plans if "Join" in p]
+    assert len(rounds) == 4
+    assert not [x for p in rounds for x in p.splitlines() if "Broadcast" in x or "hashpartitioning(base" in x and "ENSURE_REQUIREMENTS" in x]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held

@@ -53,23 +53,32 @@ def distances(arcs: DataFrame, sources: DataFrame, most_rounds: int = 10_000, we
 
 
 def distances_by_rounds(arcs: DataFrame, sources: DataFrame, most_rounds: int = 10_000, weight: str = "millis") -> DataFrame:
-    """distances() by rounds of joins. A tie goes to the smaller edge key, but to an arc of weight 0 only where no other arc gives the weight: no way may run in a circle."""
+    """distances() by rounds of joins. A tie goes to the smaller edge key, but to an arc of weight 0 only where no other arc gives the weight: no way may run in a circle.
+
+    The arcs are dealt out and sorted by base once and persisted, which a checkpoint
+    would forget, so that a round moves its frontier and what it found, not the arcs.
+    """
+    parts = int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     state = cut(sources.select(F.col("node").alias("source"), "node", F.lit(0).cast("long").alias("weight"), F.lit(0).alias("hops"), F.lit(-1).cast("long").alias("edge_key"), F.lit(False).alias("still")))
     frontier = state
-    steps = cut(arcs.select(F.col("base"), F.col("adj"), F.col("edge_key").alias("key"), F.col(weight).cast("long").alias("w")))
-    for _ in range(most_rounds):
-        found = frontier.join(steps, frontier["node"] == steps["base"]).select("source", F.col("adj").alias("node"), (F.col("weight") + F.col("w")).alias("weight"), (F.col("w") == 0).alias("still"), F.col("key").alias("edge_key"), (F.col("hops") + 1).alias("hops"))
-        best = found.groupBy("source", "node").agg(F.min(F.struct("weight", "still", "edge_key", "hops")).alias("x")).select("source", "node", F.col("x.weight").alias("w2"), F.col("x.still").alias("s2"), F.col("x.edge_key").alias("e2"), F.col("x.hops").alias("h2"))
-        both = state.join(best, ["source", "node"], "full_outer")
-        # A row that this round doesn't reach has nulls on the right, one it reaches first has them on the left.
-        tie = (F.col("w2") == F.col("weight")) & (~F.col("s2") & (F.col("still") | (F.col("e2") < F.col("edge_key"))) | (F.col("e2") == F.col("edge_key")) & (F.col("h2") != F.col("hops")))
-        better = F.coalesce(F.col("w2").isNotNull() & (F.col("weight").isNull() | (F.col("edge_key") >= 0) & ((F.col("w2") < F.col("weight")) | tie)), F.lit(False))
-        merged = cut(both.select("source", "node", *[F.when(better, F.col(n)).otherwise(F.col(o)).alias(o) for n, o in (("w2", "weight"), ("h2", "hops"), ("e2", "edge_key"), ("s2", "still"))], better.alias("new")))
-        frontier = merged.filter("new").drop("new")
-        state = merged.drop("new")
-        if not frontier.limit(1).count():
-            return state.drop("still")
-    raise ValueError(f"ways were still getting shorter after {most_rounds} rounds")
+    steps = arcs.select(F.col("base"), F.col("adj"), F.col("edge_key").alias("key"), F.col(weight).cast("long").alias("w")).repartition(parts, "base").sortWithinPartitions("base").persist()
+    steps.count()  # only a filled cache tells how it is dealt out
+    try:
+        for _ in range(most_rounds):
+            found = frontier.hint("merge").join(steps, frontier["node"] == steps["base"]).select("source", F.col("adj").alias("node"), (F.col("weight") + F.col("w")).alias("weight"), (F.col("w") == 0).alias("still"), F.col("key").alias("edge_key"), (F.col("hops") + 1).alias("hops"))
+            best = found.groupBy("source", "node").agg(F.min(F.struct("weight", "still", "edge_key", "hops")).alias("x")).select("source", "node", F.col("x.weight").alias("w2"), F.col("x.still").alias("s2"), F.col("x.edge_key").alias("e2"), F.col("x.hops").alias("h2"))
+            both = state.join(best, ["source", "node"], "full_outer")
+            # A row that this round doesn't reach has nulls on the right, one it reaches first has them on the left.
+            tie = (F.col("w2") == F.col("weight")) & (~F.col("s2") & (F.col("still") | (F.col("e2") < F.col("edge_key"))) | (F.col("e2") == F.col("edge_key")) & (F.col("h2") != F.col("hops")))
+            better = F.coalesce(F.col("w2").isNotNull() & (F.col("weight").isNull() | (F.col("edge_key") >= 0) & ((F.col("w2") < F.col("weight")) | tie)), F.lit(False))
+            merged = cut(both.select("source", "node", *[F.when(better, F.col(n)).otherwise(F.col(o)).alias(o) for n, o in (("w2", "weight"), ("h2", "hops"), ("e2", "edge_key"), ("s2", "still"))], better.alias("new")))
+            frontier = merged.filter("new").drop("new")
+            state = merged.drop("new")
+            if not frontier.limit(1).count():
+                return state.drop("still")
+        raise ValueError(f"ways were still getting shorter after {most_rounds} rounds")
+    finally:
+        steps.unpersist()
 
 
 def path_edges(state: DataFrame, arcs: DataFrame, targets: DataFrame) -> DataFrame:
