@@ -277,3 +277,28 @@ def test_rounds_deal_out_the_arcs_once(spark, monkeypatch):
     assert len(rounds) == 4
     assert not [x for p in rounds for x in p.splitlines() if "Broadcast" in x or "hashpartitioning(base" in x and "ENSURE_REQUIREMENTS" in x]
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+
+
+def test_colours_rounds_and_one_task_equal_kernel(spark):
+    import random
+
+    for seed in range(2):
+        r = random.Random(seed)
+        links = [(r.randrange(30), r.randrange(30)) for _ in range(45)] + [(40, 41), (41, 42), (42, 40), (50, 51), (51, 52), (52, 53)]
+        nodes = spark.range(60).select(F.col("id").alias("node"))
+        df = spark.createDataFrame(links, "a long, b long")
+        want = set(connectivity.strong_components(df, nodes).collect())
+        assert set(connectivity.components_by_colours(df, nodes, 0).collect()) == want == set(connectivity.components_by_colours(df, nodes, 20).collect())
+
+
+def test_colours_of_a_chain_take_few_jobs(spark):
+    """Five links that trimming takes away one by one from both ends, and a circle; no links; ends that aren't nodes."""
+    tracker, group = spark.sparkContext.statusTracker(), "chain"
+    links = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (7, 6), (6, 7), (8, 9), (9, 8)], "a long, b long")
+    spark.sparkContext.setJobGroup(group, group)
+    found = connectivity.components_by_colours(links, spark.range(9).select(F.col("id").alias("node"))).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(tuple(r) for r in found) == [(k, k) for k in range(6)] + [(6, 6), (7, 6), (8, 8)]
+    assert len(tracker.getJobIdsForGroup(group)) < 30
+    none = connectivity.components_by_colours(links.filter("a < 0"), spark.range(2).select(F.col("id").alias("node")))
+    assert sorted(tuple(r) for r in none.collect()) == [(0, 0), (1, 1)]

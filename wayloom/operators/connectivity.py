@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,25 +67,40 @@ def _tarjan(links: list, nodes: list) -> list:
     return found
 
 
-def components_by_colours(links: DataFrame, nodes: DataFrame) -> DataFrame:
+def _solved(links: DataFrame) -> DataFrame:
+    """(node, component) of all ends of links, in one task."""
+
+    def run(frames):
+        found = _tarjan([pair for f in frames for pair in zip(f["a"].tolist(), f["b"].tolist(), strict=True)], [])
+        yield pd.DataFrame(found, columns=["node", "component"], dtype="int64")
+
+    return links.coalesce(1).mapInPandas(run, "node long, component long")
+
+
+def components_by_colours(links: DataFrame, nodes: DataFrame, kernel_links: int = 500_000) -> DataFrame:
     """strong_components for graphs of any size: colouring from front and back.
 
-    Nodes without a link in or without one out are components of their own and are
-    trimmed first, as often as that finds any. Then each round gives every open node
+    A link whose start has no link in or whose end has none out lies in no circle;
+    such links are trimmed first, as often as that finds any. At most kernel_links
+    that are left are solved in one task. Of more, each round gives every open node
     the smallest node that reaches it, and closes those that reach their label again;
-    what is left goes on.
+    what is left goes on. Nodes in no circle are components of their own.
     """
-    open_, done = cut(nodes.select("node")), None
-    links = cut(links.select("a", "b").filter("a <> b").distinct())
-    while True:
-        both = links.select(F.col("a").alias("node")).distinct().join(links.select(F.col("b").alias("node")).distinct(), "node")
-        inner = cut(open_.join(both, "node", "left_semi"))
-        single = cut(open_.join(inner, "node", "left_anti").select("node", F.col("node").alias("component")))
-        done = single if done is None else done.union(single)
-        if not single.limit(1).count():
-            break
-        open_ = inner
-        links = cut(links.join(open_.withColumnRenamed("node", "a"), "a", "left_semi").join(open_.withColumnRenamed("node", "b"), "b", "left_semi"))
+    nodes = cut(nodes.select(F.col("node").cast("long")))
+    links = cut(links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct())
+    before, left = -1, links.count()
+    while left > kernel_links and left != before:
+        entered, quit_ = links.select(F.col("b").alias("a")).distinct(), links.select(F.col("a").alias("b")).distinct()
+        links = cut(links.join(entered, "a", "left_semi").join(quit_, "b", "left_semi"))
+        before, left = left, links.count()
+    links = cut(links.join(nodes.withColumnRenamed("node", "a"), "a", "left_semi").join(nodes.withColumnRenamed("node", "b"), "b", "left_semi"))
+    done = _solved(links) if left <= kernel_links else _coloured(links)
+    return nodes.join(done, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _coloured(links: DataFrame) -> DataFrame:
+    """(node, component) of all ends of links, by rounds of joins."""
+    open_, done = cut(links.select(F.col("a").alias("node")).union(links.select("b")).distinct()), None
     while open_.limit(1).count():
         colour = _reached(links, open_.select("node", F.col("node").alias("label")))
         ca, cb = colour.select(F.col("node").alias("a"), F.col("label").alias("la")), colour.select(F.col("node").alias("b"), F.col("label").alias("lb"))
@@ -95,7 +111,7 @@ def components_by_colours(links: DataFrame, nodes: DataFrame) -> DataFrame:
         done = back if done is None else done.union(back)
         open_ = cut(open_.join(back, "node", "left_anti"))
         links = cut(links.join(open_.withColumnRenamed("node", "a"), "a", "left_semi").join(open_.withColumnRenamed("node", "b"), "b", "left_semi"))
-    return done
+    return done if done is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
 def arc_links(arcs: DataFrame, u_turns: bool = True) -> DataFrame:

@@ -50,10 +50,14 @@ def arcs_of(edges: DataFrame) -> DataFrame:
 
 def order_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     """way, refs (ordered array<long>) and tags."""
-    lines = table(spark, sf_dir, "lineitem")
+    return order_refs(table(spark, sf_dir, "lineitem")).join(order_tags(spark, sf_dir), "way").select(F.col("way").cast("long"), "refs", "tags")
+
+
+def order_refs(lines: DataFrame) -> DataFrame:
+    """way and refs of the orders of given line items."""
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     refs = lines.groupBy(F.col("l_orderkey").alias("way")).agg(F.array_sort(F.collect_list(order)).alias("refs")).withColumn("refs", F.transform("refs", lambda x: x["l_partkey"].cast("long") + REGION * (F.col("way") % REGIONS)))
-    return refs.join(order_tags(spark, sf_dir), "way").select(F.col("way").cast("long"), F.when(F.col("way") % 200 == 0, F.concat("refs", F.slice("refs", 1, 1))).otherwise(F.col("refs")).alias("refs"), "tags")
+    return refs.withColumn("refs", F.when(F.col("way") % 200 == 0, F.concat("refs", F.slice("refs", 1, 1))).otherwise(F.col("refs")))
 
 
 def order_tags(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,8 @@ def sssp_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scc_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-19 by colours, over the part links of open orders (status P), which grow with the tables."""
-    ways = fx.order_ways(spark, sf_dir).join(fx.table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").cast("long").alias("way")), "way")
+    open_ = fx.table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    ways = paths.cut(fx.order_refs(fx.table(spark, sf_dir, "lineitem").join(open_, "l_orderkey", "left_semi")).select("refs"))
     steps = ways.select(F.explode(F.zip_with("refs", F.slice("refs", 2, F.size("refs")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("x")).select("x.a", "x.b").filter("b IS NOT NULL").distinct()
     nodes = ways.select(F.explode("refs").alias("node")).distinct()
     return connectivity.components_by_colours(steps, nodes)
